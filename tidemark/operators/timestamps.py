@@ -47,26 +47,45 @@ def _number(c: Column) -> Column:
     return c.try_cast("int")
 
 
-def _instant(p: Column, zone: str) -> Column:
-    """Milliseconds since 1970 from the nine parts as texts; null if the day, the time or the zone doesn't exist."""
-    year, month, day, hour, minute, second, fraction, half, stated = (F.get(p, F.lit(i)) for i in range(9))
-    name = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(month, 1, 3)))
-    month_no = F.when(name > 0, name.cast("int")).otherwise(_number(month))
-    date = F.try_to_date(F.concat_ws("-", year, F.lpad(month_no.cast("string"), 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
-    h, m, s = _number(hour), _number(minute), F.coalesce(_number(second), F.lit(0))
-    pm = F.lower(half) == "p"
-    h24 = F.when(half == "", F.when(h < 24, h)).when((h >= 1) & (h <= 12), h % 12 + F.when(pm, 12).otherwise(0))
-    millis = F.coalesce(_number(F.substring(F.rpad(fraction, 3, "0"), 1, 3)), F.lit(0))
-    local = F.when((m < 60) & (s < 60) & (F.unix_date(date) > -719162), F.unix_date(date).cast("long") * 86400000 + (h24 * 3600 + m * 60 + s).cast("long") * 1000 + millis)
-    shift = F.regexp_extract(stated, r"([+-]\d{2}):?(\d{2})?", 1)
-    minutes = _number(shift) * 60 + F.when(F.substring(shift, 1, 1) == "-", -1).otherwise(1) * F.coalesce(_number(F.regexp_extract(stated, r"([+-]\d{2}):?(\d{2})", 2)), F.lit(0))
-    known = F.create_map(*[F.lit(x) for kv in OFFSETS.items() for x in kv])
-    abbreviated = F.try_element_at(known, F.upper(stated))
+def _let(values: Column, step) -> Column:
+    """values with step applied to each: what step is given is computed once, however often step uses it."""
+    return F.transform(values, step)
+
+
+def _instants(parts: Column, zone: str) -> Column:
+    """array<struct<format, epoch_ms>> from array<struct<format, parts>>, where parts are the nine texts of a format;
+    epoch_ms is null if the day, the time or the zone doesn't exist."""
+    months = F.array(*map(F.lit, MONTHS))
+    offsets = F.create_map(*[F.lit(x) for kv in OFFSETS.items() for x in kv])
+    regions = F.create_map(*[F.lit(x) for kv in REGIONS.items() for x in kv])
     names = sorted(x for x in zoneinfo.available_timezones() if "/" in x and not x.startswith(("posix/", "right/", "Etc/")))
-    region = F.when(stated == "", F.lit(zone)).otherwise(F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in REGIONS.items() for x in kv]), F.upper(stated)), F.when(stated.isin(names), stated)))
-    # to_utc_timestamp takes the first of a local hour that occurs twice and moves a skipped time forward by the gap.
-    zoned = F.unix_millis(F.to_utc_timestamp(F.timestamp_millis(local), F.coalesce(region, F.lit("UTC"))))
-    return F.when(shift != "", F.when(F.abs(minutes) <= 18 * 60, local - minutes * 60000)).when(abbreviated.isNotNull(), local - abbreviated * 60000).when(region.isNotNull(), zoned)
+
+    def numbers(c: Column) -> Column:
+        year, month, day, hour, minute, second, fraction, half, stated = (F.get(c["parts"], F.lit(i)) for i in range(9))
+        name = F.array_position(months, F.lower(F.substring(month, 1, 3)))
+        shown = F.when(month.rlike(r"^\d"), F.lpad(month, 2, "0")).otherwise(F.lpad(name.cast("string"), 2, "0"))
+        return F.struct(
+            c["format"].alias("format"), F.unix_date(F.concat_ws("-", year, shown, F.lpad(day, 2, "0")).try_cast("date")).cast("long").alias("day"), _number(hour).alias("h"), _number(minute).alias("m"), F.coalesce(_number(second), F.lit(0)).alias("s"),
+            F.coalesce(_number(F.substring(F.rpad(fraction, 3, "0"), 1, 3)), F.lit(0)).alias("ms"), F.lower(half).alias("half"), F.regexp_extract(stated, r"([+-]\d{2}:?(?:\d{2})?)", 1).alias("shift"), F.regexp_replace(stated, r"\s*\[.*", "").alias("zone"),
+        )
+
+    def local(c: Column) -> Column:
+        h24 = F.when(c["half"] == "", F.when(c["h"] < 24, c["h"])).when((c["h"] >= 1) & (c["h"] <= 12), c["h"] % 12 + F.when(c["half"] == "p", 12).otherwise(0))
+        ms = F.when((c["m"] < 60) & (c["s"] < 60) & (c["day"] > -719162), c["day"] * 86400000 + (h24 * 3600 + c["m"] * 60 + c["s"]) * 1000 + c["ms"])
+        digits = F.regexp_replace(c["shift"], ":", "")
+        minutes = _number(F.substring(digits, 2, 2)) * 60 + F.coalesce(_number(F.substring(digits, 4, 2)), F.lit(0))
+        signed = F.when(c["shift"].startswith("-"), -minutes).otherwise(minutes)
+        region = F.when(c["zone"] == "", F.lit(zone)).otherwise(F.coalesce(F.try_element_at(regions, F.upper(c["zone"])), F.when(c["zone"].isin(names), c["zone"])))
+        fixed = F.when(c["shift"] != "", F.when(F.abs(signed) <= 18 * 60, signed)).otherwise(F.try_element_at(offsets, F.upper(c["zone"])))
+        return F.struct(c["format"].alias("format"), ms.alias("local"), fixed.alias("minutes"), F.when(c["shift"] == "", region).alias("region"))
+
+    def instant(c: Column) -> Column:
+        # to_utc_timestamp takes the first of a local hour that occurs twice and moves a skipped time forward by the gap.
+        zoned = F.unix_millis(F.to_utc_timestamp(F.timestamp_millis(c["local"]), c["region"]))
+        ms = F.when(c["minutes"].isNotNull(), c["local"] - c["minutes"] * 60000).when(c["region"].isNotNull(), zoned)
+        return F.struct(c["format"].alias("format"), ms.alias("epoch_ms"))
+
+    return _let(_let(_let(parts, numbers), local), instant)
 
 
 def readings(value: Column, zone: str = "UTC", formats: Sequence[str] = tuple(FORMATS)) -> Column:
@@ -77,7 +96,7 @@ def readings(value: Column, zone: str = "UTC", formats: Sequence[str] = tuple(FO
     v = F.regexp_replace(value, r"^[\s ]+|[\s ]+$", "")
     split = [F.when(v.rlike(CALENDAR[f][0]), F.struct(F.lit(f).alias("format"), F.split(F.regexp_replace(v, CALENDAR[f][0], "|".join(f"${g}" for g in CALENDAR[f][1])), r"\|", -1).alias("parts"))) for f in formats if f in CALENDAR]
     parts = F.filter(F.array(*split), lambda x: x.isNotNull()) if split else F.array().cast("array<struct<format:string,parts:array<string>>>")
-    dated = F.transform(parts, lambda x: F.struct(x["format"].alias("format"), _instant(x["parts"], zone).alias("epoch_ms")))
+    dated = _instants(parts, zone)
     counted = []
     for f in formats:
         if f in EPOCHS:
@@ -136,7 +155,8 @@ def normalise_times(df: DataFrame, *, source: str, value: str, zones: dict[str,
     others = readings(F.col(value), "UTC", formats)
     special = [n for n, z in (zones or {}).items() if z != "UTC"]
     read = F.when(F.col(source).isin(special), read).otherwise(others) if special else others
-    data = kept.withColumn("__read", read).withColumn("__sig", F.concat_ws(",", F.transform("__read", lambda x: F.concat(x["format"], F.when((x["epoch_ms"] >= lo) & (x["epoch_ms"] < hi), "+").otherwise("-")))))
+    # The generator keeps the optimiser from copying the reading into each place that uses it.
+    data = kept.select("*", F.explode(F.array(F.struct(read.alias("r")))).alias("__x")).withColumn("__read", F.col("__x.r")).drop("__x").withColumn("__sig", F.concat_ws(",", F.transform("__read", lambda x: F.concat(x["format"], F.when((x["epoch_ms"] >= lo) & (x["epoch_ms"] < hi), "+").otherwise("-")))))
     counts = data.where("__sig <> ''").groupBy(F.col(source).alias("__src"), "__sig").agg(F.count("*").alias("__n"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:

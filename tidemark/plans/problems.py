@@ -16,7 +16,7 @@ ZONES = {"acceptedDate": "America/New_York"}
 
 def income(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """Income records, each once."""
-    return once(table(spark, folder, "aapl_income_quarter", "inc_id", *columns), "inc_id")
+    return once(table(spark, folder, "aapl_income_quarter", "inc_id", *columns), "inc_id", spread=True)
 
 
 def quarter_records(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -26,7 +26,7 @@ def quarter_records(spark: SparkSession, folder: str, *columns: str) -> DataFram
 
 
 def _times(spark: SparkSession, folder: str) -> DataFrame:
-    env = once(table(spark, folder, "vsco_3m_daily").select("env_id", "fetched_at", F.col("raw_response.search_metadata.created_at").alias("created_at")), "env_id")
+    env = once(table(spark, folder, "vsco_3m_daily").select("env_id", "fetched_at", F.col("raw_response.search_metadata.created_at").alias("created_at")), "env_id", spread=True)
     pairs = F.array(F.struct(F.lit("fetched_at").alias("src"), F.col("fetched_at").alias("value")), F.struct(F.lit("created_at").alias("src"), F.col("created_at").alias("value")))
     both = env.select(F.col("env_id").alias("record_id"), F.explode(pairs).alias("x")).select("x.src", "record_id", "x.value")
     filed = income(spark, folder, "acceptedDate").select(F.lit("acceptedDate").alias("src"), F.col("inc_id").alias("record_id"), F.col("acceptedDate").alias("value"))
@@ -70,7 +70,7 @@ def _amounts(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("revenue").cast("decimal(19,0)") * 1000).cast("decimal(19,0)").alias("milli"), (F.col("revenue") / F.when(quarter_of(F.col("period")).isNotNull(), 1).otherwise(4)).alias("level"),
         units.stated_power(rc).alias("stated"), F.when(ratio > 0, F.log10(ratio)).alias("estimate"), units.stated_currency(rc).alias("currency"),
     )
-    rm = once(table(spark, folder, "revenue_margins", "point_id", "symbol", "title", "category", "name", "axis_name", "data", "unit", "currency"), "point_id")
+    rm = once(table(spark, folder, "revenue_margins", "point_id", "symbol", "title", "category", "name", "axis_name", "data", "unit", "currency"), "point_id", spread=True)
     year = F.regexp_extract("category", r"(\d{4})", 1).try_cast("int")
     texts = [F.col("axis_name"), F.col("title")]
     b = rm.where("name = 'Revenue' and data is not null").select(
@@ -102,7 +102,7 @@ BRANCHES = {"timeline": "interest_over_time.timeline_data/values", "top": "relat
 
 
 def _responses(spark: SparkSession, folder: str) -> tuple[DataFrame, object]:
-    df = once(table(spark, folder, "vsco_3m_daily"), "env_id")
+    df = once(table(spark, folder, "vsco_3m_daily"), "env_id", spread=True)
     own = F.col("raw_response.search_metadata.id")
     return df, F.when(F.trim(own) != "", own).otherwise(F.col("env_id").cast("string"))
 
@@ -130,7 +130,7 @@ def p3_tables(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _segments(spark: SparkSession, folder: str) -> DataFrame:
-    return once(table(spark, folder, "aapl_segmentation", "seg_id", "file_name", "file_date", "symbol", "fiscalYear", "data"), "seg_id")
+    return once(table(spark, folder, "aapl_segmentation", "seg_id", "file_name", "file_date", "symbol", "fiscalYear", "data"), "seg_id", spread=True)
 
 
 def _described(df: DataFrame) -> DataFrame:
