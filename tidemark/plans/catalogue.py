@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import problems
+from tidemark.plans import analytics, market, problems
 
-FLAGSHIP = "p6_found"
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+FLAGSHIP = "indicator_table"
+QUERIES = {**market.QUERIES, **analytics.QUERIES, **problems.QUERIES}
+SQL = {**market.SQL, **analytics.SQL, **problems.SQL}
