@@ -21,7 +21,7 @@ OFFSETS = {"Z": 0, "UTC": 0, "GMT": 0, "UT": 0, "WET": 0, "WEST": 60, "BST": 60,
 REGIONS = {"ET": "America/New_York", "CT": "America/Chicago", "MT": "America/Denver", "PT": "America/Los_Angeles"}
 
 _TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?"
-_HALF = r"(?:\s*([AaPp])\.?[Mm]\.?)?"
+_HALF = r"(?:\s*([AaPp])\.?[Mm](?![A-Za-z])\.?)?"
 _ZONE = r"\s*((?:UTC|GMT)?[+-]\d{2}:?(?:\d{2})?(?:\s*\[[A-Za-z_/+\-0-9]+\])?|[A-Z]{1,4}|[A-Za-z]+/[A-Za-z_/\-]+)?"
 _NAME = r"(jan|feb|mar|apr|may|jun|jul|aug|sept|sep|oct|nov|dec)[a-z]*\.?"
 _DAY = r"(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+)?"
