@@ -90,34 +90,42 @@ def rfm(customers: DataFrame, orders: DataFrame, *, customer: str, order: str, d
     """(customer, recency, frequency, money, r, f, m): days since the last order, orders and spend by as_of, with tiles
     of 1 (worst) to tiles (best). Customers without an order keep a null recency and the lowest tile.
 
-    Tiles follow counts per distinct value, spread over the range of a rank that is formed in two levels, so no task
-    sorts all customers: see tile().
+    Ranks are formed in ranges, so no task sorts all customers: see with_tiles().
     """
     o = orders.where(F.col(day) <= F.lit(as_of).cast("date")).groupBy(customer).agg(F.max(day).alias("last"), F.count_distinct(order).alias("frequency"), F.sum(amount).alias("money"))
     d = customers.select(customer).distinct().join(o, customer, "left").select(customer, F.datediff(F.lit(as_of).cast("date"), "last").alias("recency"), F.coalesce("frequency", F.lit(0)).alias("frequency"), F.coalesce("money", F.lit(0.0)).alias("money"))
-    for name, value in (("r", -F.coalesce(F.col("recency"), F.lit(10**6))), ("f", F.col("frequency")), ("m", F.col("money"))):
-        d = tile(d, value.cast("double"), F.col(customer), tiles, name)
-    return d
+    return with_tiles(d, {"r": -F.coalesce(F.col("recency"), F.lit(10**6)), "f": F.col("frequency"), "m": F.col("money")}, F.col(customer), tiles)
 
 
-def tile(df: DataFrame, value: Column, tie: Column, tiles: int, name: str, buckets: int = 200) -> DataFrame:
-    """df with name: the ntile (1 to tiles) of each row by value, ties by tie, over the whole table.
+def with_tiles(df: DataFrame, values: dict[str, Column], tie: Column, tiles: int, buckets: int = 200) -> DataFrame:
+    """df with, for each name of values, the ntile (1 to tiles) of each row by the value, ties by tie, over the whole table.
 
-    Rows are range-partitioned by approximate quantiles; the counts of the ranges give each range its offset, and
-    ranks are formed within the ranges only.
+    Rows fall into ranges by approximate quantiles; the counts of the ranges (at most buckets a value) give each range
+    its offset, and ranks are formed within the ranges only, so no task sorts the table. df is written once, since it
+    is read for the quantiles, the counts and the result. Null values come first.
     """
-    keyed = df.withColumns({"__v": value, "__t": tie})
-    cuts = keyed.agg(F.percentile_approx("__v", [i / buckets for i in range(1, buckets)], 1000).alias("__cuts"))
-    placed = keyed.join(F.broadcast(cuts)).withColumn("__b", F.size(F.filter("__cuts", lambda c: c < F.col("__v")))).drop("__cuts")
-    sizes = placed.groupBy("__b").count()
-    w = Window.partitionBy().orderBy("__b")
-    offsets = sizes.select("__b", (F.sum("count").over(w) - F.col("count")).alias("__o"), F.sum("count").over(Window.partitionBy()).alias("__all"))
-    rank = F.row_number().over(Window.partitionBy("__b").orderBy("__v", "__t"))
-    d = placed.join(F.broadcast(offsets), "__b").withColumn("__k", F.col("__o") + rank - 1)
-    small, big = F.floor(F.col("__all") / tiles), F.pmod(F.col("__all"), F.lit(tiles))
-    edge = big * (small + 1)
-    n = F.when(F.col("__k") < edge, F.floor(F.col("__k") / (small + 1))).otherwise(big + F.floor(F.try_divide(F.col("__k") - edge, F.nullif(small, F.lit(0)))))
-    return d.withColumn(name, (n + 1).cast("int")).drop("__v", "__t", "__b", "__o", "__all", "__k")
+    from tidemark.session import cut
+
+    names = list(values)
+    base = cut(df.select("*", *[v.cast("double").alias(f"__v_{n}") for n, v in values.items()], tie.alias("__t")))
+    found = base.agg(*[F.percentile_approx(f"__v_{n}", [i / buckets for i in range(1, buckets)], 1000).alias(n) for n in names]).first()
+    place = lambda n: F.size(F.filter(F.array(*map(F.lit, sorted(set(found[n] or [])))).cast("array<double>"), lambda c: c < F.coalesce(F.col(f"__v_{n}"), F.lit(float("-inf")))))
+    out = base.withColumns({f"__b_{n}": place(n) for n in names})
+    counts = out.groupBy(*[f"__b_{n}" for n in names]).count().select(F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"__b_{n}").alias("b"), "count") for n in names])).alias("x")).groupBy("x.n", "x.b").agg(F.sum("x.count").alias("c"))
+    sizes: dict[str, dict[int, int]] = {n: {} for n in names}
+    for r in counts.collect():  # at most buckets rows for each value
+        sizes[r["n"]][r["b"]] = r["c"]
+    for n in names:
+        before, total = {}, 0
+        for b in sorted(sizes[n]):
+            before[b], total = total, total + sizes[n][b]
+        offset = F.element_at(F.create_map(*[F.lit(x) for kv in (before or {0: 0}).items() for x in kv]), F.col(f"__b_{n}"))
+        k = offset + F.row_number().over(Window.partitionBy(f"__b_{n}").orderBy(F.col(f"__v_{n}").asc_nulls_first(), "__t")) - 1
+        small, big = divmod(total, tiles)
+        edge = big * (small + 1)
+        t = F.when(k < edge, F.floor(k / (small + 1))).otherwise(big + F.floor((k - edge) / max(small, 1)))
+        out = out.withColumn(n, (t + 1).cast("int"))
+    return out.drop("__t", *[f"__{x}_{n}" for n in names for x in "vb"])
 
 
 def beta(df: DataFrame, asset: str, market: str, by: Sequence[str] = ()) -> DataFrame:

@@ -192,7 +192,7 @@ def segment_matrix(s: Session, d: str) -> DataFrame:
 def dcf_grid(s: Session, d: str) -> DataFrame:
     base = s.createDataFrame([(1000.0, 0.08, 0.22, 0.05, 0.10, 0.25, 5, 150.0, 100.0)], "base_revenue double, growth double, margin double, capex_pct double, nwc_pct double, tax double, years int, net_debt double, shares double")
     cases = models.grid(base, {"wacc": [0.07, 0.08, 0.09, 0.02], "terminal_growth": [0.02, 0.025, 0.03]})
-    return models.enterprise_value(cases, ["wacc", "terminal_growth"]).select("wacc", "terminal_growth", *[F.round(c, 4).alias(c) for c in ("pv_fcf", "terminal", "ev", "per_share", "terminal_pct")])
+    return models.enterprise_value(cases, ["wacc", "terminal_growth"]).select("wacc", "terminal_growth", *[F.round(c, 3).alias(c) for c in ("pv_fcf", "terminal", "ev", "per_share", "terminal_pct")])
 
 
 def tornado(s: Session, d: str) -> DataFrame:
@@ -257,7 +257,7 @@ def shape(s: Session, d: str) -> DataFrame:
 
 
 def outliers(s: Session, d: str) -> DataFrame:
-    return profile.iqr_outliers(table(s, d, "orders", "o_orderkey", "o_orderpriority", "o_totalprice"), "o_totalprice", ["o_orderpriority"], 1.0).select("o_orderkey", *[F.round(c, 2).alias(c) for c in ("lo", "hi")])
+    return profile.iqr_outliers(table(s, d, "orders", "o_orderkey", "o_orderpriority", "o_totalprice"), "o_totalprice", ["o_orderpriority"], 0.5).select("o_orderkey", *[F.round(c, 2).alias(c) for c in ("lo", "hi")])
 
 
 def z_scores(s: Session, d: str) -> DataFrame:
@@ -383,7 +383,7 @@ SQL = {
     "revenue_bridge": "WITH i AS (SELECT DISTINCT inc_id, coalesce(revenue, 0) AS r, coalesce(costOfRevenue, 0) AS c, coalesce(operatingExpenses, 0) AS e, coalesce(incomeBeforeTax, netIncome + coalesce(incomeTaxExpense, 0)) AS p, netIncome AS n FROM aapl_income_quarter) SELECT inc_id, step_no, step, CAST(amount AS BIGINT) AS amount FROM (SELECT inc_id, unnest([1, 2, 3, 4, 5, 6, 7, 8]) AS step_no, unnest(['revenue', 'cost of revenue', 'gross profit', 'operating expenses', 'operating income', 'other', 'income tax', 'net income']) AS step, unnest([r, -c, r - c, -e, r - c - e, p - (r - c - e), n - p, n]) AS amount FROM i)",
     "earnings_surprise": "SELECT DISTINCT earn_id, round((epsActual - epsEstimated) / nullif(abs(epsEstimated), 0) * 100, 4) AS eps_surprise, round((revenueActual - revenueEstimated) / CAST(nullif(abs(revenueEstimated), 0) AS DOUBLE) * 100, 4) AS revenue_surprise FROM aapl_earnings WHERE epsActual IS NOT NULL",
     "search_interest": "WITH v AS (SELECT DISTINCT env_id, raw_response.interest_over_time.timeline_data AS tl FROM vsco_3m_daily), t AS (SELECT env_id, unnest(tl) AS t FROM v), p AS (SELECT env_id, CAST(make_timestamp(try_cast(t.timestamp AS BIGINT) * 1000000) AS DATE) AS day, unnest(t.values) AS x, t.partial_data AS pd FROM t WHERE t IS NOT NULL) SELECT x.query AS q, day, arg_max(x.extracted_value, env_id) AS interest FROM p WHERE x IS NOT NULL AND day IS NOT NULL AND x.query IS NOT NULL AND NOT coalesce(pd, false) GROUP BY 1, 2",
-    "dcf_grid": "WITH w(wacc) AS (VALUES (0.07::DOUBLE), (0.08::DOUBLE), (0.09::DOUBLE), (0.02::DOUBLE)), g(terminal_growth) AS (VALUES (0.02::DOUBLE), (0.025::DOUBLE), (0.03::DOUBLE)), y AS (SELECT unnest(range(1, 6)) AS t), f AS (SELECT t, 1000 * pow(1.08, t) * (0.22 - 0.05) * 0.75 - (1000 * pow(1.08, t) * 0.10 - CASE WHEN t = 1 THEN 100.0 ELSE 1000 * pow(1.08, t - 1) * 0.10 END) AS fcf FROM y), p AS (SELECT wacc, terminal_growth, sum(fcf / pow(1 + wacc, t)) AS pv, max(fcf) FILTER (WHERE t = 5) AS l FROM w, g, f GROUP BY 1, 2), e AS (SELECT *, CASE WHEN wacc > terminal_growth THEN l * (1 + terminal_growth) / (wacc - terminal_growth) / pow(1 + wacc, 5) END AS tv FROM p) SELECT wacc, terminal_growth, round(pv, 4) AS pv_fcf, round(tv, 4) AS terminal, round(pv + tv, 4) AS ev, round((pv + tv - 150) / 100, 4) AS per_share, round(tv / (pv + tv) * 100, 4) AS terminal_pct FROM e",
+    "dcf_grid": "WITH w(wacc) AS (VALUES (0.07::DOUBLE), (0.08::DOUBLE), (0.09::DOUBLE), (0.02::DOUBLE)), g(terminal_growth) AS (VALUES (0.02::DOUBLE), (0.025::DOUBLE), (0.03::DOUBLE)), y AS (SELECT unnest(range(1, 6)) AS t), f AS (SELECT t, 1000 * pow(1.08, t) * (0.22 - 0.05) * 0.75 - (1000 * pow(1.08, t) * 0.10 - CASE WHEN t = 1 THEN 100.0 ELSE 1000 * pow(1.08, t - 1) * 0.10 END) AS fcf FROM y), p AS (SELECT wacc, terminal_growth, sum(fcf / pow(1 + wacc, t)) AS pv, max(fcf) FILTER (WHERE t = 5) AS l FROM w, g, f GROUP BY 1, 2), e AS (SELECT *, CASE WHEN wacc > terminal_growth THEN l * (1 + terminal_growth) / (wacc - terminal_growth) / pow(1 + wacc, 5) END AS tv FROM p) SELECT wacc, terminal_growth, round(pv, 3) AS pv_fcf, round(tv, 3) AS terminal, round(pv + tv, 3) AS ev, round((pv + tv - 150) / 100, 3) AS per_share, round(tv / (pv + tv) * 100, 3) AS terminal_pct FROM e",
     "tornado": "SELECT * FROM (VALUES ('revenue', 1600.0::DOUBLE, 2400.0::DOUBLE, 800.0::DOUBLE), ('margin', 1500.0, 2200.0, 700.0), ('multiple', 1600.0, 2600.0, 1000.0)) AS t(variable, at_low, at_high, impact)",
     "margin_sweep": "SELECT round(0.1 + i * 0.05, 4)::DOUBLE AS margin, round(1000 * (0.1 + i * 0.05) * 10, 4)::DOUBLE AS output, round(1000 * (0.1 + i * 0.05) * 10 - 2000, 4)::DOUBLE AS output_change FROM range(5) AS t(i)",
     "breakeven_price": "SELECT p_partkey, CASE WHEN p_retailprice / 0.8 BETWEEN 0 AND 5000 THEN round(p_retailprice / 0.8, 3) END AS breakeven FROM part",
@@ -395,7 +395,7 @@ SQL = {
     "missing": " UNION ALL ".join(f"SELECT '{c}' AS name, count(*) AS n_rows, count(*) - count({c}) AS n_missing, round((count(*) - count({c})) / CAST(count(*) AS DOUBLE), 4) AS share FROM documents" for c in ("doc_id", "text", "lang", "source", "symbol", "doc_date")),
     "duplicates": "WITH p AS (SELECT count(*) AS c FROM documents GROUP BY text, lang, source) SELECT CAST(sum(c) AS BIGINT) AS n_rows, count(*) AS n_distinct, CAST(sum(c) - count(*) AS BIGINT) AS n_duplicates FROM p",
     "shape": "SELECT l_returnflag, round(skewness(l_extendedprice), 4) AS skew, round(kurtosis(l_extendedprice), 4) AS kurt FROM lineitem GROUP BY 1",
-    "outliers": "WITH q AS (SELECT o_orderpriority, quantile_cont(o_totalprice, 0.25) AS a, quantile_cont(o_totalprice, 0.75) AS z FROM orders GROUP BY 1) SELECT o_orderkey, round(a - (z - a), 2) AS lo, round(z + (z - a), 2) AS hi FROM orders JOIN q USING (o_orderpriority) WHERE o_totalprice < a - (z - a) OR o_totalprice > z + (z - a)",
+    "outliers": "WITH q AS (SELECT o_orderpriority, quantile_cont(o_totalprice, 0.25) AS a, quantile_cont(o_totalprice, 0.75) AS z FROM orders GROUP BY 1) SELECT o_orderkey, round(a - 0.5 * (z - a), 2) AS lo, round(z + 0.5 * (z - a), 2) AS hi FROM orders JOIN q USING (o_orderpriority) WHERE o_totalprice < a - 0.5 * (z - a) OR o_totalprice > z + 0.5 * (z - a)",
     "z_scores": "WITH s AS (SELECT event_type, avg(value) AS m, stddev_samp(value) AS sd FROM events GROUP BY 1) SELECT event_id, round((value - m) / nullif(sd, 0), 4) AS z FROM events JOIN s USING (event_type) WHERE abs((value - m) / nullif(sd, 0)) > 2",
     "quality": "WITH r AS (SELECT *, CASE WHEN name IN ('Revenue', 'Net income', 'Net margin') AND data > 0 THEN 1 ELSE 0 END AS ok, (CASE WHEN symbol IS NULL THEN 0 ELSE 1 END) + (CASE WHEN category IS NULL THEN 0 ELSE 1 END) + (CASE WHEN name IS NULL THEN 0 ELSE 1 END) + (CASE WHEN data IS NULL THEN 0 ELSE 1 END) + (CASE WHEN unit IS NULL THEN 0 ELSE 1 END) + (CASE WHEN currency IS NULL THEN 0 ELSE 1 END) + 1 AS f FROM revenue_margins), a AS (SELECT sum(f) / (count(*) * 7.0) AS c, count(DISTINCT point_id) / CAST(count(*) AS DOUBLE) AS u, sum(ok) / CAST(count(*) AS DOUBLE) AS v FROM r) SELECT round(CAST(c AS DOUBLE), 4) AS completeness, round(u, 4) AS uniqueness, round(v, 4) AS validity, round(CAST((c + u + v) / 3 AS DOUBLE), 4) AS score FROM a",
     "beta": "SELECT l_returnflag, round(covar_samp(l_extendedprice, l_quantity) / var_pop(l_quantity), 4) AS beta, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope FROM lineitem GROUP BY 1",
