@@ -10,7 +10,7 @@ SPACES = r"^[\s 　]+|[\s 　]+$"
 
 def trimmed(c: Column) -> Column:
     """The text without white space at its ends; null stays null."""
-    return F.regexp_replace(c, SPACES, "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def symbol_key(c: Column) -> Column:

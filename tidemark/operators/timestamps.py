@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import cut
+
 # Month names and zone abbreviations (minutes east of UTC).
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 OFFSETS = {"Z": 0, "UTC": 0, "GMT": 0, "UT": 0, "WET": 0, "WEST": 60, "BST": 60, "CET": 60, "CEST": 120, "EET": 120, "EEST": 180, "EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420, "JST": 540, "KST": 540, "HKT": 480, "SGT": 480, "IST": 330}
@@ -143,7 +145,7 @@ def normalise_times(df: DataFrame, *, source: str, value: str, zones: dict[str,
     threshold; epoch_ms null), 'unreadable' (no real day and time) or 'missing' (null). Columns of df with one of the
     new names are replaced. An empty df gives an empty result.
 
-    The shares are estimated from counts of signatures (at most two to the number of formats, times two for each, in
+    The readings are written once to the shared folder. The shares are estimated from counts of signatures (at most two to the number of formats, times two for each, in
     practice some dozens a source), which one aggregation with partial sums forms from all rows.
     """
     new = ["epoch_ms", "time_format", "posterior", "time_status"]
@@ -155,8 +157,10 @@ def normalise_times(df: DataFrame, *, source: str, value: str, zones: dict[str,
     others = readings(F.col(value), "UTC", formats)
     special = [n for n, z in (zones or {}).items() if z != "UTC"]
     read = F.when(F.col(source).isin(special), read).otherwise(others) if special else others
-    # The generator keeps the optimiser from copying the reading into each place that uses it.
+    # The generator keeps the optimiser from copying the reading into each place that uses it; the table written here
+    # keeps the counts and the result from reading each value twice.
     data = kept.select("*", F.explode(F.array(F.struct(read.alias("r")))).alias("__x")).withColumn("__read", F.col("__x.r")).drop("__x").withColumn("__sig", F.concat_ws(",", F.transform("__read", lambda x: F.concat(x["format"], F.when((x["epoch_ms"] >= lo) & (x["epoch_ms"] < hi), "+").otherwise("-")))))
+    data = cut(data)
     counts = data.where("__sig <> ''").groupBy(F.col(source).alias("__src"), "__sig").agg(F.count("*").alias("__n"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -9,14 +9,16 @@ entity nor pairs of events and intervals arise, however many rows an entity has.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import cut
+
 DAY = 86_400_000
-#: Days are counted from this many before 1970, and the tree spans 2**17 of them: the years 1790 to 2149.
-ORIGIN, DAY_BITS, MS_BITS = 2**16, 17, 27
+MS_BITS = 27
 
 
 def _levels(bits: int, stride: int) -> list[int]:
@@ -43,6 +45,22 @@ def _around(x: Column, levels: Sequence[int]) -> Column:
     return F.array(*[F.struct(F.lit(level).alias("level"), F.shiftright(x, level).alias("prefix")) for level in levels])
 
 
+def _best(attributes: DataFrame, precedence: Sequence[str], attribute_id: str) -> tuple[Column, Callable[[Column], Column]]:
+    """A value that compares as the precedence columns and then the id, and the id of such a value.
+
+    A single bigint precedence and a bigint id, none of them negative, are packed into one decimal, whose maximum Spark
+    forms by hashing; all else becomes a struct, for which it must sort.
+    """
+    kinds = dict(attributes.dtypes)
+    if len(precedence) == 1 and kinds[precedence[0]] == kinds[attribute_id] == "bigint":
+        r = attributes.agg(F.min(precedence[0]), F.max(precedence[0]), F.min(attribute_id)).first()
+        if None not in r and r[0] >= 0 and r[1] < 2**62 and r[2] >= 0:
+            base = F.lit(Decimal(10**19))
+            first = F.coalesce(F.col(precedence[0]) + 1, F.lit(0)).cast("decimal(18,0)" if r[1] < 10**17 else "decimal(19,0)")
+            return (first * base + F.col(attribute_id)).cast("decimal(38,0)"), lambda c: (c % base).cast("bigint")
+    return F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(precedence)], F.col(attribute_id).alias("id")), lambda c: c.getField("id")
+
+
 def as_known_at(events: DataFrame, attributes: DataFrame, *, entity: str, event_id: str, event_time: str, attribute_id: str, valid_from: str, valid_to: str | None = None, precedence: Sequence[str] = (), stride: int = 3) -> DataFrame:
     """(event_id, attribute_id): for each event the attribute row valid at its time that comes first by precedence.
 
@@ -50,35 +68,47 @@ def as_known_at(events: DataFrame, attributes: DataFrame, *, entity: str, event_
     in [valid_from, valid_to), without an end where valid_to is not given or null. Of several valid rows the one with
     the greatest precedence columns, in their order, wins, at last the greatest attribute_id; nulls in them come last.
 
-    Events with a null entity, time or id, rows with a null entity or valid_from, empty intervals and events outside
-    the years 1790 to 2149 match nothing; events without a match aren't returned. Repeated rows count once. Other
-    columns of either input are neither read nor returned, so clashing names do no harm.
+    Events with a null entity, time or id, rows with a null entity, id or valid_from, and empty intervals match
+    nothing; events without a match aren't returned. Repeated rows count once; where an event_id has several times or
+    entities, the first by precedence of their matches is returned. Other columns of either input are neither read nor
+    returned, so clashing names do no harm.
 
-    Only every stride-th level of the tree is used: events meet fewer nodes, intervals have more.
+    The tree spans the days between the first and the last event. Only every stride-th level of it is used: events
+    meet fewer nodes, intervals have more. The three needed columns of the events are written once, as they're read
+    for the span, the days and the result.
     """
-    top = (1 << DAY_BITS) * DAY
-    shift = ORIGIN * DAY
-    days, millis = _levels(DAY_BITS, stride), _levels(MS_BITS, stride)
-    begin = F.greatest(F.col(valid_from).cast("long") + shift, F.lit(0).cast("long"))
-    end = F.coalesce(F.col(valid_to).cast("long") + shift, F.lit(top)) if valid_to else F.lit(top)
-    best = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(precedence)], F.col(attribute_id).alias("id"))
-    rows = attributes.where(F.col(entity).isNotNull() & F.col(valid_from).isNotNull() & F.col(attribute_id).isNotNull()).select(F.col(entity).alias("e"), begin.alias("a"), F.least(end, F.lit(top)).alias("b"), best.alias("best")).where("a < b")
+    ev = cut(events.where(F.col(entity).isNotNull() & F.col(event_time).isNotNull() & F.col(event_id).isNotNull()).select(F.col(entity).alias("e"), F.col(event_id).alias("id"), F.col(event_time).cast("long").alias("t")))
+    lo, hi = ev.agg(F.min("t"), F.max("t")).first()
+    first_day, last_day = (lo or 0) // DAY, (hi or 0) // DAY
+    days, millis = _levels(max((last_day - first_day).bit_length(), 1), stride), _levels(MS_BITS, stride)
+    top = (last_day - first_day + 1) * DAY
+    usable = attributes.where(F.col(entity).isNotNull() & F.col(valid_from).isNotNull() & F.col(attribute_id).isNotNull())
+    packed, unpacked = _best(usable, precedence, attribute_id)
+    begin = F.greatest(F.col(valid_from).cast("long") - first_day * DAY, F.lit(0).cast("long"))
+    end = F.least(F.coalesce(F.col(valid_to).cast("long") - first_day * DAY, F.lit(top)), F.lit(top)) if valid_to else F.lit(top)
+    rows = usable.select(F.col(entity).alias("e"), begin.alias("a"), end.alias("b"), packed.alias("best")).where("a < b")
     first, last = F.expr(f"a div {DAY}"), F.expr(f"b div {DAY}")
-    whole = _cover(F.expr(f"(a + {DAY - 1}) div {DAY}"), last, days)
+    node = F.col("n.level").cast("long") * 2**40 + F.col("n.prefix")
     part = lambda day, x, y: F.struct(day.alias("day"), x.cast("long").alias("x"), y.cast("long").alias("y"))
-    head = F.when(F.expr(f"a % {DAY} <> 0"), F.array(part(first, F.expr(f"a % {DAY}"), F.least(F.lit(DAY).cast("long"), F.col("b") - first * DAY)))).otherwise(F.array().cast("array<struct<day:bigint,x:bigint,y:bigint>>"))
-    tail = F.when(F.expr(f"b % {DAY} <> 0") & ((last > first) | F.expr(f"a % {DAY} = 0")), F.array(part(last, F.lit(0), F.expr(f"b % {DAY}")))).otherwise(F.array().cast("array<struct<day:bigint,x:bigint,y:bigint>>"))
-    coarse = rows.select("e", "best", F.explode(whole).alias("n")).groupBy("e", "n.level", "n.prefix").agg(F.max("best").alias("best"))
-    ends = rows.select("e", "best", F.explode(F.concat(head, tail)).alias("p")).select("e", "best", F.col("p.day").alias("day"), F.explode(_cover(F.col("p.x"), F.col("p.y"), millis)).alias("n"))
-    fine = ends.groupBy("e", "day", "n.level", "n.prefix").agg(F.max("best").alias("best"))
-    split = ends.select("e", "day").distinct()
-
-    at = F.col(event_time).cast("long") + shift
-    seen = events.where(F.col(entity).isNotNull() & F.col(event_time).isNotNull() & F.col(event_id).isNotNull()).select(F.col(entity).alias("e"), F.col(event_id).alias("id"), at.alias("t")).where(f"t >= 0 and t < {top}").select("e", "id", F.expr(f"t div {DAY}").alias("day"), F.expr(f"t % {DAY}").alias("ms"))
-    # Events of an entity on one day share their whole-day nodes: the tree is asked once for them.
-    by_day = seen.select("e", "day").distinct().select("e", "day", F.explode(_around(F.col("day"), days)).alias("n")).select("e", "day", "n.level", "n.prefix")
-    day_best = by_day.join(coarse, ["e", "level", "prefix"]).groupBy("e", "day").agg(F.max("best").alias("day_best"))
-    in_split = seen.select("e", "day", "ms").distinct().join(split, ["e", "day"], "left_semi").select("e", "day", "ms", F.explode(_around(F.col("ms"), millis)).alias("n")).select("e", "day", "ms", "n.level", "n.prefix")
-    ms_best = in_split.join(fine, ["e", "day", "level", "prefix"]).groupBy("e", "day", "ms").agg(F.max("best").alias("ms_best"))
-    found = seen.join(day_best, ["e", "day"], "left").join(ms_best, ["e", "day", "ms"], "left")
-    return found.select(F.col("id").alias(event_id), F.greatest("day_best", "ms_best").getField("id").alias(attribute_id)).where(F.col(attribute_id).isNotNull()).distinct()
+    none = F.array().cast("array<struct<day:bigint,x:bigint,y:bigint>>")
+    head = F.when(F.expr(f"a % {DAY} <> 0"), F.array(part(first, F.expr(f"a % {DAY}"), F.least(F.lit(DAY).cast("long"), F.col("b") - first * DAY)))).otherwise(none)
+    tail = F.when(F.expr(f"b % {DAY} <> 0") & ((last > first) | F.expr(f"a % {DAY} = 0")), F.array(part(last, F.lit(0), F.expr(f"b % {DAY}")))).otherwise(none)
+    coarse = rows.select("e", "best", F.explode(_cover(F.expr(f"(a + {DAY - 1}) div {DAY}"), last, days)).alias("n")).groupBy("e", node.alias("node")).agg(F.max("best").alias("best"))
+
+    at = F.col("t") - first_day * DAY
+    seen = ev.select("e", "id", F.expr(f"(t - {first_day * DAY}) div {DAY}").alias("day"), (at % DAY).alias("ms"))
+    # Events of an entity on one day share their whole-day nodes: the tree is asked once for them, so a node meets at
+    # most as many rows as it has days.
+    event_days = seen.select("e", "day").distinct()
+    asked = event_days.select("e", "day", F.explode(_around(F.col("day"), days)).alias("n")).select("e", "day", node.alias("node"))
+    day_best = asked.join(coarse, ["e", "node"]).groupBy("e", "day").agg(F.max("best").alias("best"))
+    by_day = seen.select("e", "day", "id").join(day_best, ["e", "day"]).select("id", "best")
+    # Days in which an interval begins or ends are asked by the millisecond, if they have events at all.
+    ends = rows.select("e", "best", F.explode(F.concat(head, tail)).alias("p")).select("e", "best", "p.day", "p.x", "p.y").join(event_days, ["e", "day"], "left_semi")
+    fine = ends.select("e", "best", "day", F.explode(_cover(F.col("x"), F.col("y"), millis)).alias("n")).groupBy("e", "day", node.alias("node")).agg(F.max("best").alias("best"))
+    times = seen.join(ends.select("e", "day").distinct(), ["e", "day"], "left_semi")
+    by_ms = times.select("e", "day", "ms").distinct().select("e", "day", "ms", F.explode(_around(F.col("ms"), millis)).alias("n")).select("e", "day", "ms", node.alias("node"))
+    ms_best = by_ms.join(fine, ["e", "day", "node"]).groupBy("e", "day", "ms").agg(F.max("best").alias("best"))
+    late = times.join(ms_best, ["e", "day", "ms"]).select("id", "best")
+    found = by_day.unionByName(late).groupBy("id").agg(F.max("best").alias("best"))
+    return found.select(F.col("id").alias(event_id), unpacked(F.col("best")).alias(attribute_id))

@@ -52,10 +52,12 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     q = q.withColumn("src", F.lit("acceptedDate"))
     q = timestamps.normalise_times(q, source="src", value="acceptedDate", zones=ZONES, formats=TIME_FORMATS)
     filed = (F.unix_date(calendar_day(F.col("filingDate"))).cast("long") + 1) * validity.DAY
-    known = q.select("key", "inc_id", F.unix_date("day").alias("day"), F.coalesce("epoch_ms", filed).alias("known"))
-    seen = once(table(spark, folder, "universe_events", "event_id", "ticker", "fetched_at"), "event_id")
-    seen = seen.select("event_id", symbol_key(F.col("ticker")).alias("key"), F.unix_millis(F.try_to_timestamp("fetched_at", F.lit("yyyy-MM-dd'T'HH:mm:ssX"))).alias("at"))
-    return validity.as_known_at(seen, known, entity="key", event_id="event_id", event_time="at", attribute_id="inc_id", valid_from="known", precedence=["day", "known"])
+    known = q.select("key", "inc_id", F.unix_date("day").cast("bigint").alias("day"), F.coalesce("epoch_ms", filed).alias("known")).where("known is not null")
+    # Latest date first, then known latest: both, counted from 1900, in one number (17 and 45 bits reach beyond 2250).
+    known = known.withColumn("rank", F.shiftleft(F.col("day") + 25567, 45) + F.col("known") + 25567 * validity.DAY)
+    seen = table(spark, folder, "universe_events", "event_id", "ticker", "fetched_at").where("fetched_at is not null")
+    seen = seen.select("event_id", symbol_key(F.col("ticker")).alias("key"), F.unix_millis(F.col("fetched_at").try_cast("timestamp")).alias("at"))
+    return validity.as_known_at(seen, known, entity="key", event_id="event_id", event_time="at", attribute_id="inc_id", valid_from="known", precedence=["rank"])
 
 
 def _amounts(spark: SparkSession, folder: str) -> DataFrame:

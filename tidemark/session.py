@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,10 +34,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df once in the shared folder and continue from there: a plan that reads it several times runs it
-    once, and a lost executor costs no recomputation of what lies before."""
+    """df, written once as a Parquet table in the shared folder and read from there: a plan that uses it several times
+    computes it once, readers take only the columns they need, and a lost executor costs nothing that lies before."""
     spark = df.sparkSession
-    found = shared_dir(spark)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(spark).rstrip('/')}/tidemark/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
