@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACES = r"^[\s 　]+|[\s 　]+$"
+SPACES = " \t\n\r\x0b\x0c\u00a0\u3000"
 
 
 def trimmed(c: Column) -> Column:
