@@ -13,7 +13,7 @@ def test_against_all_pairs(spark, packed, stride):
     sign = 1 if packed else -1
     at = [(rnd.choice("AAB"), i, rnd.randint(0, 10 * DAY), rnd.choice([None, rnd.randint(0, 12 * DAY)]), sign * rnd.randint(0, 5)) for i in range(150)]
     at += [("A", 900, 3 * DAY, 4 * DAY, 9), ("A", 901, 3 * DAY, 3 * DAY + 5, 10), ("A", 901, 3 * DAY, 3 * DAY + 5, 10), ("B", 902, None, None, 99), (None, 903, 0, None, 99), ("B", 904, 5, 5, 99), ("C", 905, 3 * DAY, None, 1)]
-    ev = [(rnd.choice("ABD"), i, rnd.randint(-DAY, 13 * DAY)) for i in range(200)] + [("A", 1000 + i, 3 * DAY + i) for i in range(10)] + [("C", 2000, 3 * DAY - 1), ("C", 2001, 3 * DAY), ("A", 1000, 3 * DAY), (None, 3000, 5), ("A", 3001, None)]
+    ev = [(rnd.choice("ABD"), i, rnd.randint(-DAY, 13 * DAY)) for i in range(200)] + [("A", 1000 + i, 3 * DAY + i) for i in range(10)] + [("C", 2000, 3 * DAY - 1), ("C", 2001, 3 * DAY), ("A", 1000, 3 * DAY), ("A", 1000, 3 * DAY), (None, 3000, 5), ("A", 3001, None)]
     a = spark.createDataFrame(at, "k string, id long, f long, t long, p long").withColumn("ts", F.lit("clash"))
     e = spark.createDataFrame(ev, "k string, ev long, ts long").withColumn("p", F.lit("clash"))
     got = [tuple(r) for r in as_known_at(e, a, entity="k", event_id="ev", event_time="ts", attribute_id="id", valid_from="f", valid_to="t", precedence=["p"], stride=stride).collect()]

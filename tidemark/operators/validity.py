@@ -1,7 +1,7 @@
 """Attributes as they were known at the time of an event, by dyadic time nodes.
 
-A validity interval [from, to) is covered by nodes of a dyadic tree over time: whole days in one tree, the parts of
-days at its ends in a tree over the milliseconds of that day. An event lies in exactly one node of each level, so it
+A validity interval [from, to) is covered by nodes of dyadic trees over time: whole days in one tree, what is left at
+its ends by whole minutes in another, and the rest by milliseconds. An event lies in exactly one node of each level, so it
 meets all intervals around it by equality of nodes; since a node of a cover lies wholly inside its interval, such a
 match is exact, and of all intervals over one node only the first by precedence need stay. Neither a window over an
 entity nor pairs of events and intervals arise, however many rows an entity has.
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from tidemark.session import cut
 
 DAY = 86_400_000
-MS_BITS = 27
+#: Units of the trees below that of days, in milliseconds, with the bits that number them within the unit above.
+FINER = ((60_000, 11), (1, 16))
 
 
 def _levels(bits: int, stride: int) -> list[int]:
@@ -61,6 +62,31 @@ def _best(attributes: DataFrame, precedence: Sequence[str], attribute_id: str) -
     return F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(precedence)], F.col(attribute_id).alias("id")), lambda c: c.getField("id")
 
 
+def _tier(points: DataFrame, pieces: DataFrame, unit: int, levels: Sequence[int]) -> tuple[DataFrame, DataFrame]:
+    """(e, u, best) of the whole units in which points lie, and the parts of pieces left at their ends in units that
+    have points (e, u, a, b, best).
+
+    points have u, the number of their unit; pieces are [a, b) in milliseconds. Points of an entity in one unit share
+    its nodes: the tree is asked once for them, so a node meets at most as many rows as it has units.
+    """
+    first, last = F.expr(f"a div {unit}"), F.expr(f"b div {unit}")
+    node = F.col("n.level").cast("long") * 2**52 + F.col("n.prefix")
+    nodes = pieces.select("e", "best", F.explode(_cover(F.expr(f"(a + {unit - 1}) div {unit}"), last, levels)).alias("n")).groupBy("e", node.alias("node")).agg(F.max("best").alias("best"))
+    units = points.select("e", "u").distinct()
+    # Unit and level travel as one number; the node is formed where the sides meet.
+    asked = units.select(F.col("e").alias("ae"), F.explode(F.array(*[F.col("u") * 64 + level for level in levels])).alias("ul"))
+    at = F.expr(f"(ul % 64) * {2**52} + shiftright(ul div 64, cast(ul % 64 as int))")
+    best = asked.join(nodes, (F.col("ae") == F.col("e")) & (at == F.col("node"))).groupBy("e", F.expr("ul div 64").alias("u")).agg(F.max("best").alias("best"))
+    none = F.array().cast("array<struct<u:bigint,a:bigint,b:bigint>>")
+    if unit == 1:
+        return best, pieces.select("e", F.lit(0).cast("long").alias("u"), "a", "b", "best").where("false")
+    part = lambda u, a, b: F.array(F.struct(u.alias("u"), a.cast("long").alias("a"), b.cast("long").alias("b")))
+    head = F.when(F.expr(f"a % {unit} <> 0"), part(first, F.col("a"), F.least((first + 1) * unit, F.col("b")))).otherwise(none)
+    tail = F.when(F.expr(f"b % {unit} <> 0") & ((last > first) | F.expr(f"a % {unit} = 0")), part(last, last * unit, F.col("b"))).otherwise(none)
+    rest = pieces.select("e", "best", F.explode(F.concat(head, tail)).alias("p")).select("e", "p.u", "p.a", "p.b", "best")
+    return best, rest.join(units, ["e", "u"], "left_semi")
+
+
 def as_known_at(events: DataFrame, attributes: DataFrame, *, entity: str, event_id: str, event_time: str, attribute_id: str, valid_from: str, valid_to: str | None = None, precedence: Sequence[str] = (), stride: int = 3) -> DataFrame:
     """(event_id, attribute_id): for each event the attribute row valid at its time that comes first by precedence.
 
@@ -69,46 +95,43 @@ def as_known_at(events: DataFrame, attributes: DataFrame, *, entity: str, event_
     the greatest precedence columns, in their order, wins, at last the greatest attribute_id; nulls in them come last.
 
     Events with a null entity, time or id, rows with a null entity, id or valid_from, and empty intervals match
-    nothing; events without a match aren't returned. Repeated rows count once; where an event_id has several times or
-    entities, the first by precedence of their matches is returned. Other columns of either input are neither read nor
-    returned, so clashing names do no harm.
-
-    The tree spans the days between the first and the last event. Only every stride-th level of it is used: events
-    meet fewer nodes, intervals have more. The three needed columns of the events are written once, as they're read
-    for the span, the days and the result.
+    nothing; events without a match aren't returned. Repeated rows count once; an event_id with several entities or
+    times is answered for each. Other columns of either input are neither read nor returned, so clashing names do no
+    harm.
+
+    The tree spans the days between the first and the last event, which one scan of the times finds. Only every
+    stride-th level of it is used: events meet fewer nodes, intervals have more. Events are shuffled once, by entity
+    and day; everything they take part in afterwards keeps that order, but for the small rest on days in which an
+    interval begins or ends.
     """
-    ev = cut(events.where(F.col(entity).isNotNull() & F.col(event_time).isNotNull() & F.col(event_id).isNotNull()).select(F.col(entity).alias("e"), F.col(event_id).alias("id"), F.col(event_time).cast("long").alias("t")))
-    lo, hi = ev.agg(F.min("t"), F.max("t")).first()
+    ev = events.where(F.col(entity).isNotNull() & F.col(event_time).isNotNull() & F.col(event_id).isNotNull())
+    lo, hi = ev.agg(F.min(event_time).cast("long"), F.max(event_time).cast("long")).first()
     first_day, last_day = (lo or 0) // DAY, (hi or 0) // DAY
-    days, millis = _levels(max((last_day - first_day).bit_length(), 1), stride), _levels(MS_BITS, stride)
     top = (last_day - first_day + 1) * DAY
     usable = attributes.where(F.col(entity).isNotNull() & F.col(valid_from).isNotNull() & F.col(attribute_id).isNotNull())
     packed, unpacked = _best(usable, precedence, attribute_id)
     begin = F.greatest(F.col(valid_from).cast("long") - first_day * DAY, F.lit(0).cast("long"))
     end = F.least(F.coalesce(F.col(valid_to).cast("long") - first_day * DAY, F.lit(top)), F.lit(top)) if valid_to else F.lit(top)
-    rows = usable.select(F.col(entity).alias("e"), begin.alias("a"), end.alias("b"), packed.alias("best")).where("a < b")
-    first, last = F.expr(f"a div {DAY}"), F.expr(f"b div {DAY}")
-    node = F.col("n.level").cast("long") * 2**40 + F.col("n.prefix")
-    part = lambda day, x, y: F.struct(day.alias("day"), x.cast("long").alias("x"), y.cast("long").alias("y"))
-    none = F.array().cast("array<struct<day:bigint,x:bigint,y:bigint>>")
-    head = F.when(F.expr(f"a % {DAY} <> 0"), F.array(part(first, F.expr(f"a % {DAY}"), F.least(F.lit(DAY).cast("long"), F.col("b") - first * DAY)))).otherwise(none)
-    tail = F.when(F.expr(f"b % {DAY} <> 0") & ((last > first) | F.expr(f"a % {DAY} = 0")), F.array(part(last, F.lit(0), F.expr(f"b % {DAY}")))).otherwise(none)
-    coarse = rows.select("e", "best", F.explode(_cover(F.expr(f"(a + {DAY - 1}) div {DAY}"), last, days)).alias("n")).groupBy("e", node.alias("node")).agg(F.max("best").alias("best"))
-
-    at = F.col("t") - first_day * DAY
-    seen = ev.select("e", "id", F.expr(f"(t - {first_day * DAY}) div {DAY}").alias("day"), (at % DAY).alias("ms"))
-    # Events of an entity on one day share their whole-day nodes: the tree is asked once for them, so a node meets at
-    # most as many rows as it has days.
-    event_days = seen.select("e", "day").distinct()
-    asked = event_days.select("e", "day", F.explode(_around(F.col("day"), days)).alias("n")).select("e", "day", node.alias("node"))
-    day_best = asked.join(coarse, ["e", "node"]).groupBy("e", "day").agg(F.max("best").alias("best"))
-    by_day = seen.select("e", "day", "id").join(day_best, ["e", "day"]).select("id", "best")
-    # Days in which an interval begins or ends are asked by the millisecond, if they have events at all.
-    ends = rows.select("e", "best", F.explode(F.concat(head, tail)).alias("p")).select("e", "best", "p.day", "p.x", "p.y").join(event_days, ["e", "day"], "left_semi")
-    fine = ends.select("e", "best", "day", F.explode(_cover(F.col("x"), F.col("y"), millis)).alias("n")).groupBy("e", "day", node.alias("node")).agg(F.max("best").alias("best"))
-    times = seen.join(ends.select("e", "day").distinct(), ["e", "day"], "left_semi")
-    by_ms = times.select("e", "day", "ms").distinct().select("e", "day", "ms", F.explode(_around(F.col("ms"), millis)).alias("n")).select("e", "day", "ms", node.alias("node"))
-    ms_best = by_ms.join(fine, ["e", "day", "node"]).groupBy("e", "day", "ms").agg(F.max("best").alias("best"))
-    late = times.join(ms_best, ["e", "day", "ms"]).select("id", "best")
-    found = by_day.unionByName(late).groupBy("id").agg(F.max("best").alias("best"))
+    # The intervals are few bytes and much computing: they're spread over all tasks.
+    tasks = int(usable.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = usable.repartition(tasks, attribute_id)
+    pieces = spread.select(F.col(entity).alias("e"), begin.alias("a"), end.cast("long").alias("b"), packed.alias("best")).where("a < b")
+    seen = ev.select(F.col(entity).alias("e"), F.col(event_id).alias("id"), (F.col(event_time).cast("long") - first_day * DAY).alias("t"))
+    points = seen.withColumn("u", F.expr(f"t div {DAY}")).repartition(tasks, "e", "u").groupBy("e", "u", "id", "t").agg(F.lit(1)).select("e", "u", "id", "t")
+    levels = _levels(max((last_day - first_day).bit_length(), 1), stride)
+    best, ends = _tier(points, pieces, DAY, levels)
+    ends = cut(ends)
+    split = ends.select("e", "u").distinct()
+    settled = points.join(split, ["e", "u"], "left_anti").join(best, ["e", "u"]).select("id", "best")
+    # Few events lie in a day in which an interval of their entity begins or ends; only they go on to finer units.
+    # They and the ends of those intervals are written once, as each finer unit reads them several times.
+    points = cut(points.join(split, ["e", "u"], "left_semi"))
+    open_ = points.join(best, ["e", "u"]).select("e", "t", "id", "best")
+    for unit, bits in FINER:
+        points = points.select("e", "id", "t", F.expr(f"t div {unit}").alias("u"))
+        best, below = _tier(points, ends.select("e", "a", "b", "best"), unit, _levels(bits, stride))
+        open_ = open_.unionByName(points.join(best, ["e", "u"]).select("e", "t", "id", "best"))
+        points = points.join(below.select("e", "u").distinct(), ["e", "u"], "left_semi")
+        ends = below
+    found = settled.unionByName(open_.groupBy("e", "t", "id").agg(F.max("best").alias("best")).select("id", "best"))
     return found.select(F.col("id").alias(event_id), unpacked(F.col("best")).alias(attribute_id))
