@@ -52,11 +52,10 @@ def duplicates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
 
 def shape(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """(by, skew, kurt): sample skewness and excess kurtosis with the correction for small samples; null under 3 and 4 rows."""
-    n, g, k = F.count(column).cast("double"), F.skewness(column), F.kurtosis(column)
-    d = df.groupBy(*by).agg(n.alias("n"), g.alias("g"), k.alias("k"))
-    n = F.col("n")
-    skew = F.when(n > 2, F.sqrt(n * (n - 1)) / (n - 2) * F.col("g"))
-    kurt = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("k") + 6))
+    d = df.groupBy(*by).agg(F.count(column).cast("double").alias("__n"), F.skewness(column).alias("__g"), F.kurtosis(column).alias("__k"))
+    n = F.col("__n")
+    skew = F.when(n > 2, F.sqrt(n * (n - 1)) / (n - 2) * F.col("__g"))
+    kurt = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("__k") + 6))
     return d.select(*by, skew.alias("skew"), kurt.alias("kurt"))
 
 
