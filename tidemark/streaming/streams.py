@@ -71,7 +71,8 @@ def merge_into(stream: DataFrame, path: str, *, keys: Sequence[str], order: str,
         stored = [spark.read.parquet(now)] if now and now != nxt else []
         if now == nxt:  # the batch is repeated after a failure: it is in the state already
             return
-        keep_last([*stored, batch], list(keys), order).write.mode("overwrite").parquet(nxt)
+        both = stored[0].unionByName(batch, allowMissingColumns=True) if stored else batch
+        keep_last([both], list(keys), order).write.mode("overwrite").parquet(nxt)
         spark.createDataFrame([(nxt,)], "at string").coalesce(1).write.mode("overwrite").text(f"{path}/current")
         if after:
             after(batch, number)
