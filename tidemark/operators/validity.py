@@ -63,8 +63,8 @@ def _best(attributes: DataFrame, precedence: Sequence[str], attribute_id: str) -
 
 
 def _tier(points: DataFrame, pieces: DataFrame, unit: int, levels: Sequence[int]) -> tuple[DataFrame, DataFrame]:
-    """(e, u, best) of the whole units in which points lie, and the parts of pieces left at their ends in units that
-    have points (e, u, a, b, best).
+    """(e, u, best) of the whole units in which points lie, and the parts of pieces left at their ends
+    (e, u, a, b, best).
 
     points have u, the number of their unit; pieces are [a, b) in milliseconds. Points of an entity in one unit share
     its nodes: the tree is asked once for them, so a node meets at most as many rows as it has units.
@@ -83,8 +83,7 @@ def _tier(points: DataFrame, pieces: DataFrame, unit: int, levels: Sequence[int]
     part = lambda u, a, b: F.array(F.struct(u.alias("u"), a.cast("long").alias("a"), b.cast("long").alias("b")))
     head = F.when(F.expr(f"a % {unit} <> 0"), part(first, F.col("a"), F.least((first + 1) * unit, F.col("b")))).otherwise(none)
     tail = F.when(F.expr(f"b % {unit} <> 0") & ((last > first) | F.expr(f"a % {unit} = 0")), part(last, last * unit, F.col("b"))).otherwise(none)
-    rest = pieces.select("e", "best", F.explode(F.concat(head, tail)).alias("p")).select("e", "p.u", "p.a", "p.b", "best")
-    return best, rest.join(units, ["e", "u"], "left_semi")
+    return best, pieces.select("e", "best", F.explode(F.concat(head, tail)).alias("p")).select("e", "p.u", "p.a", "p.b", "best")
 
 
 def as_known_at(events: DataFrame, attributes: DataFrame, *, entity: str, event_id: str, event_time: str, attribute_id: str, valid_from: str, valid_to: str | None = None, precedence: Sequence[str] = (), stride: int = 3) -> DataFrame:
@@ -99,13 +98,12 @@ def as_known_at(events: DataFrame, attributes: DataFrame, *, entity: str, event_
     times is answered for each. Other columns of either input are neither read nor returned, so clashing names do no
     harm.
 
-    The tree spans the days between the first and the last event, which one scan of the times finds. Only every
-    stride-th level of it is used: events meet fewer nodes, intervals have more. Events are shuffled once, by entity
-    and day; everything they take part in afterwards keeps that order, but for the small rest on days in which an
-    interval begins or ends.
+    The tree spans the days between the first and the last event. Only every stride-th level of it is used: events
+    meet fewer nodes, intervals have more. The three needed columns of the events are written once, as several passes
+    read them.
     """
-    ev = events.where(F.col(entity).isNotNull() & F.col(event_time).isNotNull() & F.col(event_id).isNotNull())
-    lo, hi = ev.agg(F.min(event_time).cast("long"), F.max(event_time).cast("long")).first()
+    ev = cut(events.where(F.col(entity).isNotNull() & F.col(event_time).isNotNull() & F.col(event_id).isNotNull()).select(F.col(entity).alias("e"), F.col(event_id).alias("id"), F.col(event_time).cast("long").alias("t")))
+    lo, hi = ev.agg(F.min("t"), F.max("t")).first()
     first_day, last_day = (lo or 0) // DAY, (hi or 0) // DAY
     top = (last_day - first_day + 1) * DAY
     usable = attributes.where(F.col(entity).isNotNull() & F.col(valid_from).isNotNull() & F.col(attribute_id).isNotNull())
@@ -116,22 +114,22 @@ def as_known_at(events: DataFrame, attributes: DataFrame, *, entity: str, event_
     tasks = int(usable.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = usable.repartition(tasks, attribute_id)
     pieces = spread.select(F.col(entity).alias("e"), begin.alias("a"), end.cast("long").alias("b"), packed.alias("best")).where("a < b")
-    seen = ev.select(F.col(entity).alias("e"), F.col(event_id).alias("id"), (F.col(event_time).cast("long") - first_day * DAY).alias("t"))
+    seen = ev.select("e", "id", (F.col("t") - first_day * DAY).alias("t"))
     points = seen.withColumn("u", F.expr(f"t div {DAY}")).repartition(tasks, "e", "u").groupBy("e", "u", "id", "t").agg(F.lit(1)).select("e", "u", "id", "t")
     levels = _levels(max((last_day - first_day).bit_length(), 1), stride)
     best, ends = _tier(points, pieces, DAY, levels)
-    ends = cut(ends)
     split = ends.select("e", "u").distinct()
     settled = points.join(split, ["e", "u"], "left_anti").join(best, ["e", "u"]).select("id", "best")
     # Few events lie in a day in which an interval of their entity begins or ends; only they go on to finer units.
     # They and the ends of those intervals are written once, as each finer unit reads them several times.
     points = cut(points.join(split, ["e", "u"], "left_semi"))
+    ends = cut(ends.join(points.select("e", "u").distinct(), ["e", "u"], "left_semi"))
     open_ = points.join(best, ["e", "u"]).select("e", "t", "id", "best")
     for unit, bits in FINER:
         points = points.select("e", "id", "t", F.expr(f"t div {unit}").alias("u"))
         best, below = _tier(points, ends.select("e", "a", "b", "best"), unit, _levels(bits, stride))
         open_ = open_.unionByName(points.join(best, ["e", "u"]).select("e", "t", "id", "best"))
         points = points.join(below.select("e", "u").distinct(), ["e", "u"], "left_semi")
-        ends = below
+        ends = below.join(points.select("e", "u").distinct(), ["e", "u"], "left_semi")
     found = settled.unionByName(open_.groupBy("e", "t", "id").agg(F.max("best").alias("best")).select("id", "best"))
     return found.select(F.col("id").alias(event_id), unpacked(F.col("best")).alias(attribute_id))

@@ -19,9 +19,11 @@ def income(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return once(table(spark, folder, "aapl_income_quarter", "inc_id", *columns), "inc_id", spread=True)
 
 
-def quarter_records(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    """Income records whose period names a quarter and whose date is not null, with key (the symbol's) and day."""
-    df = income(spark, folder, *dict.fromkeys(["symbol", "date", "period", *columns]))
+def quarter_records(spark: SparkSession, folder: str, *columns: str, repeated: bool = False) -> DataFrame:
+    """Income records whose period names a quarter and whose date is not null, with key (the symbol's) and day; with
+    repeated as often as they were delivered, for operators that count equal rows once."""
+    names = list(dict.fromkeys(["symbol", "date", "period", *columns]))
+    df = table(spark, folder, "aapl_income_quarter", "inc_id", *names) if repeated else income(spark, folder, *names)
     return df.where(F.col("date").isNotNull() & quarter_of(F.col("period")).isNotNull()).withColumns({"key": symbol_key(F.col("symbol")), "day": calendar_day(F.col("date"))})
 
 
@@ -48,8 +50,8 @@ def p5_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    q = quarter_records(spark, folder, "acceptedDate", "filingDate").where("key is not null and day is not null")
-    q = q.withColumn("src", F.lit("acceptedDate"))
+    q = quarter_records(spark, folder, "acceptedDate", "filingDate", repeated=True).where("key is not null and day is not null")
+    q = q.select("inc_id", "key", "day", "filingDate", "acceptedDate", F.lit("acceptedDate").alias("src"))
     q = timestamps.normalise_times(q, source="src", value="acceptedDate", zones=ZONES, formats=TIME_FORMATS)
     filed = (F.unix_date(calendar_day(F.col("filingDate"))).cast("long") + 1) * validity.DAY
     known = q.select("key", "inc_id", F.unix_date("day").cast("bigint").alias("day"), F.coalesce("epoch_ms", filed).alias("known")).where("known is not null")

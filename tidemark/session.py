@@ -38,5 +38,5 @@ def cut(df: DataFrame) -> DataFrame:
     computes it once, readers take only the columns they need, and a lost executor costs nothing that lies before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tidemark/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
