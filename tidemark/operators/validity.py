@@ -1,7 +1,7 @@
 """Attributes as they were known at the time of an event, by dyadic time nodes.
 
 A validity interval [from, to) is covered by nodes of dyadic trees over time: whole days in one tree, what is left at
-its ends by whole minutes in another, and the rest by milliseconds. An event lies in exactly one node of each level, so it
+its ends by milliseconds in another. An event lies in exactly one node of each level, so it
 meets all intervals around it by equality of nodes; since a node of a cover lies wholly inside its interval, such a
 match is exact, and of all intervals over one node only the first by precedence need stay. Neither a window over an
 entity nor pairs of events and intervals arise, however many rows an entity has.
@@ -19,7 +19,7 @@ from tidemark.session import cut
 
 DAY = 86_400_000
 #: Units of the trees below that of days, in milliseconds, with the bits that number them within the unit above.
-FINER = ((60_000, 11), (1, 16))
+FINER = ((1, 27),)
 
 
 def _levels(bits: int, stride: int) -> list[int]:
