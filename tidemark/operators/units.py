@@ -7,13 +7,15 @@ log-amount against the record before, all count as observations; Viterbi decodin
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut
+
 # Words for scales, by their power of ten.
 SCALES = {
     0: ["units", "unit", "ones", "einheiten", "unidades", "unités"],
@@ -86,95 +88,185 @@ def stated_currency(text: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, (c, _) in MINOR.items() for x in (k, c)]), F.nullif(minor, F.lit(""))), F.try_element_at(names, F.lower(found)))
 
 
-def viterbi(starts: np.ndarray, level: np.ndarray, stated: np.ndarray, estimate: np.ndarray, states: np.ndarray, *, stay: float = 0.98, sigma: float = 0.35, noise: float = 0.12, cap: float = 12.0, firm: float = 60.0) -> np.ndarray:
-    """The likeliest state of each row; rows of a sequence stand together, starts marks their first rows.
+class Chain:
+    """The scores of a batch of rows: of each state at a row, and of going from the state of one row to that of the next.
 
     level is the log10 of the amount (nan if unknown, zero or negative), stated a power that the text names and
-    estimate one that the record suggests (both nan if none). All sequences advance together, so the loop is as long
-    as the longest of them.
+    estimate one that the record suggests (both nan if none).
     """
-    n, k = len(level), len(states)
-    if n == 0:
-        return np.zeros(0)
-    emit = np.where(states == 0, 0.0, -0.5)[None, :].repeat(n, 0)
-    known = ~np.isnan(stated)
-    emit[known] += np.where(np.isclose(states[None, :], stated[known, None]), 0.0, -firm)
-    est = ~np.isnan(estimate)
-    emit[est] += -np.minimum((estimate[est, None] - states[None, :]) ** 2 / (2 * noise**2), firm / 2)
-    change = np.where(np.eye(k, dtype=bool), np.log(stay), np.log((1 - stay) / (k - 1)))
+
+    def __init__(self, level: np.ndarray, stated: np.ndarray, estimate: np.ndarray, states: np.ndarray, *, stay: float = 0.98, sigma: float = 0.35, noise: float = 0.12, cap: float = 12.0, firm: float = 60.0) -> None:
+        k = len(states)
+        self.level, self.states, self.sigma, self.cap = level, states, sigma, cap
+        self.emit = np.where(states == 0, 0.0, -0.5)[None, :].repeat(len(level), 0)
+        known = ~np.isnan(stated)
+        self.emit[known] += np.where(np.isclose(states[None, :], stated[known, None]), 0.0, -firm)
+        est = ~np.isnan(estimate)
+        self.emit[est] += -np.minimum((estimate[est, None] - states[None, :]) ** 2 / (2 * noise**2), firm / 2)
+        self.change = np.where(np.eye(k, dtype=bool), np.log(stay), np.log((1 - stay) / (k - 1)))
+
+    def step(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """(rows, state before, state after): the score of a step between rows of these log-amounts."""
+        jump = (after[:, None, None] + self.states[None, None, :]) - (before[:, None, None] + self.states[None, :, None])
+        return self.change[None] + np.where(np.isnan(jump), 0.0, -np.minimum(jump**2 / (2 * self.sigma**2), self.cap))
+
+
+def _sequences(starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """First rows and lengths of the sequences, the longest first."""
     first = np.flatnonzero(starts)
     length = np.diff(np.append(first, n))
     order = np.argsort(-length, kind="stable")
-    first, length = first[order], length[order]
+    return first[order], length[order]
+
+
+def viterbi(starts: np.ndarray, chain: Chain, enter: np.ndarray | None = None, leave: np.ndarray | None = None) -> np.ndarray:
+    """The likeliest state of each row; rows of a sequence stand together, starts marks their first rows.
+
+    All sequences advance together, so the loop is as long as the longest of them. A sequence that is a block of a
+    longer one is given enter, the score with which each state is reached at its first row, and leave, the number of
+    the state at its last row (one of each per sequence, in order of rows).
+    """
+    n, k = chain.emit.shape
+    if n == 0:
+        return np.zeros(0)
+    first, length = _sequences(starts, n)
+    number = np.searchsorted(np.flatnonzero(starts), first)
     score, back = np.empty((n, k)), np.zeros((n, k), dtype=np.int16)
-    score[first] = emit[first]
+    score[first] = chain.emit[first] + (0.0 if enter is None else enter[number])
     for t in range(1, int(length[0])):
         rows = first[: np.searchsorted(-length, -t)] + t
-        jump = (level[rows, None, None] + states[None, None, :]) - (level[rows - 1, None, None] + states[None, :, None])
-        smooth = np.where(np.isnan(jump), 0.0, -np.minimum(jump**2 / (2 * sigma**2), cap))
-        total = score[rows - 1][:, :, None] + change[None] + smooth
+        total = score[rows - 1][:, :, None] + chain.step(chain.level[rows - 1], chain.level[rows])
         back[rows] = total.argmax(1)
-        score[rows] = total.max(1) + emit[rows]
+        score[rows] = total.max(1) + chain.emit[rows]
     out = np.zeros(n, dtype=np.int64)
     last = first + length - 1
-    out[last] = score[last].argmax(1)
+    out[last] = score[last].argmax(1) if leave is None else leave[number]
     for t in range(int(length[0]) - 1, 0, -1):
         rows = first[: np.searchsorted(-length, -t)] + t
         out[rows - 1] = back[rows, out[rows]]
-    return states[out]
+    return chain.states[out]
 
 
-def decode_powers(df: DataFrame, *, record: str, series: str, day: str, level: str, stated: str, estimate: str, years: int = 8, margin: int = 366, most: int = 20000) -> DataFrame:
+def through(starts: np.ndarray, chain: Chain) -> np.ndarray:
+    """(sequences, state at the first row, state at the last row): the best score of a way through each sequence.
+
+    Such tables join like matrices, with + for the product and the maximum for the sum, so blocks of a long sequence
+    can be worked on apart without changing its best path.
+    """
+    n, k = chain.emit.shape
+    first, length = _sequences(starts, n)
+    best = np.where(np.eye(k, dtype=bool)[None], chain.emit[first][:, None, :], -np.inf)
+    for t in range(1, int(length[0]) if n else 0):
+        here = int(np.searchsorted(-length, -t))
+        rows = first[:here] + t
+        step = chain.step(chain.level[rows - 1], chain.level[rows])
+        best[:here] = (best[:here, :, :, None] + step[:, None]).max(2) + chain.emit[rows][:, None, :]
+    return best[np.argsort(first)]
+
+
+def _runs(batches: Iterator[pd.DataFrame], keys: list[str], work: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """work on whole sequences (rows alike in keys stand together), as the batches come; it is given their first rows too."""
+
+    def starts(b: pd.DataFrame) -> np.ndarray:
+        key = b[keys]
+        return (key != key.shift()).any(axis=1).to_numpy()
+
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        if not len(b):
+            continue
+        edge = np.flatnonzero(starts(b))
+        new = bool(held) and (held[-1][keys].iloc[-1] != b[keys].iloc[0]).any()
+        cut = int(edge[-1]) if len(edge) > 1 or new else 0
+        # The sequence in which the batch ends may go on in the next one.
+        if cut or new:
+            done = pd.concat([*held, b.iloc[:cut]], ignore_index=True)
+            yield work(done, starts(done))
+            held = []
+        held.append(b.iloc[cut:])
+    if held:
+        done = pd.concat(held, ignore_index=True)
+        yield work(done, starts(done))
+
+
+def decode_powers(df: DataFrame, *, record: str, series: str, day: str, level: str, stated: str, estimate: str, most: int = 200_000) -> DataFrame:
     """(record, power): the power of ten by which each record's amount must be multiplied.
 
     df has one row per record. series names the key of the sequence (the device), day the date column that orders it,
     level the amount (double, log-scale jumps are taken from its absolute value), stated a power named by text and
-    estimate a power suggested by other fields of the record; the last three may be null. Rows with a null series or
-    day are decoded too, as sequences of their own. Ties in day follow record.
+    estimate a power suggested by other fields of the record; the last three may be null. Rows with a null series are
+    sequences of their own, a null day counts as 1970-01-01. Ties in day follow a hash of record. Empty input gives an
+    empty result.
 
-    A series is cut into blocks of so many years; rows up to margin days from a block take part in it as context. A
-    block of more than most rows is thinned by record into that many fewer sequences, each of which still runs over
-    the whole block, so no task holds an unbounded series.
+    The path found is the best one over the whole series, however long it is. A series of more than most rows is cut
+    into blocks of at most about that many: each block yields the best scores between its first and its last states,
+    a pass over these small tables finds the states at which the blocks meet, and then each block is decoded by
+    itself. The rows are counted by series and day first, which runs a job.
     """
     day0 = F.unix_date(F.coalesce(F.col(day), F.lit("1970-01-01").cast("date")))
-    span = int(years * 365.25)
-    base = df.select(F.col(record).alias("id"), F.coalesce(F.col(series).cast("string"), F.concat(F.lit("\x00"), F.col(record).cast("string"))).alias("s"), day0.alias("d"), F.col(level).cast("double").alias("v"), F.col(stated).cast("double").alias("w"), F.col(estimate).cast("double").alias("e"))
-    own = F.floor(F.col("d") / span)
-    near = F.array_distinct(F.array(own, F.floor((F.col("d") - margin) / span), F.floor((F.col("d") + margin) / span)))
-    rows = base.withColumn("own", own).withColumn("b", F.explode(near))
-    large = rows.groupBy("s", "b").count().where(F.col("count") > most).select("s", "b", F.ceil(F.col("count") / most).alias("k"))
-    rows = rows.join(large, ["s", "b"], "left").withColumn("c", F.pmod(F.xxhash64("id"), F.coalesce("k", F.lit(1))))
-    columns = ["s", "b", "c", "d", "id"]
-    rows = rows.select(*columns, "own", "v", "w", "e").repartition("s", "b", "c").sortWithinPartitions(*columns)
+    key = F.coalesce(F.col(series).cast("string"), F.concat(F.lit("\x00"), F.col(record).cast("string")))
+    base = df.select(F.col(record).alias("id"), key.alias("s"), day0.alias("d"), F.shiftrightunsigned(F.xxhash64(record), 1).alias("h"), F.col(level).cast("double").alias("v"), F.col(stated).cast("double").alias("w"), F.col(estimate).cast("double").alias("e"))
     states = np.array(STATES, dtype=float)
+    k, kind = len(states), dict(df.dtypes)[record]
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = pdf[["s", "b", "c"]]
-        starts = (key != key.shift()).any(axis=1).to_numpy()
+    def chain(pdf: pd.DataFrame) -> Chain:
         v = pdf["v"].abs().to_numpy(dtype=float, na_value=np.nan)
         with np.errstate(divide="ignore", invalid="ignore"):
             lv = np.where(v > 0, np.log10(v), np.nan)
-        power = viterbi(starts, lv, pdf["w"].to_numpy(dtype=float, na_value=np.nan), pdf["e"].to_numpy(dtype=float, na_value=np.nan), states)
-        mine = (pdf["own"] == pdf["b"]).to_numpy()
-        return pd.DataFrame({record: pdf["id"].to_numpy()[mine], "power": power[mine].astype("int32")})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-        for b in batches:
-            b = b if held is None else pd.concat([held, b], ignore_index=True)
-            last = b[["s", "b", "c"]].iloc[-1] if len(b) else None
-            if last is None:
-                continue
-            open_ = ((b["s"] == last["s"]) & (b["b"] == last["b"]) & (b["c"] == last["c"])).to_numpy()
-            # The sequence that the batch ends in may go on in the next one.
-            cut = int(np.flatnonzero(~open_).max()) + 1 if (~open_).any() else 0
-            held = b.iloc[cut:].reset_index(drop=True)
-            if cut:
-                yield solve(b.iloc[:cut].reset_index(drop=True))
-        if held is not None and len(held):
-            yield solve(held)
-
-    return rows.mapInPandas(run, f"{record} {dict(df.dtypes)[record]}, power int")
+        return Chain(lv, pdf["w"].to_numpy(dtype=float, na_value=np.nan), pdf["e"].to_numpy(dtype=float, na_value=np.nan), states)
+
+    def decode(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({record: pdf["id"], "power": viterbi(starts, chain(pdf)).astype("int32")})
+
+    def short(rows: DataFrame) -> DataFrame:
+        sorted_ = rows.select("s", "d", "h", "id", "v", "w", "e").repartition("s").sortWithinPartitions("s", "d", "h", "id")
+        return sorted_.mapInPandas(lambda batches: _runs(batches, ["s"], decode), f"`{record}` {kind}, power int")
+
+    # Days of long series with the rows before them: the days of a series are few, however many rows they hold.
+    whole = Window.partitionBy("s")
+    days = base.groupBy("s", "d").agg(F.count("*").alias("n"))
+    days = days.withColumns({"total": F.sum("n").over(whole), "before": F.coalesce(F.sum("n").over(whole.orderBy("d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))}).where(F.col("total") > most)
+    layout = cut(days.select("s", "d", F.floor(F.col("before") / most).alias("b"), F.ceil(F.col("n") / most).cast("int").alias("k")))
+    if layout.isEmpty():
+        return short(base)
+    base = cut(base)
+    # Days of more rows than a block are cut further, by ranges of the hash that orders their rows.
+    hot = F.col("k") > 1
+    part = F.when(hot, F.least(F.floor(F.col("h") / F.lit(2.0**63) * F.col("k")).cast("int"), F.col("k") - 1)).otherwise(0)
+    keys = ["s", "b", "hot", "p"]
+    rows = base.join(layout, ["s", "d"]).select("s", "b", hot.cast("int").alias("hot"), part.alias("p"), "d", "h", "id", "v", "w", "e")
+    place = ["d", "h", "id"]
+
+    def summary(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        c = chain(pdf.sort_values(place, ignore_index=True))
+        m = through(np.arange(len(pdf)) == 0, c)[0]
+        return pd.DataFrame({**{n: [x] for n, x in zip(keys, key)}, "first": [c.level[0]], "last": [c.level[-1]], "m": [m.ravel()]})
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(keys, ignore_index=True)
+        m = np.stack(pdf["m"].to_numpy()).reshape(len(pdf), k, k)
+        c = chain(pd.DataFrame({"v": [1.0], "w": [np.nan], "e": [np.nan]}))
+        steps = c.step(np.append(np.nan, pdf["last"].to_numpy(float)[:-1]), pdf["first"].to_numpy(float))
+        enter, at, leave = np.zeros((len(pdf), k)), np.zeros((len(pdf), k)), np.zeros(len(pdf), dtype=int)
+        for i in range(len(pdf)):
+            if i:
+                enter[i] = (at[i - 1][:, None] + steps[i]).max(0)
+            at[i] = (enter[i][:, None] + m[i]).max(0)
+        for i in range(len(pdf) - 1, -1, -1):
+            leave[i] = at[i].argmax() if i + 1 == len(pdf) else (at[i] + steps[i + 1][:, begin]).argmax()
+            begin = int((enter[i] + m[i][:, leave[i]]).argmax())
+        return pdf[keys].assign(enter=list(enter), leave=leave.astype("int32"))
+
+    def decode_block(pdf: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(place, ignore_index=True)
+        found = viterbi(np.arange(len(pdf)) == 0, chain(pdf), np.stack(ends["enter"].to_numpy()), ends["leave"].to_numpy())
+        return pd.DataFrame({record: pdf["id"], "power": found.astype("int32")})
+
+    names = "s string, b bigint, hot int, p int"
+    blocks = rows.groupBy(*keys).applyInPandas(summary, f"{names}, first double, last double, m array<double>")
+    ends = blocks.groupBy("s").applyInPandas(meet, f"{names}, enter array<double>, leave int")
+    long = rows.groupBy(*keys).cogroup(ends.groupBy(*keys)).applyInPandas(decode_block, f"`{record}` {kind}, power int")
+    return short(base.join(layout.select("s").distinct(), "s", "left_anti")).unionByName(long)
 
 
 def currency_of(df: DataFrame, *, key: str, currency: str) -> DataFrame:
