@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.norm import calendar_day, quarter_of, symbol_key
 from tidemark.operators import drift, nested, timestamps, units
+from tidemark.plans import problems
 from tidemark.sources.tables import once
 
 
@@ -73,15 +74,17 @@ def test_viterbi_follows_the_level():
     est = nan.copy()
     est[0] = 0
     states = np.array(units.STATES, dtype=float)
-    assert list(units.viterbi(np.array([True] + [False] * 4), level, nan, est, states)) == [0, 0, 3, 3, 0]
-    two = units.viterbi(np.array([True, False, True, False, False]), level, np.array([np.nan, np.nan, 6, np.nan, np.nan]), nan, states)
+    assert list(units.viterbi(np.array([True] + [False] * 4), units.Chain(level, nan, est, states))) == [0, 0, 3, 3, 0]
+    two = units.viterbi(np.array([True, False, True, False, False]), units.Chain(level, np.array([np.nan, np.nan, 6, np.nan, np.nan]), nan, states))
     assert list(two[2:4]) == [6, 6]
-    assert len(units.viterbi(np.zeros(0, bool), np.zeros(0), np.zeros(0), np.zeros(0), states)) == 0
+    assert len(units.viterbi(np.zeros(0, bool), units.Chain(np.zeros(0), np.zeros(0), np.zeros(0), states))) == 0
+    # The row in the middle takes its unit from its neighbours.
+    assert list(units.viterbi(np.array([True, False, False]), units.Chain(np.array([9.0, 6, 9]), np.array([0, np.nan, 0]), nan[:3], states))) == [0, 3, 0]
 
 
-@pytest.mark.parametrize("most", [20000, 10])
+@pytest.mark.parametrize("most", [200_000, 10, 1])
 def test_decoding_in_blocks(spark, most):
-    """A long hot series, cut into blocks and thinned, is decoded as a whole; null series and days too."""
+    """A long hot series, also with more rows on a day than a block holds, is decoded as a whole; null series and days too."""
     rows = [(i, "hot", dt.date(2000, 1, 1) + dt.timedelta(90 * (i % 100)), 1e9 if i % 3 else 1e6, None if i % 5 else (0 if i % 3 else 3), None) for i in range(300)]
     rows += [(1000, None, None, 5.0, 6, None), (1001, "z", None, None, None, 3.01), (1002, "z", dt.date(2001, 1, 1), 0.0, None, None)]
     d = spark.createDataFrame(rows, "id long, s string, d date, v double, w int, e double")
@@ -90,6 +93,24 @@ def test_decoding_in_blocks(spark, most):
     assert all(got[i] == (0 if i % 3 else 3) for i in range(300))
 
 
+def test_block_size_changes_nothing(spark):
+    """Few rows state a unit, so nearly all depends on the neighbours: blocks give the path of the whole series."""
+    rng = np.random.default_rng(5)
+    power, rows = 0, []
+    for i in range(400):
+        power = int(rng.choice([0, 3, 6])) if rng.random() < 0.1 else power
+        rows.append((i, "ab"[i % 2], dt.date(2000, 1, 1) + dt.timedelta(int(i // 7)), float(10 ** (9 - power + rng.normal(0, 0.05))), power if rng.random() < 0.05 else None, power + float(rng.normal(0, 0.1)) if rng.random() < 0.05 else None))
+    d = spark.createDataFrame(rows, "id long, s string, d date, v double, w int, e double")
+    run = lambda most: {r.id: r.power for r in units.decode_powers(d, record="id", series="s", day="d", level="v", stated="w", estimate="e", most=most).collect()}
+    whole = run(10**6)
+    assert len(whole) == 400 and run(10) == whole and run(3) == whole
+    three = spark.createDataFrame([(1, "s", dt.date(2000, 1, 1), 1e9, 0, None), (2, "s", dt.date(2000, 4, 1), 1e6, None, None), (3, "s", dt.date(2000, 7, 1), 1e9, 0, None)], d.schema)
+    for most in (1, 2, 10):
+        got = units.decode_powers(three, record="id", series="s", day="d", level="v", stated="w", estimate="e", most=most).collect()
+        assert sorted((r.id, r.power) for r in got) == [(1, 0), (2, 3), (3, 0)]
+    assert units.decode_powers(d.limit(0), record="id", series="s", day="d", level="v", stated="w", estimate="e").count() == 0
+
+
 def test_exact_amounts(spark):
     d = spark.createDataFrame([(1500, 0, 1_000_000), (188_319, 6, 1_000_000), (999, -2, 1_270_001), (-1500, 0, 1_000_000), (16_711_675_110_590_123, 0, 843_057), (None, 0, 1)], "m long, p int, r long")
     got = [r.x for r in d.select(units.scaled_down(F.col("m"), F.col("p"), F.col("r")).alias("x")).collect()]
@@ -124,7 +145,8 @@ def test_nested_round_trip(spark, tmp_path):
 
 
 def tree(**fields):
-    return drift.Node("", children=[drift.Node(k, v[0], {"2020": frozenset([v[1]])} if v[1] is not None else {}, [drift.Node(c, "") for c in v[2:]]) for k, v in fields.items()])
+    """A tree of fields name=(type, amount of 2020, names or nodes of the fields below)."""
+    return drift.Node("", children=[drift.Node(k, v[0], {"2020": v[1]} if v[1] is not None else {}, [c if isinstance(c, drift.Node) else drift.Node(c, "") for c in v[2:]]) for k, v in fields.items()])
 
 
 def test_edit_script():
@@ -143,6 +165,42 @@ def test_edit_script():
     assert ("moved", "/q/z") in {(x.change, x.path) for x in drift.edit_script(a, b)[1]}
 
 
+def test_moves_between_levels():
+    """A null field at the top and a vanished one below look like a move: the report of top-level fields must show it."""
+    below = ("object", None, "x")
+    _, e = drift.edit_script(tree(y=below, k=("number", 1)), tree(y=("object", None), k=("number", 1), x=("", None)))
+    assert [(c.change, c.path, c.old_path, c.depth, c.old_depth) for c in e] == [("moved", "/x", "/y/x", 1, 2)]
+    _, e = drift.edit_script(tree(y=("object", None), k=("number", 1), x=("", None)), tree(y=below, k=("number", 1)))
+    assert [(c.change, c.path, c.old_path, c.depth, c.old_depth) for c in e] == [("moved", "/y/x", "/x", 2, 1)]
+
+
+def test_drift_below_the_top(spark):
+    """Renames, retypes and moves at depths 2 and 3, and moves between the top and below as rows of the top."""
+    rows = [
+        ("S", "f1", "2020", 2019, '{"a": {"n": 5, "d": {"z": 7, "t": "x"}, "l": [{"q": 1}]}, "gone": {"x": null}, "up": 3}'),
+        ("S", "f2", "2021", 2019, '{"a": {"m": 5.0, "d": {"zz": "7", "t": 4}, "l": [{"q": "1"}]}, "gone": {"up": 3}, "x": null}'),
+    ]
+    d = spark.createDataFrame(rows, "s string, f string, d string, y int, j string")
+    desc = drift.descriptors(d, entity="s", file="f", order="d", year="y", data="j")
+    got = {(r.change, r.path, r.old_path, r.depth, r.old_depth) for r in drift.file_changes(desc).collect()}
+    assert got == {
+        ("renamed", "/a/m", "/a/n", 2, 2), ("renamed", "/a/d/zz", "/a/d/z", 3, 3), ("retyped", "/a/d/zz", "/a/d/z", 3, 3), ("retyped", "/a/d/t", "", 3, 3), ("retyped", "/a/l/[]/q", "", 4, 4),
+        ("moved", "/x", "/gone/x", 1, 2), ("moved", "/gone/up", "/up", 2, 1),
+    }
+    seg = d.select(F.lit(1).alias("seg_id"), F.col("f").alias("file_name"), F.col("d").alias("file_date"), F.col("s").alias("symbol"), F.col("y").alias("fiscalYear"), F.col("j").alias("data"))
+    assert {tuple(r) for r in problems.top_changes(drift.file_changes(problems._described(seg))).collect()} == {("f2", "added", "x", ""), ("f2", "removed", "up", "")}
+
+
+def test_amounts_of_a_year_are_one_digest(spark):
+    """Two rows of a year: the sets must be equal; names with slashes and tildes keep their spelling."""
+    rows = [("S", "f1", "1", 2019, '{"a": 1, "b/~": 2}'), ("S", "f1", "1", 2019, '{"a": 3, "b/~": 4}'), ("S", "f2", "2", 2019, '{"A": "3", "B": 2}'), ("S", "f2", "2", 2019, '{"A": 1, "B": 5}')]
+    d = spark.createDataFrame(rows, "s string, f string, d string, y int, j string")
+    desc = drift.descriptors(d, entity="s", file="f", order="d", year="y", data="j")
+    changes = drift.file_changes(desc)
+    assert {(r.change, r.path, r.old_path) for r in changes.collect()} == {("renamed", "/A", "/a"), ("retyped", "/A", "/a"), ("added", "/B", ""), ("removed", "/b/~", "")}
+    assert ("f1", "b/~", "b/~") in {(r.file, r.field, r.canonical) for r in drift.projections(desc, changes).collect()}
+
+
 def test_assignment_against_all():
     from itertools import permutations
 

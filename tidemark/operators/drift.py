@@ -1,7 +1,7 @@
 """Schemas that drift between files: minimum-cost edit scripts, a report of changes and one consistent table.
 
-Each file's schema is a tree of fields with types and evidence (the amounts a field has by year). Consecutive files of
-an entity are compared by a tree edit distance in which the children of two matched nodes are matched at least cost;
+Each file's schema is a tree of fields, at any depth, with types and evidence (the amounts a field has by year).
+Consecutive files of an entity are compared by a tree edit distance in which the children of two matched nodes are matched at least cost;
 the script (add, delete, rename, retype, move) that the distance yields is the report, and its renames are compiled
 into the projection that brings every file to the same columns.
 """
@@ -9,24 +9,26 @@ into the projection that brings every file to the same columns.
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import cut
+
 ADD, DELETE, RETYPE, RENAME, MOVE = 1.0, 1.0, 0.25, 0.5, 0.75
 
 
 @dataclass
 class Node:
-    """A field: its name, its type ('' if all its values are null), its amounts by year and the fields below it."""
+    """A field: its name, its type ('' if all its values are null), what amounts it has by year (a digest of each year's
+    set) and the fields below it."""
 
     name: str
     type: str = "object"
-    evidence: dict[str, frozenset] = field(default_factory=dict)
+    evidence: dict[str, object] = field(default_factory=dict)
     children: list[Node] = field(default_factory=list)
 
     def size(self) -> int:
@@ -35,10 +37,14 @@ class Node:
 
 @dataclass(frozen=True)
 class Edit:
+    """path is the field's place in the new schema, for removed fields in the old one; old_path that from which a field
+    was renamed or moved. The depths count the levels of both."""
+
     change: str
     path: str
     old_path: str = ""
     depth: int = 1
+    old_depth: int = 0
 
 
 def assign(cost: list[list[float]]) -> list[int]:
@@ -92,11 +98,35 @@ def agreement(new: Node, old: Node, years: frozenset[str]) -> int:
     return same
 
 
+def _candidates(new: list[Node], old: list[Node], years: frozenset[str]) -> Iterator[tuple[int, int, int]]:
+    """(place in new, place in old, years that agree) of the pairs whose evidence agrees, found by equal amounts of a year."""
+    by: dict[tuple, list[int]] = {}
+    for j, o in enumerate(old):
+        for y in years & o.evidence.keys():
+            by.setdefault((y, o.evidence[y]), []).append(j)
+    for i, n in enumerate(new):
+        for j in sorted({j for y in years & n.evidence.keys() for j in by.get((y, n.evidence[y]), [])}):
+            if k := agreement(n, old[j], years):
+                yield i, j, k
+
+
+def _components(pairs: Iterable[tuple[int, int]]) -> list[tuple[list[int], list[int]]]:
+    """Rows and columns of the connected parts of a bipartite graph."""
+    parts: dict[tuple[str, int], set] = {}
+    for i, j in pairs:
+        whole = parts.get(("r", i), {("r", i)}) | parts.get(("c", j), {("c", j)})
+        for x in whole:
+            parts[x] = whole
+    unique = {id(p): p for p in parts.values()}.values()
+    return [(sorted(i for k, i in p if k == "r"), sorted(i for k, i in p if k == "c")) for p in unique]
+
+
 def _match(old: Node, new: Node, years: frozenset[str]) -> tuple[float, list[tuple[Node, Node]], list[Node], list[Node]]:
     """Cost, matched pairs, deleted and added children of two matched nodes.
 
     Children of one name match; of the others a pair may match if its evidence agrees, at the cost of a rename that
-    falls with the years that agree and, least, with the likeness of the names. Each child is matched once.
+    falls with the years that agree and, least, with the likeness of the names. Each child is matched once. Only the
+    parts of the graph of candidates that hang together are assigned together.
     """
     names = {c.name: c for c in new.children}
     pairs = [(o, names[o.name]) for o in old.children if o.name in names]
@@ -104,13 +134,10 @@ def _match(old: Node, new: Node, years: frozenset[str]) -> tuple[float, list[tup
     gone = sorted((o for o in old.children if o.name not in kept), key=lambda c: c.name)
     come = sorted((n for n in new.children if n.name not in kept), key=lambda c: c.name)
     cost = {}
-    for i, n in enumerate(come):
-        for j, o in enumerate(gone):
-            if k := agreement(n, o, years):
-                alike = difflib.SequenceMatcher(None, n.name.lower(), o.name.lower()).ratio()
-                cost[i, j] = RENAME / (1 + 0.01 * k) - 0.001 * alike
-    if cost:
-        rows, cols = sorted({i for i, _ in cost}), sorted({j for _, j in cost})
+    for i, j, k in _candidates(come, gone, years):
+        alike = difflib.SequenceMatcher(None, come[i].name.lower(), gone[j].name.lower()).ratio()
+        cost[i, j] = RENAME / (1 + 0.01 * k) - 0.001 * alike
+    for rows, cols in _components(cost):
         # A column for each row stands for adding it; the vanished fields left over are deleted.
         table = [[cost.get((i, j), 1e6) - DELETE for j in cols] + [ADD if r == k else 1e6 for k in range(len(rows))] for r, i in enumerate(rows)]
         for r, c in enumerate(assign(table)):
@@ -127,18 +154,29 @@ def edit_script(old: Node, new: Node, years: frozenset[str] = frozenset(), at: s
 
     The distance is the constrained one on unordered trees: parents match before their children, so each level is an
     assignment problem. A subtree deleted under one parent and added with the same name and type, or agreeing amounts,
-    under another counts as moved. years are those both files cover.
+    under another counts as moved. A field whose type changes between object and another loses or gains the fields
+    below it. years are those both files cover.
     """
     cost, edits, gone, come = _walk(old, new, years, at, old_at)
-    for path, n, depth in list(come):
-        for old_path, o, _ in list(gone):
-            if path[: -len(n.name)] != old_path[: -len(o.name)] and ((o.name == n.name and o.type == n.type) or agreement(n, o, years)):
-                edits.append(Edit("moved", path, old_path, depth))
+    parent = lambda path, node: path[: -len(node.name)] if node.name else path
+    alike: dict[tuple, list[int]] = {}
+    for j, (_, o, _) in enumerate(gone):
+        alike.setdefault((o.name, o.type), []).append(j)
+    agreed: dict[int, list[int]] = {}
+    for i, j, _ in _candidates([n for _, n, _ in come], [o for _, o, _ in gone], years):
+        agreed.setdefault(i, []).append(j)
+    went, arrived = set(), set()
+    for i, (path, n, depth) in enumerate(come):
+        for j in sorted({*alike.get((n.name, n.type), []), *agreed.get(i, [])} - went):
+            old_path, o, old_depth = gone[j]
+            if parent(path, n) != parent(old_path, o):
+                edits.append(Edit("moved", path, old_path, depth, old_depth))
                 cost += MOVE - DELETE * o.size() - ADD * n.size()
-                come = [x for x in come if x[1] is not n]
-                gone = [x for x in gone if x[1] is not o]
+                went.add(j)
+                arrived.add(i)
                 break
-    edits += [Edit("added", p, "", d) for p, _, d in come] + [Edit("removed", p, "", d) for p, _, d in gone]
+    edits += [Edit("added", p, "", d) for i, (p, _, d) in enumerate(come) if i not in arrived]
+    edits += [Edit("removed", p, "", d, d) for j, (p, _, d) in enumerate(gone) if j not in went]
     return cost, sorted(edits, key=lambda e: (e.path, e.change, e.old_path))
 
 
@@ -150,48 +188,80 @@ def _walk(old: Node, new: Node, years: frozenset[str], at: str, old_at: str, dep
     for o, n in pairs:
         path, old_path = f"{at}/{n.name}", f"{old_at}/{o.name}"
         if o.name != n.name:
-            edits.append(Edit("renamed", path, old_path, depth))
-        if o.type and n.type and o.type != n.type and o.name == n.name:
-            edits.append(Edit("retyped", path, "", depth))
-        if o.children and n.children:
+            edits.append(Edit("renamed", path, old_path, depth, depth))
+        if o.type and n.type and o.type != n.type:
+            edits.append(Edit("retyped", path, old_path if o.name != n.name else "", depth, depth))
+        if o.children or n.children:
             c, e, g, a = _walk(o, n, years, path, old_path, depth + 1)
             cost, edits, lost, found = cost + c, edits + e, lost + g, found + a
     return cost, edits, lost, found
 
 
-def tree_of(fields: list[dict], name: str = "") -> Node:
-    """A tree from a file's descriptor: rows of field, types and amounts (year, amount as text), with the names of
-    the fields below an object."""
+#: Types of a field, each with its bit.
+TYPES = {"number": 1, "text": 2, "object": 4, "array": 8, "boolean": 16}
+
+
+def tree_of(fields: Iterable[dict], name: str = "") -> Node:
+    """A tree from a file's descriptor: rows of pointer (names from the top, as in a JSON pointer), kinds (bits of TYPES)
+    and evidence (year, digest of its amounts). A field stands under an object even if that is null in every row."""
     root = Node(name)
+    known = {(): root}
+
+    def at(steps: tuple[str, ...]) -> Node:
+        if steps not in known:
+            known[steps] = Node(steps[-1], "")
+            at(steps[:-1]).children.append(known[steps])
+        return known[steps]
+
     for f in fields:
-        evidence: dict[str, set] = {}
-        for y, a in f["amounts"] or []:
-            evidence.setdefault(y, set()).add(Decimal(a).normalize())
-        types = sorted(t for t in f["types"] or [])
-        below = [Node(c, "") for c in sorted(f["below"] or [])] if "object" in types else []
-        root.children.append(Node(f["field"], "+".join(types), {y: frozenset(a) for y, a in evidence.items()}, below))
+        node = at(tuple(x.replace("~1", "/").replace("~0", "~") for x in f["pointer"].split("/")[1:]))
+        node.type = "+".join(sorted(t for t, bit in TYPES.items() if (f["kinds"] or 0) & bit))
+        node.evidence = dict(f["evidence"])
     return root
 
 
+def _fields(v: Column, text: Column) -> Column:
+    """array<struct<pointer, value>> of all fields below a variant at any depth, '[]' standing for the elements of an array.
+
+    The walk goes level by level; the braces of its text bound the depth, so flat objects are walked once.
+    """
+    entries = "array<struct<pointer:string,value:variant>>"
+
+    def below(pointer: Column, value: Column) -> Column:
+        step = lambda k: F.concat(pointer, F.lit("/"), F.replace(F.replace(k, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")))
+        fields = F.transform(F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")), lambda e: F.struct(step(e["key"]).alias("pointer"), e["value"].alias("value")))
+        elements = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda e: F.struct(F.concat(pointer, F.lit("/[]")).alias("pointer"), e.alias("value")))
+        return F.coalesce(fields, elements, F.array().cast(entries)).cast(entries)
+
+    open_ = F.length(text) - F.length(F.translate(text, "{[", ""))
+    top = below(F.lit(""), v)
+    deeper = F.aggregate(F.sequence(F.lit(2), open_), F.array(top), lambda acc, _: F.concat(acc, F.array(F.flatten(F.transform(F.element_at(acc, -1), lambda x: below(x["pointer"], x["value"]))).cast(entries))), lambda acc: F.flatten(acc))
+    return F.when(open_ < 2, top).otherwise(deeper)
+
+
 def descriptors(df: DataFrame, *, entity: str, file: str, order: str, year: str, data: str, amount_paths: tuple[str, ...] = ("$", "$.amount", "$.value")) -> DataFrame:
-    """One row per file: entity, file, order, years and fields (field, types, amounts, below).
+    """One row per file: entity, file, ord, years and fields (pointer, kinds, evidence).
 
-    data is JSON text with an object; other or unreadable text adds a row without fields. A field's amounts are its
-    numbers, also as text with thousands separators or under one of the amount_paths, in at most six decimals.
-    Null values give a field without type. The result holds a file's names, not its rows.
+    data is JSON text with an object; other or unreadable text adds a row without fields. Fields at all depths are
+    described. A field's amounts are its numbers, also as text with thousands separators or, of an object, under one of
+    the amount_paths, in at most six decimals. A year's amounts are kept as one short text: the amount, or of several
+    their number, hash and greatest. Null values give a field without type. So a row holds a file's names and years,
+    whatever the number of its rows, and is formed by aggregations with partial results.
     """
     text = F.coalesce(F.col(data), F.lit("{}"))
-    v = F.try_parse_json(text)
-    parsed = df.select(F.col(entity).alias("entity"), F.col(file).alias("file"), F.col(order).alias("ord"), F.col(year).cast("string").alias("year"), F.when(F.schema_of_variant(v).startswith("OBJECT"), F.from_json(text, "map<string,variant>")).alias("__m"))
+    parsed = df.select(F.col(entity).alias("entity"), F.col(file).alias("file"), F.col(order).alias("ord"), F.col(year).cast("string").alias("year"), text.alias("__t"), F.try_parse_json(text).alias("__v"))
     per_file = parsed.groupBy("entity", "file").agg(F.min("ord").alias("ord"), F.collect_set("year").alias("years"))
-    rows = parsed.where("__m is not null").select("entity", "file", "year", F.explode("__m").alias("field", "v"))
+    objects = parsed.where(F.schema_of_variant("__v").startswith("OBJECT"))
+    rows = objects.select("entity", "file", "year", F.explode(_fields(F.col("__v"), F.col("__t"))).alias("f")).select("entity", "file", "year", "f.pointer", F.col("f.value").alias("v"))
     kind = F.schema_of_variant("v")
-    typed = F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").when(kind == "STRING", "text").when(kind == "BOOLEAN", "boolean").when(kind == "VOID", None).otherwise("number")
+    number = F.when(kind.startswith("OBJECT"), TYPES["object"]).when(kind.startswith("ARRAY"), TYPES["array"]).when(kind == "STRING", TYPES["text"]).when(kind == "BOOLEAN", TYPES["boolean"]).when(kind.isNull() | (kind == "VOID"), 0).otherwise(TYPES["number"])
     amount = F.coalesce(*[F.try_variant_get("v", p, "decimal(30,6)") for p in amount_paths], F.regexp_replace(F.try_variant_get("v", "$", "string"), r"[,\s]", "").try_cast("decimal(30,6)"))
-    below = F.when(typed == "object", F.map_keys(F.try_variant_get("v", "$", "map<string,variant>")))
-    per_field = rows.select("entity", "file", "field", typed.alias("type"), F.when(typed.isin("number", "text", "object") & amount.isNotNull(), F.struct("year", amount.cast("string").alias("amount"))).alias("amount"), below.alias("below"))
-    fields = per_field.groupBy("entity", "file", "field").agg(F.collect_set("type").alias("types"), F.collect_set("amount").alias("amounts"), F.array_distinct(F.flatten(F.collect_set("below"))).alias("below"))
-    packed = fields.groupBy("entity", "file").agg(F.collect_list(F.struct("field", "types", "amounts", "below")).alias("fields"))
+    keys = ["entity", "file", "pointer"]
+    one = rows.select(*keys, "year", number.alias("kinds"), F.when(number.isin(TYPES["number"], TYPES["text"], TYPES["object"]), amount).alias("amount")).groupBy(*keys, "year", "amount").agg(F.bit_or("kinds").alias("kinds"))
+    yearly = one.groupBy(*keys, "year").agg(F.bit_or("kinds").alias("kinds"), F.count("amount").alias("n"), F.bit_xor(F.when(F.col("amount").isNotNull(), F.xxhash64("amount"))).alias("h"), F.max("amount").alias("top"))
+    digest = F.when(F.col("n") == 1, F.col("top").cast("string")).when(F.col("n") > 1, F.concat_ws(":", "n", "h", "top"))
+    fields = yearly.groupBy(*keys).agg(F.bit_or("kinds").alias("kinds"), F.collect_list(F.when(digest.isNotNull() & F.col("year").isNotNull(), F.struct("year", digest.alias("digest")))).alias("evidence"))
+    packed = fields.groupBy("entity", "file").agg(F.collect_list(F.struct("pointer", "kinds", "evidence")).alias("fields"))
     return per_file.join(packed, ["entity", "file"], "left")
 
 
@@ -212,11 +282,13 @@ def with_previous(files: DataFrame) -> DataFrame:
 
 
 def file_changes(described: DataFrame) -> DataFrame:
-    """(entity, file, previous, change, path, old_path, depth, cost): the edits of each file against the file before it.
+    """(entity, file, previous, change, path, old_path, depth, old_depth, cost): the edits of each file against the file before it.
 
     described comes from descriptors(). Paths start with '/', one step per level; old_path is '' but for 'renamed' and
-    'moved'. Files without a change return no row; ties in order fall to the file name.
+    'moved' fields and those 'retyped' that were renamed too. Files without a change return no row; ties in order fall to the file name.
     """
+    # A row per file with its names and years: written once, as it is read for the files, their order and their predecessors.
+    described = cut(described)
     new = described.join(with_previous(described), ["entity", "file"])
     old = described.select(F.col("entity"), F.col("file").alias("previous"), F.col("years").alias("old_years"), F.col("fields").alias("old_fields"))
     pairs = new.join(old, ["entity", "previous"]).select("entity", "file", "previous", "years", "fields", "old_years", "old_fields")
@@ -225,14 +297,13 @@ def file_changes(described: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for r in b.to_dict("records"):
-                a, z = [[] if x is None else [dict(f, amounts=[(m["year"], m["amount"]) for m in (f["amounts"] if f["amounts"] is not None else [])], types=list(f["types"]), below=list(f["below"]) if f["below"] is not None else []) for f in x] for x in (r["old_fields"], r["fields"])]
-                both = frozenset(r["years"]) & frozenset(r["old_years"])
-                cost, edits = edit_script(tree_of(a), tree_of(z), both)
-                out += [(r["entity"], r["file"], r["previous"], e.change, e.path, e.old_path, e.depth, cost) for e in edits]
-            yield pd.DataFrame(out, columns=["entity", "file", "previous", "change", "path", "old_path", "depth", "cost"])
+                trees = [tree_of(dict(f, evidence=[(m["year"], m["digest"]) for m in f["evidence"]]) for f in ([] if x is None else x)) for x in (r["old_fields"], r["fields"])]
+                cost, edits = edit_script(*trees, frozenset(r["years"]) & frozenset(r["old_years"]))
+                out += [(r["entity"], r["file"], r["previous"], e.change, e.path, e.old_path, e.depth, e.old_depth, cost) for e in edits]
+            yield pd.DataFrame(out, columns=["entity", "file", "previous", "change", "path", "old_path", "depth", "old_depth", "cost"])
 
     types = dict(pairs.dtypes)
-    return pairs.mapInPandas(scripts, f"entity {types['entity']}, file {types['file']}, previous {types['previous']}, change string, path string, old_path string, depth int, cost double")
+    return pairs.mapInPandas(scripts, f"entity {types['entity']}, file {types['file']}, previous {types['previous']}, change string, path string, old_path string, depth int, old_depth int, cost double")
 
 
 def projections(described: DataFrame, changes: DataFrame) -> DataFrame:
@@ -242,9 +313,9 @@ def projections(described: DataFrame, changes: DataFrame) -> DataFrame:
     chained by doubling (each step joins a chain with the chain behind it), so the steps grow with the logarithm of
     the longest chain.
     """
-    from tidemark.session import cut
-
-    fields = described.select("entity", "file", F.explode("fields").alias("f")).select("entity", "file", F.col("f.field").alias("field"))
+    pointer = F.col("f.pointer")
+    top = described.select("entity", "file", F.explode("fields").alias("f")).where(F.instr(F.substring(pointer, 2, 2**31 - 1), "/") == 0)
+    fields = top.select("entity", "file", F.replace(F.replace(F.expr("substr(f.pointer, 2)"), F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")).alias("field"))
     renames = changes.where("change = 'renamed' and depth = 1").select("entity", "file", F.expr("substr(path, 2)").alias("new"), F.expr("substr(old_path, 2)").alias("old"))
     order = described.select("entity", "file", "ord")
     # A rename holds from its file on until the name is given anew; its older name is looked up just before it.
