@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.norm import calendar_day, quarter_of, symbol_key
 from tidemark.operators import drift, nested, timestamps, units, validity
+from tidemark.session import cut
 from tidemark.sources.tables import once, table
 
 #: Slashed dates are month first in these tables, so the day-first reading takes no part in the mixture.
@@ -86,7 +87,8 @@ def _amounts(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_units(spark: SparkSession, folder: str) -> DataFrame:
     """Every non-null amount with its decoded power of ten, its currency and its whole US dollars."""
-    rows = _amounts(spark, folder).withColumns({"series": F.concat_ws("|", "src", "key"), "id": F.concat_ws("|", "src", F.col("record_id").cast("string"))})
+    # Read for the units, the symbols' currencies and the result: the texts are searched once.
+    rows = cut(_amounts(spark, folder).withColumns({"series": F.concat_ws("|", "src", "key"), "id": F.concat_ws("|", "src", F.col("record_id").cast("string"))}))
     power = units.decode_powers(rows, record="id", series="series", day="day", level="level", stated="stated", estimate="estimate")
     main = units.currency_of(rows, key="key", currency="currency")
     rates = table(spark, folder, "fx_rates").select(F.col("currency").alias("cur"), F.col("fiscal_year").alias("year"), "usd_micros")
@@ -103,8 +105,9 @@ RESPONSE = "response"
 BRANCHES = {"timeline": "interest_over_time.timeline_data/values", "top": "related_queries.top", "rising": "related_queries.rising"}
 
 
-def _responses(spark: SparkSession, folder: str) -> tuple[DataFrame, object]:
-    df = once(table(spark, folder, "vsco_3m_daily"), "env_id", spread=True)
+def _responses(spark: SparkSession, folder: str) -> tuple[DataFrame, Column]:
+    """The responses as delivered, with their keys: copies are dropped as flat rows, so nothing nested is shuffled."""
+    df = table(spark, folder, "vsco_3m_daily")
     own = F.col("raw_response.search_metadata.id")
     return df, F.when(F.trim(own) != "", own).otherwise(F.col("env_id").cast("string"))
 
@@ -139,11 +142,20 @@ def _described(df: DataFrame) -> DataFrame:
     return drift.descriptors(df, entity="symbol", file="file_name", order="file_date", year="fiscalYear", data="data")
 
 
-def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    changes = drift.file_changes(_described(_segments(spark, folder)))
+def top_changes(changes: DataFrame) -> DataFrame:
+    """(file_name, change, field, old_field): what the edits of drift.file_changes() mean for the top-level fields."""
     name = lambda c: F.expr(f"substr({c}, 2)")
-    top = changes.where("depth = 1 and change <> 'moved'")
-    return top.select(F.col("file").alias("file_name"), "change", name("path").alias("field"), F.when(F.col("change") == "renamed", name("old_path")).otherwise("").alias("old_field"))
+    row = lambda change, field, old: F.struct(change.alias("change"), field.alias("field"), old.alias("old_field"))
+    # A field that came to the top level from below is new among the top-level fields, one that went below is gone.
+    moved = F.array_compact(F.array(F.when(F.col("depth") == 1, row(F.lit("added"), name("path"), F.lit(""))), F.when(F.col("old_depth") == 1, row(F.lit("removed"), name("old_path"), F.lit("")))))
+    plain = F.when(F.col("depth") == 1, F.array(row(F.col("change"), name("path"), F.when(F.col("change") == "renamed", name("old_path")).otherwise(F.lit("")))))
+    # A renamed field that also has another type is reported as renamed only.
+    told = changes.where("change <> 'retyped' or old_path = ''")
+    return told.select(F.col("file").alias("file_name"), F.explode(F.when(F.col("change") == "moved", moved).otherwise(plain)).alias("x")).select("file_name", "x.*")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return top_changes(drift.file_changes(_described(_segments(spark, folder))))
 
 
 def p4_table(spark: SparkSession, folder: str) -> DataFrame:

@@ -15,13 +15,14 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
 def once(df: DataFrame, *keys: str, spread: bool = False) -> DataFrame:
     """One row per key, for tables in which a record may be delivered again word for word.
 
-    The copies of a key are alike, so any of them will do. Null keys count as one key. With spread the result keeps
-    all shuffle partitions, however small they are: right before much computing on few bytes.
+    The copies of a key are alike, so equal rows are dropped by hashing; where a column's type can't be compared (maps,
+    variants) any row of the key is taken. Null keys count as one key. With spread the result keeps all shuffle
+    partitions, however small they are: right before much computing on few bytes.
     """
-    rest = [c for c in df.columns if c not in keys]
     if spread:
         # The aggregation takes over this partitioning, so there's still one shuffle, which isn't coalesced.
         df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-    if not rest:
+    rest = [c for c in df.columns if c not in keys]
+    if not any(x in df.schema[c].dataType.simpleString() for c in rest for x in ("map<", "variant")):
         return df.distinct()
     return df.groupBy(*keys).agg(F.first(F.struct(*rest)).alias("__row")).select(*keys, *[F.col(f"__row.`{c}`").alias(c) for c in rest]).select(*df.columns)
