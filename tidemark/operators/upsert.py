@@ -61,11 +61,18 @@ def active(df: DataFrame, flag: str = "active") -> DataFrame:
     return df.where(F.lower(F.coalesce(F.nullif(F.trim(flag), F.lit("")), F.lit("true"))) != "false")
 
 
-def sync(stored: DataFrame, source: DataFrame, keys: Sequence[str], day: str) -> DataFrame:
-    """stored brought up to date: source rows from each table's last stored day on replace and extend it, so that the
-    last day's corrections are taken over. Applying the same source again changes nothing."""
-    since = stored.agg(F.max(day).alias("__since"))
-    late = source.join(F.broadcast(since), F.col(day) >= F.coalesce(F.col("__since"), F.col(day))).drop("__since")
+def sync(stored: DataFrame, source: DataFrame, keys: Sequence[str], day: str, entity: Sequence[str] | None = None) -> DataFrame:
+    """stored brought up to date: of each entity (by default the keys but the day) the source rows from its own last
+    stored day on replace and extend it, so that the last day's corrections are taken over and an entity that lags
+    loses no days. Entities not stored yet come whole. Applying the same source again changes nothing."""
+    by = list(entity if entity is not None else [k for k in keys if k != day])
+    if by:
+        since = stored.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.max(day).alias("__since"))
+        same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+        late = source.join(since, same, "left")
+    else:
+        late = source.join(F.broadcast(stored.agg(F.max(day).alias("__since"))), F.lit(True), "left")
+    late = late.where(F.col("__since").isNull() | (F.col(day) >= F.col("__since"))).select(*source.columns)
     return keep_last([stored, late], keys, None)
 
 

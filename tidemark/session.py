@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,19 +26,42 @@ def local_session(cores: str = "8", partitions: int = 8, app: str = "tidemark")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share. Only where the setting is absent (tests) a
-    local folder takes its place."""
+    """The folder in spark.checkpoint.dir, which all executors share.
+
+    Where the setting is absent, a session on one machine (tests, the benchmark) is given a folder of its own, which
+    goes when the process ends; on a cluster, whose executors couldn't see it, an error is raised.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local"):
+            raise ValueError(f"spark.checkpoint.dir isn't set: with master {master!r} it must name a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = "file://" + own
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def own_dir(spark: SparkSession) -> str:
+    """The part of the shared folder that belongs to this application: its cut tables and nothing else."""
+    return f"{shared_dir(spark).rstrip('/')}/tidemark/{spark.conf.get('spark.app.id', 'none')}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written once as a Parquet table in the shared folder and read from there: a plan that uses it several times
-    computes it once, readers take only the columns they need, and a lost executor costs nothing that lies before."""
+    computes it once, readers take only the columns they need, and a lost executor costs nothing that lies before.
+
+    The write is a job at once. The tables belong to the application; it drops them with clear() when the results
+    that read them have been written.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tidemark/{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> bool:
+    """Drop all cut tables of this application; whether there were any. Results not yet written can't be read after it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -58,31 +59,47 @@ def running_ema(stream: DataFrame, *, key: str, time: str, value: str, n: int =
     return stream.select(key, time, value).where(F.col(value).isNotNull()).groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {time} {kinds[time]}, {value} {kinds[value]}, ema double", "last double", "append", "NoTimeout")
 
 
+LOG = "seq bigint, at string, query string, batch bigint"
+
+
 def merge_into(stream: DataFrame, path: str, *, keys: Sequence[str], order: str, checkpoint: str, after: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Keep a Parquet table at path current: each micro-batch is merged by key, the greatest order wins.
 
-    States alternate between two folders named in a small pointer file, so readers never see a half-written one and a
-    repeated batch changes nothing.
+    A new state is written beside the present one, then a line that names it, its batch and the streaming query is
+    added to the table's log, which is what makes it current: readers never see a half-written state. A batch that
+    was merged before a failure and comes again is known by query and number and left out; a new checkpoint is a new
+    query, whose batches are merged whatever their numbers. A log that can't be read is an error, never an empty table.
     """
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
-        now, nxt = current(spark, path), f"{path}/state-{number % 2}"
-        stored = [spark.read.parquet(now)] if now and now != nxt else []
-        if now == nxt:  # the batch is repeated after a failure: it is in the state already
+        query = spark.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()[0]
+        last = state(spark, path)
+        if last and last["query"] == query and last["batch"] >= number:
             return
-        both = stored[0].unionByName(batch, allowMissingColumns=True) if stored else batch
-        keep_last([both], list(keys), order).write.mode("overwrite").parquet(nxt)
-        spark.createDataFrame([(nxt,)], "at string").coalesce(1).write.mode("overwrite").text(f"{path}/current")
+        seq = last["seq"] + 1 if last else 0
+        at = f"{path}/state-{seq % 2}"
+        both = spark.read.parquet(last["at"]).unionByName(batch, allowMissingColumns=True) if last else batch
+        keep_last([both], list(keys), order).write.mode("overwrite").parquet(at)
+        spark.createDataFrame([(seq, at, query, number)], LOG).coalesce(1).write.mode("append").json(f"{path}/log")
         if after:
             after(batch, number)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark, path: str) -> str | None:
-    """The folder with the table's state, None before the first batch."""
+def state(spark: SparkSession, path: str) -> dict | None:
+    """The last line of the table's log, None before the first batch. Any other failure to read it is raised."""
     try:
-        return spark.read.text(f"{path}/current").first()[0]
-    except Exception:  # noqa: BLE001
-        return None
+        line = spark.read.schema(LOG).json(f"{path}/log").orderBy(F.col("seq").desc()).first()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    return line.asDict() if line else None
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The folder with the table's state, None before the first batch."""
+    last = state(spark, path)
+    return last["at"] if last else None
