@@ -37,3 +37,9 @@ def scale_of(largest: Column) -> Column:
 def micro(c: Column) -> Column:
     """c in whole millionths: comparisons between engines don't hang on the order of additions."""
     return F.round(c * 1e6).cast("bigint")
+
+
+def flow_cagr(series: Column) -> Column:
+    """Compound growth a step of an array, as a fraction; 0 for fewer than two values or where an end isn't positive."""
+    a, z, n = F.get(series, F.lit(0)), F.element_at(series, -1), F.size(series) - 1
+    return F.when((n >= 1) & (a > 0) & (z > 0), F.pow(z / a, F.lit(1.0) / n) - 1).otherwise(F.lit(0.0))

@@ -65,3 +65,63 @@ def fiscal_year(day: Column, end_mmdd: str) -> Column:
     month, d = int(end_mmdd[:2]), int(end_mmdd[2:])
     last = F.least(F.lit(d), F.dayofmonth(F.last_day(F.make_date(F.year(day), F.lit(month), F.lit(1)))))
     return F.year(day) + F.when(F.month(day) * 100 + F.dayofmonth(day) > month * 100 + last, 1).otherwise(0)
+
+
+def ratio_text(c: Column, kind: str = "ratio") -> Column:
+    """A ratio for reading: percentage, times, days, currency or plain, with two decimals (days with one)."""
+    form = {"percentage": "%.2f%%", "times": "%.2fx", "days": "%.1f days", "currency": "$%.2f"}.get(kind, "%.2f")
+    return F.when(c.isNotNull(), F.format_string(form, (c * 100 if kind == "percentage" else c).cast("double")))
+
+
+def axis_text(c: Column, *, percent: bool = False, currency: str = "", unit: str = "", decimals: int | None = None) -> Column:
+    """A number as an axis shows it: a percent sign behind it, or a currency before and a unit behind, negative amounts
+    in parentheses; a dash for null and NaN. One decimal by default for percents and with a unit, else none."""
+    d = decimals if decimals is not None else (1 if percent or unit else 0)
+    v = c.cast("double")
+    if percent:
+        text = F.format_string(f"%.{d}f%%", v)
+    else:
+        body = F.concat(F.lit(currency), F.format_string(f"%.{d}f", F.abs(v)), F.lit(unit))
+        text = F.when(v == 0, F.lit(currency + "0")).when(v < 0, F.concat(F.lit("("), body, F.lit(")"))).otherwise(body)
+    return F.when(v.isNull() | F.isnan(v), "—").otherwise(text)
+
+
+def money_text(c: Column, sign: str = "$") -> Column:
+    """Money with two decimals; a dash for null."""
+    return F.when(c.isNull(), "-").otherwise(F.concat(F.lit(sign), F.format_number(c, 2)))
+
+
+def iso_week(day: Column) -> Column:
+    """Such as 2025-W01: the ISO week, which belongs to the year of its Thursday."""
+    return F.concat(F.extract(F.lit("YEAROFWEEK"), day).cast("string"), F.lit("-W"), F.lpad(F.weekofyear(day).cast("string"), 2, "0"))
+
+
+def truthy(c: Column) -> Column:
+    """A flag that comes as boolean, number or text of any case: true for true, 1, yes; false for false, 0, no, blank; else null."""
+    t = F.lower(F.trim(c.cast("string")))
+    return F.when(t.isin("true", "1", "1.0", "yes", "y"), True).when(t.isin("false", "0", "0.0", "no", "n", ""), False)
+
+
+# Fixed value: what makes a note look like an instruction to its reader.
+SUSPICIOUS = r"(?i)ignore (all |any )?previous instructions|you are now|system:|do not (report|flag|mention)"
+
+
+def suspicious(c: Column) -> Column:
+    """Whether a note should go to quarantine; false for null."""
+    return F.coalesce(c.rlike(SUSPICIOUS), F.lit(False))
+
+
+def keyword_terms(c: Column) -> Column:
+    """array<struct<series, term, excluded>> of a keyword text: ',' parts series, '+' unites terms within one, quotes
+    keep a term whole, a leading '-' excludes it. White space at the ends and empty terms don't count."""
+    token = r'(-?"[^"]*"|[^,+]+)|([,+])'
+    tokens = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(token), 0)
+    start = F.struct(F.lit(0).alias("series"), F.array().cast("array<struct<series:int,term:string,excluded:boolean>>").alias("terms"))
+
+    def step(acc: Column, t: Column) -> Column:
+        text = F.trim(t)
+        bare = F.trim(F.regexp_replace(F.regexp_replace(text, r"^-\s*", ""), r'^"|"$', ""))
+        more = F.when(t.isin(",", "+") | (bare == ""), acc["terms"]).otherwise(F.concat(acc["terms"], F.array(F.struct(acc["series"].alias("series"), bare.alias("term"), text.startswith("-").alias("excluded")))))
+        return F.struct((acc["series"] + F.when(t == ",", 1).otherwise(0)).alias("series"), more.alias("terms"))
+
+    return F.aggregate(tokens, start, step, lambda acc: acc["terms"])

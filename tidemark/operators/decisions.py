@@ -24,9 +24,11 @@ def regime(t: DataFrame) -> DataFrame:
 
     squeeze: the band width is among the narrowest tenth of the last 120 bars.
     """
-    w = _w()
-    widths = F.array_sort(F.collect_list("bb_width").over(w.rowsBetween(-119, 0)))
-    d = _last(t.withColumns({"__w": widths, "__ml20": F.lag("sma_long", 20).over(w)}))
+    w, back = _w(), Window.partitionBy("symbol").orderBy(F.col("day").desc())
+    # Only the last bar is judged, so the widths are gathered once a symbol, from its last 120 bars.
+    recent = t.withColumns({"__n": F.row_number().over(back), "__ml20": F.lag("sma_long", 20).over(w)}).where("__n <= 120")
+    widths = recent.groupBy("symbol").agg(F.array_sort(F.collect_list("bb_width")).alias("__w"))
+    d = recent.where("__n = 1").join(widths, "symbol")
     place = F.greatest(F.floor(F.size("__w") / 10), F.lit(1)).cast("int")
     label = F.when(F.col("adx14").isNull() | F.col("sma_long").isNull(), "unknown").when(F.col("adx14") >= 25, F.when(F.col("close") > F.col("sma_long"), "trending-up").otherwise("trending-down")).when(F.col("adx14") < 20, "range").otherwise("transitional")
     slope = F.when(F.col("__ml20").isNotNull() & F.col("sma_long").isNotNull(), F.when(F.col("sma_long") > F.col("__ml20"), "up").otherwise("down"))

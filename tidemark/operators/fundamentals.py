@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import ratio, zero_ratio
@@ -101,3 +101,67 @@ def segment_matrix(df: DataFrame, *, entity: str, year: str, data: str, last: in
     live = sums.groupBy(entity, "segment").agg(F.sum(F.abs("amount")).alias("s")).where("s > 0").select(entity, "segment")
     grid = live.join(years.select(entity, F.explode("ys").alias(year)), entity)
     return grid.join(sums, [entity, year, "segment"], "left").select(entity, year, "segment", F.coalesce("amount", F.lit(0)).alias("amount"))
+
+
+# For each ratio the words above each bound, from the greatest down, and those below all of them.
+WORDS = {
+    "current_ratio": ([(2.0, "Strong liquidity"), (1.5, "Adequate liquidity"), (1.0, "Potential liquidity concerns")], "Liquidity issues"),
+    "roe": ([(0.20, "Excellent returns"), (0.15, "Good returns"), (0.10, "Average returns"), (0.0, "Below average returns")], "Negative returns"),
+}
+# For each ratio the words below each bound, from the least up, and those from the last bound on.
+WORDS_BELOW = {
+    "debt_to_equity": ([(0.5, "Low leverage"), (1.0, "Moderate leverage"), (2.0, "High leverage")], "Very high leverage"),
+    "pe": ([(15.0, "Potentially undervalued"), (25.0, "Fair value"), (40.0, "Growth premium")], "High valuation"),
+}
+
+
+def interpretation(ratio_name: str, value: Column) -> Column:
+    """What a ratio's value says in words; ratios without words say so, null gives null."""
+    if ratio_name in WORDS:
+        levels, rest = WORDS[ratio_name]
+        out = F.lit(rest)
+        for bound, words in reversed(levels):
+            out = F.when(value > bound, words).otherwise(out)
+    elif ratio_name in WORDS_BELOW:
+        levels, rest = WORDS_BELOW[ratio_name]
+        out = F.lit(rest)
+        for bound, words in reversed(levels):
+            out = F.when(value < bound, words).otherwise(out)
+        if ratio_name == "pe":
+            out = F.when(value <= 0, "N/A (negative earnings)").otherwise(out)
+    else:
+        out = F.lit("No interpretation available")
+    return F.when(value.isNotNull(), out)
+
+
+def interpreted(long: DataFrame) -> DataFrame:
+    """long ratios (ratio, value) with interpretation."""
+    out = F.when(F.col("value").isNotNull(), F.lit("No interpretation available"))
+    for name in [*WORDS, *WORDS_BELOW]:
+        out = F.when(F.col("ratio") == name, interpretation(name, F.col("value"))).otherwise(out)
+    return long.withColumn("interpretation", out)
+
+
+def summary_text(roe: Column, current: Column, leverage: Column, pe: Column) -> Column:
+    """Up to four sentences on returns, liquidity, leverage and price, those whose ratio is known and in its range."""
+    text = [
+        F.when(roe > 0, F.format_string("ROE of %.1f%% indicates %s shareholder returns.", roe * 100, F.when(roe > 0.15, "strong").otherwise("moderate"))),
+        F.when(current > 0, F.format_string("Current ratio of %.2f suggests %s.", current, F.when(current > 1.5, "good liquidity position").otherwise("potential liquidity concerns"))),
+        F.when(leverage >= 0, F.format_string("Debt-to-equity of %.2f indicates %s leverage.", leverage, F.when(leverage < 0.5, "conservative").when(leverage < 1, "moderate").otherwise("high"))),
+        F.when(pe > 0, F.format_string("P/E ratio of %.1f suggests the stock is trading at %s.", pe, F.when(pe < 15, "a discount").when(pe < 25, "fair value").otherwise("a premium"))),
+    ]
+    return F.coalesce(F.nullif(F.concat_ws(" ", *text), F.lit("")), F.lit("Insufficient data for summary."))
+
+
+def recommendations(ratings: DataFrame, trends: DataFrame, keys: list[str], advice: DataFrame, most: int = 5) -> DataFrame:
+    """(keys, place, recommendation): for each key first its poor ratios by name with the advice on them (ratio, advice),
+    then its deteriorating trends (ratio, trend), at most so many; two general ones where there are neither."""
+    words = lambda c: F.replace(F.col(c), F.lit("_"), F.lit(" "))
+    poor = ratings.where("rating = 'poor'").join(advice.select("ratio", "advice"), "ratio", "left").select(*keys, F.lit(1).alias("kind"), "ratio", F.concat(F.lit("Priority: Address "), words("ratio"), F.lit(" - "), F.coalesce("advice", F.lit(""))).alias("recommendation"))
+    down = trends.where("trend = 'deteriorating'").select(*keys, F.lit(2).alias("kind"), "ratio", F.concat(F.lit("Monitor: "), words("ratio"), F.lit(" showing negative trend")).alias("recommendation"))
+    some = poor.unionByName(down)
+    calm = ratings.select(*keys).distinct().join(some.select(*keys).distinct(), keys, "left_anti")
+    general = F.array(F.lit("Continue current financial management practices"), F.lit("Consider strategic growth opportunities"))
+    calm = calm.select(*keys, F.posexplode(general).alias("n", "recommendation")).select(*keys, F.lit(3).alias("kind"), F.col("n").cast("string").alias("ratio"), "recommendation")
+    w = Window.partitionBy(*keys).orderBy("kind", "ratio")
+    return some.unionByName(calm).withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select(*keys, "place", "recommendation")

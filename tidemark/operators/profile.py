@@ -7,19 +7,63 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut
+
 
 def _stack(names: Sequence[str], cells: dict[str, list[Column]]) -> Column:
     return F.explode(F.array(*[F.struct(F.lit(n).alias("name"), *[c[i].alias(k) for k, c in cells.items()]) for i, n in enumerate(names)]))
 
 
+def _edges(rows: DataFrame, by: Sequence[str], value: str, buckets: int) -> DataFrame:
+    """(by, edges): up to buckets - 1 distinct values that part each group's values into ranges of about one size."""
+    wanted = [i / buckets for i in range(1, buckets)]
+    return rows.groupBy(*by).agg(F.array_distinct(F.percentile_approx(value, wanted, 10 * buckets)).alias("edges"))
+
+
+def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float], by: Sequence[str] = (), buckets: int = 64) -> DataFrame:
+    """(by, name, share, value): exact quantiles of numeric columns, interpolated between neighbours; nulls don't count.
+
+    Approximate quantiles part the values into ranges; the counts of the ranges tell in which a wanted rank lies. Equal
+    values are counted, not repeated, and only values of the ranges that hold a wanted rank are put in order, so no task
+    holds a column or a group. NaN counts as the greatest value. Groups without values give no rows.
+    """
+    long = df.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select(*by, "x.name", "x.v").where("v is not null")
+    key = [*by, "name"]
+    counted = long.groupBy(*key, "v").agg(F.count("*").alias("c"))
+    edges = _edges(long, key, "v", buckets)
+    e = edges.select(*[F.col(k).alias(f"__{k}") for k in key], "edges")
+    placed = counted.join(e, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key]).drop(*[f"__{k}" for k in key])
+    placed = placed.withColumn("b", F.size(F.filter("edges", lambda x: x < F.col("v")))).drop("edges")
+    sizes = placed.groupBy(*key, "b").agg(F.sum("c").alias("n"))
+    # At most buckets rows a group stand in these windows.
+    w = Window.partitionBy(*key)
+    sizes = sizes.withColumns({"before": F.coalesce(F.sum("n").over(w.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "total": F.sum("n").over(w)})
+    rank = F.col("share") * (F.col("total") - 1)
+    wanted = sizes.withColumn("share", F.explode(F.array(*[F.lit(float(x)) for x in shares])))
+    hit = lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n"))
+    wanted = wanted.withColumns({"lo": F.floor(rank), "hi": F.ceil(rank)}).where(hit(F.col("lo")) | hit(F.col("hi")))
+    ranges = wanted.select(*[F.col(k).alias(f"__{k}") for k in key], F.col("b").alias("__b"), "before").distinct()
+    values = placed.join(ranges, [*[F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key], F.col("b") == F.col("__b")]).drop("__b", *[f"__{k}" for k in key])
+    inner = Window.partitionBy(*key, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    values = values.withColumn("upto", F.col("before") + F.sum("c").over(inner)).select(*[F.col(k).alias(f"__{k}") for k in key], F.col("b").alias("__b"), "v", "c", "upto")
+    met = wanted.join(values, [*[F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key], F.col("b") == F.col("__b")])
+    at = lambda r: F.max(F.when((F.col("upto") > F.col(r)) & (F.col("upto") - F.col("c") <= F.col(r)), F.col("v")))
+    ends = met.groupBy(*key, "share", "total").agg(at("lo").alias("a"), at("hi").alias("z"))
+    part = rank - F.floor(rank)
+    value = F.when(part == 0, F.col("a")).otherwise(F.col("a") + (F.col("z") - F.col("a")) * part)
+    return ends.select(*key, "share", value.alias("value"))
+
+
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(name, n, mean, std, min, q25, q50, q75, max) of numeric columns, in one pass; quartiles are exact, interpolated.
+    """(name, n, mean, std, min, q25, q50, q75, max) of numeric columns; quartiles are exact, interpolated.
 
-    Nulls don't count; a column without values gives nulls. std is the sample's.
+    Nulls don't count; a column without values gives nulls. std is the sample's. The quartiles come from quantiles().
     """
-    aggs = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "q25": lambda c: F.percentile(c, 0.25), "q50": lambda c: F.percentile(c, 0.5), "q75": lambda c: F.percentile(c, 0.75), "max": F.max}
+    aggs = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     row = df.agg(*[f(F.col(c).cast("double")).alias(f"{k}__{i}") for i, c in enumerate(columns) for k, f in aggs.items()])
-    return row.select(_stack(columns, {k: [F.col(f"{k}__{i}") for i in range(len(columns))] for k in aggs}).alias("x")).select("x.*")
+    plain = row.select(_stack(columns, {k: [F.col(f"{k}__{i}") for i in range(len(columns))] for k in aggs}).alias("x")).select("x.*")
+    q = quantiles(df, columns, [0.25, 0.5, 0.75]).groupBy("name").agg(*[F.max(F.when(F.col("share") == s, F.col("value"))).alias(n) for s, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
+    return plain.join(q, "name", "left").select("name", "n", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def correlations(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -60,10 +104,11 @@ def shape(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
 
 
 def iqr_outliers(df: DataFrame, column: str, by: Sequence[str], k: float = 1.5) -> DataFrame:
-    """Rows of df outside their group's quartiles by more than k quartile ranges, with bounds lo and hi."""
-    q = df.groupBy(*by).agg(F.percentile(column, 0.25).alias("q1"), F.percentile(column, 0.75).alias("q3"))
-    bounds = q.select(*by, (F.col("q1") - k * (F.col("q3") - F.col("q1"))).alias("lo"), (F.col("q3") + k * (F.col("q3") - F.col("q1"))).alias("hi"))
-    return df.join(bounds, list(by)).where((F.col(column) < F.col("lo")) | (F.col(column) > F.col("hi")))
+    """Rows of df outside their group's quartiles by more than k quartile ranges, with bounds lo and hi. Null keys are a group."""
+    q = quantiles(df, [column], [0.25, 0.75], by).groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.max(F.when(F.col("share") == 0.25, F.col("value"))).alias("q1"), F.max(F.when(F.col("share") == 0.75, F.col("value"))).alias("q3"))
+    bounds = q.select(*[f"__{c}" for c in by], (F.col("q1") - k * (F.col("q3") - F.col("q1"))).alias("lo"), (F.col("q3") + k * (F.col("q3") - F.col("q1"))).alias("hi"))
+    met = df.join(bounds, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by] or F.lit(True))
+    return met.where((F.col(column) < F.col("lo")) | (F.col(column) > F.col("hi"))).select(*df.columns, "lo", "hi")
 
 
 def z_outliers(df: DataFrame, column: str, by: Sequence[str], k: float = 3.0) -> DataFrame:
@@ -96,35 +141,45 @@ def rfm(customers: DataFrame, orders: DataFrame, *, customer: str, order: str, d
     return with_tiles(d, {"r": -F.coalesce(F.col("recency"), F.lit(10**6)), "f": F.col("frequency"), "m": F.col("money")}, F.col(customer), tiles)
 
 
-def with_tiles(df: DataFrame, values: dict[str, Column], tie: Column, tiles: int, buckets: int = 200) -> DataFrame:
+def numbered(df: DataFrame, order: Sequence[str | Column], name: str, parts: int | None = None) -> DataFrame:
+    """df with name, the number of each row (from 1) in this order over the whole table.
+
+    Rows are range-partitioned by the order, which parts equal values too, and numbered within the partitions (as many
+    as shuffles have, by default), whose counts give each its first number; so no task sorts the table. Rows equal in
+    the order are numbered in any order, so the order should be unique. Nulls come first. df is written once in ranges.
+    """
+    spark = df.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    keys = [F.col(f"__o{i}").asc_nulls_first() for i in range(len(cols))]
+    keyed = df.withColumns({f"__o{i}": c for i, c in enumerate(cols)})
+    ranged = cut(keyed.repartitionByRange(parts, *keys).withColumn("__b", F.spark_partition_id()))
+    sizes = {r["__b"]: r["count"] for r in ranged.groupBy("__b").count().collect()}  # one row a partition
+    first, total = [], 0
+    for b in sorted(sizes):
+        first.append((b, total))
+        total += sizes[b]
+    firsts = spark.createDataFrame(first, "__b int, __first bigint")
+    at = F.col("__first") + F.row_number().over(Window.partitionBy("__b").orderBy(*keys))
+    return ranged.join(F.broadcast(firsts), "__b").withColumn(name, at.cast("bigint")).drop("__b", "__first", *[f"__o{i}" for i in range(len(cols))])
+
+
+def with_tiles(df: DataFrame, values: dict[str, Column], tie: Column, tiles: int, parts: int | None = None) -> DataFrame:
     """df with, for each name of values, the ntile (1 to tiles) of each row by the value, ties by tie, over the whole table.
 
-    Rows fall into ranges by approximate quantiles; the counts of the ranges (at most buckets a value) give each range
-    its offset, and ranks are formed within the ranges only, so no task sorts the table. df is written once, since it
-    is read for the quantiles, the counts and the result. Null values come first.
+    tie should be unique. Rows are numbered by numbered(), value and tie together, so that equal values are spread over
+    ranges too and no task sorts the table. Null values come first.
     """
-    from tidemark.session import cut
-
-    names = list(values)
-    base = cut(df.select("*", *[v.cast("double").alias(f"__v_{n}") for n, v in values.items()], tie.alias("__t")))
-    found = base.agg(*[F.percentile_approx(f"__v_{n}", [i / buckets for i in range(1, buckets)], 1000).alias(n) for n in names]).first()
-    place = lambda n: F.size(F.filter(F.array(*map(F.lit, sorted(set(found[n] or [])))).cast("array<double>"), lambda c: c < F.coalesce(F.col(f"__v_{n}"), F.lit(float("-inf")))))
-    out = base.withColumns({f"__b_{n}": place(n) for n in names})
-    counts = out.groupBy(*[f"__b_{n}" for n in names]).count().select(F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"__b_{n}").alias("b"), "count") for n in names])).alias("x")).groupBy("x.n", "x.b").agg(F.sum("x.count").alias("c"))
-    sizes: dict[str, dict[int, int]] = {n: {} for n in names}
-    for r in counts.collect():  # at most buckets rows for each value
-        sizes[r["n"]][r["b"]] = r["c"]
-    for n in names:
-        before, total = {}, 0
-        for b in sorted(sizes[n]):
-            before[b], total = total, total + sizes[n][b]
-        offset = F.element_at(F.create_map(*[F.lit(x) for kv in (before or {0: 0}).items() for x in kv]), F.col(f"__b_{n}"))
-        k = offset + F.row_number().over(Window.partitionBy(f"__b_{n}").orderBy(F.col(f"__v_{n}").asc_nulls_first(), "__t")) - 1
-        small, big = divmod(total, tiles)
-        edge = big * (small + 1)
+    out = df.withColumns({"__t": tie, **{f"__v_{n}": v.cast("double") for n, v in values.items()}})
+    total = df.count()
+    small, big = divmod(total, tiles)
+    edge = big * (small + 1)
+    for n in values:
+        out = numbered(out, [f"__v_{n}", "__t"], "__k", parts)
+        k = F.col("__k") - 1
         t = F.when(k < edge, F.floor(k / (small + 1))).otherwise(big + F.floor((k - edge) / max(small, 1)))
         out = out.withColumn(n, (t + 1).cast("int"))
-    return out.drop("__t", *[f"__{x}_{n}" for n in names for x in "vb"])
+    return out.drop("__t", "__k", *[f"__v_{n}" for n in values])
 
 
 def beta(df: DataFrame, asset: str, market: str, by: Sequence[str] = ()) -> DataFrame:

@@ -130,11 +130,16 @@ def trim_leading(df: DataFrame, metrics: list[str], w: WindowSpec) -> DataFrame:
     return df.withColumn("__k", F.max(known).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("__k = 1").drop("__k")
 
 
-def fill(c: Column, w: WindowSpec, forward: bool = True) -> Column:
-    """The last known value up to the row, or the next one from it on."""
-    if forward:
-        return F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return F.first(c, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+def reversed_(by: list[str], order: list[str]) -> WindowSpec:
+    """The rows behind a row, nearest last: a frame that begins with the partition grows by a row at each step, while
+    one that ends with it is computed anew for every row."""
+    return Window.partitionBy(*by).orderBy(*[F.col(c).desc() for c in order])
+
+
+def fill(c: Column, by: list[str], order: list[str], forward: bool = True) -> Column:
+    """The last known value up to the row in this order, or the next one from it on."""
+    w = Window.partitionBy(*by).orderBy(*order) if forward else reversed_(by, order)
+    return F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
 
 def trailing_sum(c: Column, w: WindowSpec, n: int = 4) -> Column:

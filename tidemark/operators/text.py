@@ -16,6 +16,9 @@ LINE = ["article", "blockquote", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li"
 EMPTY = ["br", "col", "hr", "img", "input", "link", "meta", "source"]
 
 
+_BLANKS = re.compile("[ \t\u00a0]+")
+
+
 class _Visible(HTMLParser):
     """Collects the shown text; `hidden` is the depth of open elements at which hiding began, or None."""
 
@@ -56,8 +59,10 @@ def visible(html: str | None) -> str | None:
     p = _Visible()
     p.feed(html)
     p.close()
-    text = re.sub(r"[ \t ]+", " ", "".join(p.out))
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r" *\n *", "\n", text)).strip()
+    lines = [" ".join(_BLANKS.split(line)).strip(" ") for line in "".join(p.out).split("\n")]
+    # Of empty lines that follow each other the first stays.
+    kept = [line for i, line in enumerate(lines) if line or (i and lines[i - 1])]
+    return "\n".join(kept).strip()
 
 
 def html_text(df: DataFrame, *, id: str, html: str) -> DataFrame:
@@ -86,11 +91,25 @@ def chunks(df: DataFrame, *, text: str, size: int = 6000, overlap: int = 800) ->
     return d.withColumn("chunk_no", F.floor(F.col("start") / step).cast("int"))
 
 
+# Fixed value: what begins a section's heading.
+_HEADING = r"(?i)^\s*(?:(item\s+\d+[a-z]?)\b[.:)\-\s]|(part\s+[ivx]+)\b)"
+
+
 def headers(c: Column) -> Column:
-    """array<struct<position, label>> of lines such as 'Item 1A. Risk factors', by 0-based position."""
-    lines = F.split(c, "\n")
-    start = F.transform(lines, lambda x, i: F.struct(F.aggregate(F.slice(lines, 1, i), F.lit(0), lambda a, y: a + F.length(y) + 1).alias("position"), F.regexp_extract(x, r"(?i)^\s*(item\s+\d{1,2}[A-C]?)\b", 1).alias("label")))
-    return F.transform(F.filter(start, lambda s: s["label"] != ""), lambda s: F.struct(s["position"].alias("position"), F.initcap(F.regexp_replace(s["label"], r"\s+", " ")).alias("label")))
+    """array<struct<position, label>> of lines such as 'Item 1A. Risk factors' and 'Part II', by 0-based position.
+
+    One pass over the lines carries the position along. A heading's label is in title case with single spaces.
+    """
+    start = F.struct(F.lit(0).alias("position"), F.array().cast("array<struct<position:int,label:string>>").alias("found"))
+
+    def line(acc: Column, x: Column) -> Column:
+        # A heading that ends its line is followed by the line's end.
+        ended = F.concat(x, F.lit("\n"))
+        label = F.initcap(F.regexp_replace(F.concat(F.regexp_extract(ended, _HEADING, 1), F.regexp_extract(ended, _HEADING, 2)), r"\s+", " "))
+        found = F.when(label != "", F.concat(acc["found"], F.array(F.struct(acc["position"].alias("position"), label.alias("label"))))).otherwise(acc["found"])
+        return F.struct((acc["position"] + F.length(x) + 1).alias("position"), found.alias("found"))
+
+    return F.aggregate(F.split(c, "\n", -1), start, line, lambda acc: acc["found"])
 
 
 def label_at(position: Column, hs: Column) -> Column:

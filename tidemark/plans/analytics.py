@@ -64,9 +64,9 @@ def growth_span(s: Session, d: str) -> DataFrame:
 
 def filled_gaps(s: Session, d: str) -> DataFrame:
     e = table(s, d, "events", "event_id", "user_id", "ts", "event_type", "value")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     v = F.when(F.col("event_type") == "purchase", F.col("value"))
-    return e.select("event_id", F.round(series.fill(v, w), 4).alias("last_purchase"), F.round(series.fill(v, w, forward=False), 4).alias("next_purchase"))
+    by, order = ["user_id"], ["ts", "event_id"]
+    return e.select("event_id", F.round(series.fill(v, by, order), 4).alias("last_purchase"), F.round(series.fill(v, by, order, forward=False), 4).alias("next_purchase"))
 
 
 def asof_signup(s: Session, d: str) -> DataFrame:
@@ -189,39 +189,11 @@ def segment_matrix(s: Session, d: str) -> DataFrame:
     return fundamentals.segment_matrix(m, entity="symbol", year="year", data="data", last=3)
 
 
-def dcf_grid(s: Session, d: str) -> DataFrame:
-    base = s.createDataFrame([(1000.0, 0.08, 0.22, 0.05, 0.10, 0.25, 5, 150.0, 100.0)], "base_revenue double, growth double, margin double, capex_pct double, nwc_pct double, tax double, years int, net_debt double, shares double")
-    cases = models.grid(base, {"wacc": [0.07, 0.08, 0.09, 0.02], "terminal_growth": [0.02, 0.025, 0.03]})
-    return models.enterprise_value(cases, ["wacc", "terminal_growth"]).select("wacc", "terminal_growth", *[F.round(c, 3).alias(c) for c in ("pv_fcf", "terminal", "ev", "per_share", "terminal_pct")])
-
-
-def tornado(s: Session, d: str) -> DataFrame:
-    c = s.createDataFrame([("base", 1000.0, 0.2, 10.0)], "case string, revenue double, margin double, multiple double")
-    out = lambda: F.col("revenue") * F.col("margin") * F.col("multiple")
-    return models.tornado(c, ["case"], {"revenue": (800, 1200), "margin": (0.15, 0.22), "multiple": (8, 13)}, out).select("variable", *_r("at_low", "at_high", "impact"))
-
-
-def margin_sweep(s: Session, d: str) -> DataFrame:
-    c = s.createDataFrame([("base", 1000.0, 0.2, 10.0)], "case string, revenue double, margin double, multiple double")
-    return models.sweep(c, "margin", 0.1, 0.3, 5, lambda: F.col("revenue") * F.col("margin") * F.col("multiple")).select(*_r("margin", "output", "output_change"))
-
-
 def breakeven_price(s: Session, d: str) -> DataFrame:
     p = table(s, d, "part", "p_partkey", "p_retailprice")
     return models.breakeven(p, 0.0, 5000.0, lambda x: x * 0.8 - F.col("p_retailprice")).select("p_partkey", F.round("breakeven", 3).alias("breakeven"))
 
 
-def scenario_value(s: Session, d: str) -> DataFrame:
-    rows = [("a", "bear", 80.0, 0.25), ("a", "base", 100.0, 0.5), ("a", "bull", 150.0, 0.25), ("b", "bear", 10.0, None), ("b", "bull", 20.0, None)]
-    return models.expected(s.createDataFrame(rows, "firm string, scenario string, value double, p double"), ["firm"], "value", "p")
-
-
-def merger_table(s: Session, d: str) -> DataFrame:
-    names = "deal string, a_price double, a_shares double, a_income double, t_price double, t_shares double, t_income double, offer double, cash_pct double, stock_pct double, debt_part double, debt_rate double, cash_yield double, fee double, tax double, synergies double, intangibles double, years int, deductible boolean"
-    rows = [("x", 50.0, 200.0, 800.0, 25.0, 100.0, 200.0, 30.0, 0.6, 0.4, 0.5, 0.06, 0.03, 2.0, 0.25, 50.0, 300.0, 10, True), ("y", 50.0, 200.0, 800.0, 25.0, 100.0, 200.0, 45.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.25, 0.0, 300.0, 10, False)]
-    return models.merger(s.createDataFrame(rows, names)).select("deal", *_r("equity_value", "new_shares", "proforma_eps", "accretion", "breakeven_synergies"))
-
-
 def rfm(s: Session, d: str) -> DataFrame:
     c = table(s, d, "customer", "c_custkey")
     o = table(s, d, "orders", "o_orderkey", F.col("o_custkey").alias("c_custkey"), "o_orderdate", "o_totalprice").withColumn("day", F.col("o_orderdate").cast("date"))
@@ -282,7 +254,9 @@ def group_ranks(s: Session, d: str) -> DataFrame:
 
 def priority_stats(s: Session, d: str) -> DataFrame:
     o = table(s, d, "orders", "o_orderpriority", "o_orderstatus", "o_totalprice", "o_custkey")
-    return o.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("customers"), F.round(F.avg(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))), 2).alias("mean_filled"), F.round(F.stddev_samp("o_totalprice"), 2).alias("sd"), F.round(F.percentile("o_totalprice", 0.9), 2).alias("p90"))
+    g = o.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("customers"), F.round(F.avg(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))), 2).alias("mean_filled"), F.round(F.stddev_samp("o_totalprice"), 2).alias("sd"))
+    p = profile.quantiles(o, ["o_totalprice"], [0.9], ["o_orderpriority"]).select("o_orderpriority", F.round("value", 2).alias("p90"))
+    return g.join(p, "o_orderpriority")
 
 
 def cube(s: Session, d: str) -> DataFrame:
@@ -297,8 +271,8 @@ def event_props(s: Session, d: str) -> DataFrame:
 def run_pairs(s: Session, d: str) -> DataFrame:
     """Signups with the same user's next purchase within a day; runs without one are open."""
     e = table(s, d, "events", "event_id", "ts", "user_id", "event_type")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(1, Window.unboundedFollowing)
-    nxt = F.min(F.when(F.col("event_type") == "purchase", F.col("ts"))).over(w)
+    behind = series.reversed_(["user_id"], ["ts", "event_id"]).rowsBetween(Window.unboundedPreceding, -1)
+    nxt = F.min(F.when(F.col("event_type") == "purchase", F.col("ts"))).over(behind)
     t = e.withColumn("done", nxt).where("event_type = 'signup'")
     return t.select("event_id", F.when(F.col("done") <= F.col("ts") + F.expr("interval 1 day"), "done").otherwise("open").alias("outcome"))
 
@@ -346,8 +320,8 @@ def chunk_offsets(s: Session, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     growth_quarterly, segment_share, segment_pivot, segment_long, scaled_revenue, tail_rows, growth_span, filled_gaps, asof_signup, calendar_changes, latest_state, merged_state, idle_customers, active_nations, fiscal_sums,
-    weekly_complete, search_interest, interest_quarters, interest_gaps, holdings_rollup, position_changes, statement_ratios, health, revenue_bridge, earnings_surprise, segment_matrix, dcf_grid, tornado, margin_sweep, breakeven_price,
-    scenario_value, merger_table, rfm, describe, correlations, rank_correlation, missing, duplicates, shape, outliers, z_scores, quality, beta, group_ranks, priority_stats, cube, event_props, run_pairs, closure, term_totals, bm25_top,
+    weekly_complete, search_interest, interest_quarters, interest_gaps, holdings_rollup, position_changes, statement_ratios, health, revenue_bridge, earnings_surprise, segment_matrix, breakeven_price,
+    rfm, describe, correlations, rank_correlation, missing, duplicates, shape, outliers, z_scores, quality, beta, group_ranks, priority_stats, cube, event_props, run_pairs, closure, term_totals, bm25_top,
     fused, found_snippets, chunk_offsets,
 )}
 
@@ -383,11 +357,7 @@ SQL = {
     "revenue_bridge": "WITH i AS (SELECT DISTINCT inc_id, coalesce(revenue, 0) AS r, coalesce(costOfRevenue, 0) AS c, coalesce(operatingExpenses, 0) AS e, coalesce(incomeBeforeTax, netIncome + coalesce(incomeTaxExpense, 0)) AS p, netIncome AS n FROM aapl_income_quarter) SELECT inc_id, step_no, step, CAST(amount AS BIGINT) AS amount FROM (SELECT inc_id, unnest([1, 2, 3, 4, 5, 6, 7, 8]) AS step_no, unnest(['revenue', 'cost of revenue', 'gross profit', 'operating expenses', 'operating income', 'other', 'income tax', 'net income']) AS step, unnest([r, -c, r - c, -e, r - c - e, p - (r - c - e), n - p, n]) AS amount FROM i)",
     "earnings_surprise": "SELECT DISTINCT earn_id, round((epsActual - epsEstimated) / nullif(abs(epsEstimated), 0) * 100, 4) AS eps_surprise, round((revenueActual - revenueEstimated) / CAST(nullif(abs(revenueEstimated), 0) AS DOUBLE) * 100, 4) AS revenue_surprise FROM aapl_earnings WHERE epsActual IS NOT NULL",
     "search_interest": "WITH v AS (SELECT DISTINCT env_id, raw_response.interest_over_time.timeline_data AS tl FROM vsco_3m_daily), t AS (SELECT env_id, unnest(tl) AS t FROM v), p AS (SELECT env_id, CAST(make_timestamp(try_cast(t.timestamp AS BIGINT) * 1000000) AS DATE) AS day, unnest(t.values) AS x, t.partial_data AS pd FROM t WHERE t IS NOT NULL) SELECT x.query AS q, day, arg_max(x.extracted_value, env_id) AS interest FROM p WHERE x IS NOT NULL AND day IS NOT NULL AND x.query IS NOT NULL AND NOT coalesce(pd, false) GROUP BY 1, 2",
-    "dcf_grid": "WITH w(wacc) AS (VALUES (0.07::DOUBLE), (0.08::DOUBLE), (0.09::DOUBLE), (0.02::DOUBLE)), g(terminal_growth) AS (VALUES (0.02::DOUBLE), (0.025::DOUBLE), (0.03::DOUBLE)), y AS (SELECT unnest(range(1, 6)) AS t), f AS (SELECT t, 1000 * pow(1.08, t) * (0.22 - 0.05) * 0.75 - (1000 * pow(1.08, t) * 0.10 - CASE WHEN t = 1 THEN 100.0 ELSE 1000 * pow(1.08, t - 1) * 0.10 END) AS fcf FROM y), p AS (SELECT wacc, terminal_growth, sum(fcf / pow(1 + wacc, t)) AS pv, max(fcf) FILTER (WHERE t = 5) AS l FROM w, g, f GROUP BY 1, 2), e AS (SELECT *, CASE WHEN wacc > terminal_growth THEN l * (1 + terminal_growth) / (wacc - terminal_growth) / pow(1 + wacc, 5) END AS tv FROM p) SELECT wacc, terminal_growth, round(pv, 3) AS pv_fcf, round(tv, 3) AS terminal, round(pv + tv, 3) AS ev, round((pv + tv - 150) / 100, 3) AS per_share, round(tv / (pv + tv) * 100, 3) AS terminal_pct FROM e",
-    "tornado": "SELECT * FROM (VALUES ('revenue', 1600.0::DOUBLE, 2400.0::DOUBLE, 800.0::DOUBLE), ('margin', 1500.0, 2200.0, 700.0), ('multiple', 1600.0, 2600.0, 1000.0)) AS t(variable, at_low, at_high, impact)",
-    "margin_sweep": "SELECT round(0.1 + i * 0.05, 4)::DOUBLE AS margin, round(1000 * (0.1 + i * 0.05) * 10, 4)::DOUBLE AS output, round(1000 * (0.1 + i * 0.05) * 10 - 2000, 4)::DOUBLE AS output_change FROM range(5) AS t(i)",
     "breakeven_price": "SELECT p_partkey, CASE WHEN p_retailprice / 0.8 BETWEEN 0 AND 5000 THEN round(p_retailprice / 0.8, 3) END AS breakeven FROM part",
-    "scenario_value": "SELECT * FROM (VALUES ('a', 107.5::DOUBLE), ('b', 15.0)) AS t(firm, expected)",
     "rfm": "WITH o AS (SELECT o_custkey, max(CAST(o_orderdate AS DATE)) AS l, count(DISTINCT o_orderkey) AS f, sum(o_totalprice) AS m FROM orders WHERE CAST(o_orderdate AS DATE) <= DATE '1998-08-01' GROUP BY 1), d AS (SELECT c_custkey, CAST(date_diff('day', l, DATE '1998-08-01') AS INTEGER) AS recency, coalesce(f, 0) AS frequency, coalesce(m, 0) AS money FROM customer LEFT JOIN o ON o_custkey = c_custkey) SELECT c_custkey, recency, frequency, round(money, 2) AS money, CAST(ntile(5) OVER (ORDER BY -coalesce(recency, 1000000), c_custkey) AS INTEGER) AS r, CAST(ntile(5) OVER (ORDER BY frequency, c_custkey) AS INTEGER) AS f, CAST(ntile(5) OVER (ORDER BY money, c_custkey) AS INTEGER) AS m FROM d",
     "describe": " UNION ALL ".join(_STATS.format(c=c) for c in LINE),
     "correlations": " UNION ALL ".join(f"SELECT l_returnflag, '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 4) AS r FROM lineitem GROUP BY 1" for i, a in enumerate(LINE) for b in LINE[i + 1 :]),
