@@ -84,6 +84,13 @@ def test_same_as_the_rank_file():
     assert [list(x) for x in tokens.encode(texts)] == [e.encode_ordinary(t) for t in texts]
 
 
+def test_ranks_are_the_same_vocabulary():
+    assert tokens.vocabulary(tokens.BYTE_RANKS) == tokens.vocabulary(tokens.BYTE_BPE)[:-1]
+    assert [list(x) for x in tokens.encode(ODD, tokens.BYTE_RANKS)] == [list(x) for x in tokens.encode(ODD)]
+    every = ["a" + chr(c) + "1." + chr(c) + " " + chr(c) for c in range(0, 0x30000, 7) if not 0xD800 <= c < 0xE000]
+    assert [list(x) for x in tokens.encode(every, tokens.BYTE_RANKS)] == [list(x) for x in tokens.encode(every)]
+
+
 def test_split_characters():
     ids = next(tokens.encode(["ab😀"]))
     raw = "ab😀".encode()
@@ -159,6 +166,21 @@ def test_split_empty(spark):
         splitting.split_texts(e, id="doc_id", text="text", limit=10, overlap=9)
 
 
+def test_piece_that_cannot_be_cut():
+    """A character of more tokens than the limit can't be part of any piece under it: that's an error, not a longer piece."""
+    odd = "".join(chr(c) for c in (0x1F3F4, 0xE0067, 0xE0062, 0x10FFFF)) * 3
+    assert max(len(x) for x in tokens.encode(list(odd))) > 2
+    with pytest.raises(ValueError, match="however it is cut"):
+        list(splitting.pieces([odd], 2, 0))
+
+
+def test_short_texts_need_no_counting():
+    """Exactly at the limit in bytes, one over it, and over it in bytes only."""
+    texts = ["a " * 4, "é" * 4, "é" * 5, "! ? ! ? ! ?", None, ""]
+    want = {i for i, x in enumerate(tokens.encode(texts)) if len(x) > 8}
+    assert {i for i, _, _ in splitting.pieces(texts, 8, 0)} == want
+
+
 def test_quotas():
     q = mixing.quotas({"a": 100, "b": 1000, "c": 10}, {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 2, "b": 3, "c": 4}, 1110)
     assert q["a"] == 200 and q["c"] == 40 and abs(sum(q.values()) - 1110) < 1e-6
@@ -190,6 +212,56 @@ def test_mixing(spark):
     assert sum(half) < len(half) - sum(half)
 
 
+def test_curriculum_sums():
+    """At every time the sources make up the whole, by the end each has given its quota, and the ratios of two sources
+    follow their schedules."""
+    quota, slopes = {"a": 700.0, "b": 200.0, "c": 100.0, "none": 0.0}, {"a": 0.5, "b": -1.0}
+    upto = mixing.curriculum(quota, slopes, 64)
+    assert set(upto) == {"a", "b", "c"}
+    rate = {s: np.diff(u) * quota[s] / 1000 for s, u in upto.items()}
+    assert np.allclose(sum(rate.values()), 1 / 64)
+    mid = (np.arange(64) + 0.5) / 64
+    ratio = rate["a"] / rate["c"] / (1 + 0.5 * (2 * mid - 1))
+    assert np.allclose(ratio, ratio[0])
+    with pytest.raises(ValueError):
+        mixing.curriculum({"a": 1.0}, {"a": 1.5})
+
+
+def test_shares_follow_the_schedule(spark):
+    """In every tenth of the positions each source has the share that its curve gives, and positions are running sizes."""
+    docs = [(i, "abc"[i % 3], 1 + i % 7) for i in range(6000)]
+    d = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long")
+    t = spark.createDataFrame([("a", 0.5, 4), ("b", 0.3, 4), ("c", 0.2, 4)], "source string, weight double, max_repeats int")
+    slopes = {"a": 0.8, "b": -0.9}
+    got = mixing.mix(d, t, id="doc_id", source="source", size="n_tokens", slopes=slopes, buckets=32).collect()
+    total = sum(n for _, _, n in docs)
+    quota = {"a": 0.5 * total, "b": 0.3 * total, "c": 0.2 * total}
+    upto = mixing.curriculum(quota, slopes)
+    for k in range(10):
+        part = [r for r in got if k <= 10 * r.position / total < k + 1]
+        size = sum(r.n_tokens for r in part)
+        assert abs(size - total / 10) < 0.01 * total
+        for s in "abc":
+            at = lambda x: np.interp(x, np.arange(65) / 64, upto[s])
+            want = quota[s] * (at((k + 1) / 10) - at(k / 10)) / (total / 10)
+            assert abs(sum(r.n_tokens for r in part if r.source == s) / size - want) < 0.02
+    running = 0
+    for r in got:
+        assert abs(r.position - running) < 0.01 * total
+        running += r.n_tokens
+
+
+def test_many_sources_without_a_target(spark, monkeypatch):
+    """Sources without a target count for the total, however many; only the targets' number has a limit."""
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
+    d = spark.createDataFrame([(i, f"s{i}", 10) for i in range(100)], "doc_id long, source string, n_tokens long")
+    t = spark.createDataFrame([("s1", 0.5, 100), ("s2", 0.5, 100)], "source string, weight double, max_repeats int")
+    got = mixing.mix(d, t, id="doc_id", source="source", size="n_tokens").collect()
+    assert sum(r.n_tokens for r in got) == 1000 and {r.source for r in got} == {"s1", "s2"}
+    with pytest.raises(ValueError):
+        mixing.mix(d, t.union(t.limit(1)), id="doc_id", source="source", size="n_tokens")
+
+
 def test_mixing_empty(spark):
     d = spark.createDataFrame([], "doc_id long, source string, n_tokens long")
     t = spark.createDataFrame([("a", 1.0, 2)], "source string, weight double, max_repeats int")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -32,18 +33,42 @@ def quotas(sizes: Mapping[str, int], weights: Mapping[str, float], repeats: Mapp
     return out
 
 
-def _inverse(share: Column, slope: Column) -> Column:
-    """The time in [0, 1] by which a source has given share of its quota, if its rate is 1 + slope * (2 * time - 1).
+def curriculum(quota: Mapping[str, float], slopes: Mapping[str, float], cells: int = 64, rounds: int = 500) -> dict[str, list[float]]:
+    """For each source, the share of its quota given by the times 0, 1/cells, ..., 1.
 
-    The integral of the rate is slope * x * x + (1 - slope) * x, which is inverted in closed form; |slope| <= 1.
+    Source s has the schedule 1 + slope * (2x - 1) at time x. At each time the rates of all sources must sum to the
+    same, and each source must give its quota by the end: the table of sources and cells of time that has these sums
+    and else keeps the ratios of the schedules is found by scaling rows and columns in turn. The shares are its running
+    sums along time.
     """
-    b = 1 - slope
-    root = F.sqrt(F.greatest(b * b + 4 * slope * share, F.lit(0.0)))
-    # This form holds for slope 0 too and loses no digits near it.
-    return F.when(share <= 0, F.lit(0.0)).otherwise(F.least(2 * share / F.nullif(b + root, F.lit(0.0)), F.lit(1.0)))
-
-
-def mix(sized: DataFrame, targets: DataFrame, *, id: str, source: str, size: str, weight: str = "weight", repeats: str = "max_repeats", slopes: Mapping[str, float] | None = None, seed: int = 7, buckets: int = 4096) -> DataFrame:
+    names = [s for s, q in quota.items() if q > 0]
+    if not names:
+        return {}
+    if any(not -1 <= slopes.get(s, 0.0) <= 1 for s in names):
+        raise ValueError("slopes lie between -1 and 1")
+    mid = (np.arange(cells) + 0.5) / cells
+    table = np.array([1 + slopes.get(s, 0.0) * (2 * mid - 1) for s in names])
+    want = np.array([quota[s] for s in names])
+    want = want / want.sum()
+    for _ in range(rounds):
+        table *= (1 / cells) / table.sum(0)
+        sums = table.sum(1)
+        table *= (want / sums)[:, None]
+        if np.abs(sums - want).max() < 1e-12:
+            break
+    upto = np.cumsum(table, axis=1) / want[:, None]
+    return {s: [0.0, *map(float, upto[i, :-1]), 1.0] for i, s in enumerate(names)}
+
+
+def _time_of(share: Column, upto: Column, cells: int) -> Column:
+    """The time in [0, 1] at which a source has given share of its quota, upto being its running shares."""
+    k = F.least(F.greatest(F.size(F.filter(upto, lambda x: x <= share)) - 1, F.lit(0)), F.lit(cells - 1))
+    lo, hi = F.get(upto, k), F.get(upto, k + 1)
+    inside = F.coalesce(F.try_divide(share - lo, F.nullif(hi - lo, F.lit(0.0))), F.lit(0.0))
+    return (k + F.least(F.greatest(inside, F.lit(0.0)), F.lit(1.0))) / F.lit(cells)
+
+
+def mix(sized: DataFrame, targets: DataFrame, *, id: str, source: str, size: str, weight: str = "weight", repeats: str = "max_repeats", slopes: Mapping[str, float] | None = None, seed: int = 7, buckets: int = 4096, cells: int = 64) -> DataFrame:
     """(position, id, source, repeat_no, size): every use of a record, sorted by training position.
 
     sized has one row per record with its source and size; targets has weight (shares, made to sum to 1) and the most
@@ -53,9 +78,10 @@ def mix(sized: DataFrame, targets: DataFrame, *, id: str, source: str, size: str
     the uses of a record lie as far apart as its quota allows; the last pass ends with the record whose middle lies
     within the quota, so no record is used more often than allowed. Ties in position follow source, id and repeat_no.
 
-    slopes gives the curriculum: the rate of a source at time x in [0, 1] is proportional to 1 + slope * (2x - 1), so
-    that +1 grows from nothing and -1 fades out; the default 0 is even. Each record's place in its source's
-    cumulative demand is inverted to a time, and position is that time in tokens of the whole.
+    slopes gives the curriculum: a source's weight at time x in [0, 1] is proportional to 1 + slope * (2x - 1), so that
+    +1 grows from nothing and -1 fades out; the default 0 is even. The weights are scaled so that at every time they
+    make up the whole and over all time each source gives its quota, see curriculum(). Their integral is inverted for
+    each record's place in its source's cumulative demand, so position is the number of tokens before it in the whole.
 
     Running sizes are formed in two levels, within buckets of the hash and over the buckets of a source, so no task
     holds a source.
@@ -67,13 +93,16 @@ def mix(sized: DataFrame, targets: DataFrame, *, id: str, source: str, size: str
     rows = sized.where(F.col(source).isNotNull()).select(F.col(id).alias("id"), F.col(source).alias("src"), n.alias("n"), F.xxhash64(F.col(id), F.lit(seed)).alias("h"))
     rows = rows.withColumn("b", F.pmod(F.shiftrightunsigned("h", 20), F.lit(buckets)))
     sums = rows.groupBy("src", "b").agg(F.sum("n").alias("held"))
-    by_source = {r["src"]: int(r["held"]) for r in sums.groupBy("src").agg(F.sum("held").alias("held")).limit(10 * MOST_SOURCES).collect()}
-    total = sum(by_source.values())
-    quota = quotas(by_source, {r[source]: float(r[weight] or 0) for r in rules}, {r[source]: int(r[repeats] or 0) for r in rules}, total)
-    slope = slopes or {}
-    plan = [(s, q, float(by_source.get(s, 0)), next(int(r[repeats] or 0) for r in rules if r[source] == s), float(slope.get(s, 0.0))) for s, q in quota.items() if q > 0]
-    spark = sized.sparkSession
-    table = spark.createDataFrame(plan, "src string, quota double, whole double, most int, slope double")
+    total = int(sums.agg(F.sum("held")).first()[0] or 0)
+    wanted = targets.select(F.col(source).alias("src")).where("src is not null").distinct()
+    # At most a row for each source of the targets, whose number was checked above.
+    by_source = {r["src"]: int(r["held"]) for r in sums.join(wanted, "src", "left_semi").groupBy("src").agg(F.sum("held").alias("held")).collect()}
+    most = {r[source]: int(r[repeats] or 0) for r in rules}
+    quota = quotas(by_source, {r[source]: float(r[weight] or 0) for r in rules}, most, total)
+    upto = curriculum(quota, slopes or {}, cells)
+    plan = [(s, q, float(by_source.get(s, 0)), most[s]) for s, q in quota.items() if q > 0]
+    table = sized.sparkSession.createDataFrame(plan, "src string, quota double, whole double, most int")
+    curves = sized.sparkSession.createDataFrame(list(upto.items()), "src string, curve array<double>")
     before = F.coalesce(F.sum("held").over(Window.partitionBy("src").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sums.withColumn("offset", before).select("src", "b", "offset").join(F.broadcast(table), "src")
     inner = F.sum("n").over(Window.partitionBy("src", "b").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -81,7 +110,8 @@ def mix(sized: DataFrame, targets: DataFrame, *, id: str, source: str, size: str
     passes = F.least(F.col("most"), F.floor((F.col("quota") - F.col("middle")) / F.col("whole")).cast("int") + 1)
     uses = placed.where("whole > 0").withColumn("k", F.explode(F.when(passes > 0, F.sequence(F.lit(0), passes - 1)).otherwise(F.array().cast("array<int>"))))
     share = (F.col("k") * F.col("whole") + F.col("middle")) / F.col("quota")
-    at = F.floor(_inverse(share, F.col("slope")) * F.lit(float(max(sum(quota.values()), 1)))).cast("long")
+    uses = uses.join(F.broadcast(curves), "src")
+    at = F.floor(_time_of(share, F.col("curve"), cells) * F.lit(float(max(sum(quota.values()), 1)))).cast("long")
     out = uses.select(at.alias("position"), F.col("id").alias(id), F.col("src").alias(source), (F.col("k") + 1).alias("repeat_no"), F.col("n").alias(size))
     return out.orderBy("position", source, id, "repeat_no")
 

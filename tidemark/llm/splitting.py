@@ -15,7 +15,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidemark.llm.tokens import BYTE_BPE, char_offsets, encode, small_batches
+from tidemark.llm.tokens import BYTE_RANKS, char_offsets, encode, small_batches
 
 #: Ranks of boundaries, the places where the next piece would begin: paragraphs, sentences and lines, words.
 PARAGRAPH, SENTENCE, WORD = 3, 2, 1
@@ -87,7 +87,7 @@ def reached(succ: np.ndarray, begin: np.ndarray) -> np.ndarray:
         jump = squared
 
 
-def pieces(texts: list[str | None], limit: int, overlap: int, path: str = BYTE_BPE) -> Iterator[tuple[int, list[tuple[int, int, int, int, bool]], int]]:
+def pieces(texts: list[str | None], limit: int, overlap: int, path: str = BYTE_RANKS) -> Iterator[tuple[int, list[tuple[int, int, int, int, bool]], int]]:
     """(index of the text, [(first token, last token + 1, first character, last character + 1, natural)], tokens) of each text over the limit."""
     held, size, base = [], 0, 0
 
@@ -110,14 +110,19 @@ def pieces(texts: list[str | None], limit: int, overlap: int, path: str = BYTE_B
             again = []
             for (i, text, n, starts, rank, hard), (_, cuts, _) in zip(held, list(solve())):
                 loose = [text[c:d] for k, (a, b, c, d, natural) in enumerate(cuts) if not natural or rank[a] < WORD]
-                if loose and hard > limit // 2 and max(len(x) for x in encode(loose, path)) > limit:
-                    again.append((i, text, n, starts, rank, hard - max(1, limit // 32)))
+                if loose and max(len(x) for x in encode(loose, path)) > limit:
+                    if hard <= 1:
+                        raise ValueError(f"a piece of text {i} has more than {limit} tokens however it is cut")
+                    again.append((i, text, n, starts, rank, max(1, hard - max(1, limit // 32))))
                 else:
                     yield i, cuts, n
             held = again
 
-    for i, (text, ids) in enumerate(zip(texts, encode(texts, path))):
+    # A token has at least one byte: a text of no more bytes than the limit needs no counting.
+    long = [i for i, text in enumerate(texts) if text and (len(text) > limit or len(text.encode("utf-8", "replace")) > limit)]
+    for i, ids in zip(long, encode([texts[i] for i in long], path)):
         if len(ids) > limit:
+            text = texts[i]
             raw = text.encode("utf-8", "replace")
             starts, clean = char_offsets(ids, raw, path)
             held.append((i, text, len(ids), starts, boundary_ranks(text, starts, clean), limit))
@@ -128,14 +133,15 @@ def pieces(texts: list[str | None], limit: int, overlap: int, path: str = BYTE_B
     yield from checked()
 
 
-def split_texts(df: DataFrame, *, id: str, text: str, limit: int = 512, overlap: int = 64, with_text: bool = True, path: str = BYTE_BPE) -> DataFrame:
+def split_texts(df: DataFrame, *, id: str, text: str, limit: int = 512, overlap: int = 64, with_text: bool = True, path: str = BYTE_RANKS) -> DataFrame:
     """(id, piece_no, first_token, end_token, first_char, end_char, natural_end, n_tokens[, piece]) of each text of more than limit tokens.
 
     Pieces have at most limit tokens and cover the text without gaps; each after the first repeats the last overlap
     tokens of the piece before, or fewer so as to start at a boundary. natural_end tells whether a piece ends at a
     paragraph, sentence, line or word. Texts within the limit, null and empty ones give no rows. Only a text without
-    any white space for most of a limit is cut inside a word, never inside a character. Repeated rows give their
-    pieces each time. n_tokens is the number of tokens of the whole text. Other columns aren't read.
+    any white space for most of a limit is cut inside a word, never inside a character; a piece so cut that takes more
+    than limit tokens by itself is cut earlier, and if no cut helps (a character of more tokens than the limit), an
+    error is raised. Repeated rows give their pieces each time. n_tokens is the number of tokens of the whole text. Other columns aren't read.
     """
     if not 0 <= overlap < limit // 2:
         raise ValueError("overlap must be under half of the limit")

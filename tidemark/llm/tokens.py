@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import json
 import os
 import re
@@ -14,6 +15,10 @@ from pyspark.sql import DataFrame
 
 #: Where the vocabulary file lies on every executor; the files are never part of this repository.
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
+#: The same vocabulary as a list of ranks, for the other library: it gives the same ids in about a quarter of the time.
+BYTE_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+# Fixed value: the pattern by which this vocabulary's texts are split before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A text longer than this many characters is encoded in parts, so that the tokenizer's own objects stay small.
 PART = 50_000
 #: So many characters go to the tokenizer in one call.
@@ -57,7 +62,24 @@ def vocabulary(path: str) -> list[bytes]:
     return _kept("vocabulary", path, _read_vocabulary)
 
 
+def _read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+
+
+def _load_ranks(path: str):
+    import tiktoken
+
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=_read_ranks(path), special_tokens={})
+
+
 def _read_vocabulary(path: str) -> list[bytes]:
+    if path.endswith(".tiktoken"):
+        ranks = _read_ranks(path)
+        out = [b""] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            out[i] = token
+        return out
     with open(path, encoding="utf-8") as f:
         known = json.load(f)
     table = byte_table()
@@ -101,8 +123,21 @@ def _clean(text: str) -> str:
         return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
+def _by_ranks(texts: list[str | None], path: str) -> Iterator[np.ndarray]:
+    e = _kept("ranks", path, _load_ranks)
+    for text in texts:
+        ids = [e.encode_to_numpy(p, disallowed_special=()).astype(np.int32) for p in parts(_clean(text))] if text else []
+        yield ids[0] if len(ids) == 1 else np.concatenate(ids) if ids else np.zeros(0, np.int32)
+
+
 def encode(texts: list[str | None], path: str = BYTE_BPE) -> Iterator[np.ndarray]:
-    """The ids of each text without special tokens; null and empty texts have none. Yields in order."""
+    """The ids of each text without special tokens; null and empty texts have none. Yields in order.
+
+    path is a vocabulary of the tokenizers library or, if it ends in .tiktoken, a list of ranks.
+    """
+    if path.endswith(".tiktoken"):
+        yield from _by_ranks(texts, path)
+        return
     t = tokenizer(path)
     queue: list[list[str]] = []
     held = 0
@@ -182,7 +217,7 @@ def token_ids(df: DataFrame, *, id: str, text: str, path: str = BYTE_BPE) -> Dat
     return df.selectExpr(f"`{id}` as i", f"`{text}` as t").mapInArrow(run, f"`{id}` {kind}, ids array<int>")
 
 
-def token_counts(df: DataFrame, *, text: str, keep: list[str], path: str = BYTE_BPE, name: str = "n_tokens") -> DataFrame:
+def token_counts(df: DataFrame, *, text: str, keep: list[str], path: str = BYTE_RANKS, name: str = "n_tokens") -> DataFrame:
     """The columns in keep and the number of tokens of text (0 for null and empty), without the ids."""
     kinds = dict(df.dtypes)
 
