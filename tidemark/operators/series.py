@@ -156,3 +156,11 @@ def year_range(b: DataFrame, symbol: str = "symbol", day: str = "day") -> DataFr
     """hi_52w and lo_52w: extremes of the 365 days that end with the bar's."""
     w = Window.partitionBy(symbol).orderBy(F.unix_date(day)).rangeBetween(-364, 0)
     return b.withColumns({"hi_52w": F.max("high").over(w), "lo_52w": F.min("low").over(w)})
+
+
+def sigma_flags(b: DataFrame, column: str, w: WindowSpec, n: int = 20, k: float = 3.0) -> DataFrame:
+    """b with z, the deviation from the mean of the n rows before in their sample deviations, and flag, whether it
+    exceeds k; both null (false) until n rows stand before, or where they are all alike."""
+    before = w.rowsBetween(-n, -1)
+    z = F.when(F.count(column).over(before) == n, F.try_divide(F.col(column) - F.avg(column).over(before), F.nullif(F.stddev_samp(column).over(before), F.lit(0.0))))
+    return b.withColumn("z", z).withColumn("flag", F.coalesce(F.col("z") > k, F.lit(False)))

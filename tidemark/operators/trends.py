@@ -107,3 +107,14 @@ def apportion(weekly: DataFrame, *, week: str, value: str) -> DataFrame:
     """Weekly values spread evenly over the seven days from week: day and day_value behind the other columns."""
     days = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.date_add(F.col(week), i))
     return weekly.select("*", F.explode(days).alias("day")).withColumn("day_value", F.col(value) / 7)
+
+
+def rebinned(monthly: DataFrame, year_end_month: int, *, keys: list[str], month: str, value: str) -> DataFrame:
+    """(keys, quarter_end, fiscal_quarter, value, n_months): monthly values (one row a month) added up by fiscal quarter.
+
+    Months are taken whole, nothing is interpolated; n_months tells how many a quarter has.
+    """
+    ahead = F.pmod(F.lit(year_end_month) - F.month(month), F.lit(3)).cast("int")
+    end = F.last_day(F.add_months(F.trunc(month, "month"), ahead))
+    g = monthly.groupBy(*keys, end.alias("quarter_end")).agg(F.sum(value).alias("value"), F.count("*").alias("n_months"))
+    return g.withColumn("fiscal_quarter", fiscal_quarter(F.col("quarter_end"), year_end_month))

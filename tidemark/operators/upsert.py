@@ -56,9 +56,30 @@ def set_flag(stored: DataFrame, keys_table: DataFrame, keys: Sequence[str], flag
     return out.drop("__hit").select(*stored.columns)
 
 
-def active(df: DataFrame, flag: str = "active") -> DataFrame:
-    """Rows not marked inactive; a blank or null flag counts as active."""
-    return df.where(F.lower(F.coalesce(F.nullif(F.trim(flag), F.lit("")), F.lit("true"))) != "false")
+def active(df: DataFrame, flag: str = "active", strict: bool = False) -> DataFrame:
+    """Rows not marked 'false' (in any case); a blank or null flag counts as active. With strict only rows marked 'true'."""
+    said = F.lower(F.trim(F.col(flag).cast("string")))
+    return df.where(F.coalesce(said, F.lit("")) == "true") if strict else df.where(F.coalesce(said, F.lit("")) != "false")
+
+
+# The columns by which rows of a data set are the same, besides their entity.
+DATASETS = {
+    "TaiwanStockPrice": ["date"], "TaiwanStockPER": ["date"], "TaiwanStockMonthRevenue": ["date", "revenue_month"], "TaiwanStockShareholding": ["date"], "TaiwanStockFinancialStatements": ["date", "type"], "TaiwanStockBalanceSheet": ["date", "type"],
+    "TaiwanStockCashFlowsStatement": ["date", "type"], "TaiwanStockDividend": ["date"], "TaiwanStockDividendResult": ["date"], "TaiwanStockInstitutionalInvestorsBuySell": ["date", "name"], "TaiwanStockMarginPurchaseShortSale": ["date"],
+}
+
+
+def merge_datasets(stored: DataFrame, new: DataFrame, *, dataset: str = "dataset", entity: str = "entity", order: str | None = None, registry: dict[str, list[str]] = DATASETS) -> DataFrame:
+    """stored with new merged in, both with rows of many data sets: of rows that are the same by their data set's columns
+    (those present) the latest counts, new before stored, then by order. Data sets that aren't registered raise nothing:
+    their rows are the same only if all columns are."""
+    columns = list(dict.fromkeys([*stored.columns, *new.columns]))
+    case = F.to_json(F.struct(*[F.col(c) for c in columns if c != order]))
+    for name, keys in registry.items():
+        present = [c for c in keys if c in columns]
+        case = F.when(F.col(dataset) == name, F.to_json(F.struct(*[F.col(c) for c in present]), {"ignoreNullFields": "false"})).otherwise(case)
+    wide = [p.select(*[F.col(c) if c in p.columns else F.lit(None).alias(c) for c in columns]).withColumn("__same", case) for p in (stored, new)]
+    return keep_last(wide, [dataset, entity, "__same"], order).select(*columns)
 
 
 def sync(stored: DataFrame, source: DataFrame, keys: Sequence[str], day: str, entity: Sequence[str] | None = None) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import analytics, filings, market, problems, valuation
+from tidemark.plans import analytics, everyday, filings, market, problems, valuation
 
 FLAGSHIP = "indicator_table"
-QUERIES = {**market.QUERIES, **analytics.QUERIES, **filings.QUERIES, **valuation.QUERIES, **problems.QUERIES}
-SQL = {**market.SQL, **analytics.SQL, **filings.SQL, **valuation.SQL, **problems.SQL}
+QUERIES = {**market.QUERIES, **analytics.QUERIES, **everyday.QUERIES, **filings.QUERIES, **valuation.QUERIES, **problems.QUERIES}
+SQL = {**market.SQL, **analytics.SQL, **everyday.SQL, **filings.SQL, **valuation.SQL, **problems.SQL}
