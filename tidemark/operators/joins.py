@@ -58,12 +58,14 @@ def snapshot_diff(stored: DataFrame, fetched: DataFrame, *, by: str, kind: str,
     future = lambda c: F.col(c) >= F.lit(today).cast("date")
     gone = F.col("n").isNull() & F.col("covered") & future("old_day")
     fresh = F.col("o").isNull() & future("new_day")
-    w = Window.partitionBy(by, kind)
     both = both.withColumns({"gone": F.coalesce(gone, F.lit(False)), "fresh": F.coalesce(fresh, F.lit(False))})
-    both = both.withColumns({"ng": F.sum(F.col("gone").cast("int")).over(w), "nf": F.sum(F.col("fresh").cast("int")).over(w)})
-    pair = (F.col("ng") == 1) & (F.col("nf") == 1)
-    paired = both.where(pair & F.col("gone")).select(by, kind, F.col("old_day").alias("p_day"), F.col("old_status").alias("p_status"))
-    rows = both.where(~(pair & F.col("gone"))).join(paired, [by, kind], "left")
+    # What is left of a key and kind is counted; only those with one entry on each side are paired, by a join that
+    # carries one row for each of them, so a key with many entries meets in no single task.
+    left = both.groupBy(by, kind).agg(F.count_if("gone").alias("ng"), F.count_if("fresh").alias("nf"), F.max(F.when(F.col("gone"), F.struct(F.col("old_day").alias("p_day"), F.col("old_status").alias("p_status")))).alias("p"))
+    left = left.where("ng = 1 and nf = 1").select(by, kind, "p.p_day", "p.p_status", F.lit(True).alias("pair"))
+    rows = both.join(left, [by, kind], "left")
+    pair = F.coalesce("pair", F.lit(False))
+    rows = rows.where(~(pair & F.col("gone")))
     moved_pair = pair & F.col("fresh")
     old_day, old_status = F.when(moved_pair, F.col("p_day")).otherwise(F.col("old_day")), F.when(moved_pair, F.col("p_status")).otherwise(F.col("old_status"))
     change = (

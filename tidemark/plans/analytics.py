@@ -93,14 +93,17 @@ def latest_state(s: Session, d: str) -> DataFrame:
 
 
 def merged_state(s: Session, d: str) -> DataFrame:
-    """Balances of customers after orders of over 400,000 were merged in; null updates keep what is stored."""
-    c = table(s, d, "customer", "c_custkey", "c_name", "c_acctbal")
-    batch = table(s, d, "orders", "o_orderkey", "o_custkey", "o_totalprice").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"), F.lit(None).cast("string").alias("c_name"), F.col("o_totalprice").alias("c_acctbal"), "o_orderkey")
-    return upsert.upsert(c, batch, ["c_custkey"], "o_orderkey").where("c_name is not null").select("c_custkey", "c_name", F.round("c_acctbal", 2).alias("c_acctbal"))
+    """Balances of two thirds of the customers after all customers' largest orders were merged in: some rows are
+    replaced, some kept, some inserted; null updates keep what is stored."""
+    c = table(s, d, "customer", "c_custkey", "c_name", "c_acctbal").where("c_custkey % 3 > 0")
+    batch = table(s, d, "orders", "o_orderkey", "o_custkey", "o_totalprice").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"), F.lit(None).cast("string").alias("c_name"), F.col("o_totalprice").alias("c_acctbal"), "o_orderkey")
+    return upsert.upsert(c, batch, ["c_custkey"], "o_orderkey").select("c_custkey", "c_name", F.round("c_acctbal", 2).alias("c_acctbal"))
 
 
 def idle_customers(s: Session, d: str) -> DataFrame:
-    return upsert.delete(table(s, d, "customer", "c_custkey", "c_mktsegment"), table(s, d, "orders", F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    """Customers without an order of the first priority."""
+    o = table(s, d, "orders", "o_custkey", "o_orderpriority").where("o_orderpriority = '1-URGENT'")
+    return upsert.delete(table(s, d, "customer", "c_custkey", "c_mktsegment"), o.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 def active_nations(s: Session, d: str) -> DataFrame:
@@ -150,7 +153,7 @@ def holdings_rollup(s: Session, d: str) -> DataFrame:
 
 def position_changes(s: Session, d: str) -> DataFrame:
     li = table(s, d, "lineitem", "l_suppkey", "l_partkey", "l_quantity", "l_shipdate").select("l_suppkey", "l_partkey", F.col("l_quantity").cast("bigint").alias("q"), F.year("l_shipdate").alias("y"))
-    return joins.position_changes(li.where("y = 1995"), li.where("y = 1996"), keys=["l_suppkey", "l_partkey"], amount="q")
+    return joins.position_changes(li.where("y <= 1996"), li.where("y > 1996"), keys=["l_suppkey", "l_partkey"], amount="q")
 
 
 def statement_ratios(s: Session, d: str) -> DataFrame:
@@ -186,7 +189,7 @@ def earnings_surprise(s: Session, d: str) -> DataFrame:
 def segment_matrix(s: Session, d: str) -> DataFrame:
     g = once(table(s, d, "aapl_segmentation", "seg_id", "symbol", "fiscalYear", "data"), "seg_id")
     m = g.select("symbol", F.col("fiscalYear").alias("year"), F.transform_values(F.from_json("data", "map<string,string>"), lambda _, v: F.coalesce(drift.amount_text(v), F.lit(0))).alias("data")).where("data is not null")
-    return fundamentals.segment_matrix(m, entity="symbol", year="year", data="data", last=3)
+    return fundamentals.segment_matrix(m, entity="symbol", year="year", data="data", last=3).withColumn("amount", F.col("amount").cast("double"))
 
 
 def breakeven_price(s: Session, d: str) -> DataFrame:
@@ -335,6 +338,19 @@ _BM = (
 _WIN = "OVER (PARTITION BY segment ORDER BY day)"
 _STATS = "SELECT '{c}' AS name, count({c}) AS n, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, round(min({c}), 4) AS min, round(quantile_cont({c}, 0.25), 4) AS q25, round(quantile_cont({c}, 0.5), 4) AS q50, round(quantile_cont({c}, 0.75), 4) AS q75, round(max({c}), 4) AS max FROM lineitem"
 
+_INTEREST = "WITH v AS (SELECT DISTINCT env_id, raw_response.interest_over_time.timeline_data AS tl FROM vsco_3m_daily), t AS (SELECT env_id, unnest(tl) AS t FROM v), p AS (SELECT env_id, CAST(make_timestamp(try_cast(t.timestamp AS BIGINT) * 1000000) AS DATE) AS day, unnest(t.values) AS x, t.partial_data AS pd FROM t WHERE t IS NOT NULL), i AS (SELECT x.query AS q, day, arg_max(x.extracted_value, env_id) AS interest FROM p WHERE x IS NOT NULL AND day IS NOT NULL AND x.query IS NOT NULL AND NOT coalesce(pd, false) GROUP BY 1, 2)"
+_RATIOS = "WITH g AS (SELECT l_suppkey AS supplier, sum(l_extendedprice) AS rev, sum(l_extendedprice * l_discount) AS ni, sum(l_extendedprice * l_tax) AS cogs, sum(l_quantity) AS sh FROM lineitem GROUP BY 1), r AS (SELECT supplier, round((rev - cogs) / rev, 4) AS gross_margin, round(ni / rev, 4) AS net_margin, round(ni / (rev * 2), 4) AS roa, round(30 / (ni / sh), 4) AS pe FROM g)"
+_UNIVERSE_DAY = "CASE WHEN regexp_matches(trim(date), '^[0-9]{4}([-/]?)[0-9]{2}[-/]?[0-9]{2}([T ].*)?$') THEN try_cast(regexp_replace(trim(date), '^([0-9]{4})[-/]?([0-9]{2})[-/]?([0-9]{2}).*$', '\\1-\\2-\\3') AS DATE) END"
+#: Snapshots before and from 2024 on, by slot; what is left on both sides of a ticker and type pairs if it is one each.
+_CALENDAR = (
+    f"WITH e AS (SELECT DISTINCT event_id, nullif(replace(upper(trim(ticker)), '.', '-'), '') AS ticker, type, nullif(trim(ref), '') AS ref, {_UNIVERSE_DAY} AS day, status, fetched_at FROM universe_events WHERE fetched_at IS NOT NULL), s AS (SELECT *, coalesce(ref, CAST(day AS VARCHAR)) AS slot, fetched_at >= '2024-01-01' AS late FROM e), "
+    "k AS (SELECT late, ticker, type, slot, ref, day, status FROM s QUALIFY row_number() OVER (PARTITION BY late, ticker, type, slot ORDER BY fetched_at DESC, day DESC NULLS LAST, status DESC NULLS LAST) = 1), "
+    "j AS (SELECT coalesce(o.ticker, n.ticker) AS ticker, coalesce(o.type, n.type) AS type, o.slot IS NOT NULL OR o.late IS NOT NULL AS o, n.late IS NOT NULL AS n, o.ref AS old_ref, n.ref AS new_ref, o.day AS old_day, n.day AS new_day, o.status AS old_status, n.status AS new_status FROM (SELECT * FROM k WHERE NOT late) o FULL JOIN (SELECT * FROM k WHERE late) n ON o.ticker = n.ticker AND o.type = n.type AND o.slot = n.slot), "
+    "c AS (SELECT DISTINCT ticker, type FROM k WHERE late), f AS (SELECT j.*, coalesce(NOT n AND c.ticker IS NOT NULL AND old_day >= DATE '2024-01-01', false) AS gone, coalesce(NOT o AND new_day >= DATE '2024-01-01', false) AS fresh FROM j LEFT JOIN c ON c.ticker = j.ticker AND c.type = j.type), "
+    "w AS (SELECT *, sum(gone::INT) OVER p AS ng, sum(fresh::INT) OVER p AS nf, max(old_day) FILTER (WHERE gone) OVER p AS pd, max(old_status) FILTER (WHERE gone) OVER p AS ps FROM f WINDOW p AS (PARTITION BY ticker, type)), x AS (SELECT *, ng = 1 AND nf = 1 AND ticker IS NOT NULL AND type IS NOT NULL AS pair FROM w), "
+    "y AS (SELECT ticker, type, coalesce(new_ref, old_ref) AS ref, CASE WHEN pair AND fresh THEN 'moved' WHEN NOT o THEN 'new' WHEN gone THEN 'dropped' WHEN NOT n THEN 'kept' WHEN old_day IS DISTINCT FROM new_day THEN 'moved' WHEN old_status IS DISTINCT FROM new_status THEN 'status_changed' ELSE 'unchanged' END AS change, CASE WHEN pair AND fresh THEN pd ELSE old_day END AS old_day, new_day, CASE WHEN pair AND fresh THEN ps ELSE old_status END AS old_status, new_status FROM x WHERE NOT (pair AND gone)) SELECT * FROM y WHERE change <> 'kept'"
+)
+
 SQL = {
     "growth_quarterly": _SEG.format(unit="quarter") + f" SELECT segment, day, round(revenue, 2) AS revenue, round((revenue - lag(revenue, 4) {_WIN}) / abs(lag(revenue, 4) {_WIN}) * 100, 2) AS yoy, round(CASE WHEN row_number() {_WIN} >= 4 THEN sum(revenue) OVER (PARTITION BY segment ORDER BY day ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) END, 2) AS ttm, round(revenue / first_value(revenue) {_WIN} * 100, 2) AS rebased, round(lead(revenue) {_WIN}, 2) AS next FROM s",
     "segment_share": _SEG.format(unit="year") + " SELECT segment, day, round(revenue / sum(revenue) OVER (PARTITION BY day) * 100, 4) AS share, CAST(rank() OVER (PARTITION BY day ORDER BY revenue DESC) AS INTEGER) AS place FROM s",
@@ -346,13 +362,13 @@ SQL = {
     "filled_gaps": "WITH e AS (SELECT *, CASE WHEN event_type = 'purchase' THEN value END AS v FROM events) SELECT event_id, round(last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS last_purchase, round(first_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 4) AS next_purchase FROM e",
     "asof_signup": "WITH b AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), g AS (SELECT user_id, ts, max(value) AS signup_value FROM events WHERE event_type = 'signup' GROUP BY 1, 2) SELECT b.event_id, b.user_id, round(g.signup_value, 4) AS signup_value FROM b ASOF LEFT JOIN g ON b.user_id = g.user_id AND b.ts >= g.ts",
     "latest_state": "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id % 2 DESC, event_id DESC) = 1",
-    "merged_state": "WITH b AS (SELECT o_custkey, arg_max(o_totalprice, o_orderkey) AS p FROM orders WHERE o_totalprice > 400000 GROUP BY 1) SELECT c_custkey, c_name, round(coalesce(p, c_acctbal), 2) AS c_acctbal FROM customer LEFT JOIN b ON o_custkey = c_custkey WHERE c_name IS NOT NULL",
-    "idle_customers": "SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "merged_state": "WITH c AS (SELECT * FROM customer WHERE c_custkey % 3 > 0), b AS (SELECT o_custkey AS c_custkey, arg_max(o_totalprice, o_orderkey) AS p FROM orders WHERE o_totalprice > 300000 GROUP BY 1) SELECT c_custkey, c_name, round(coalesce(p, c_acctbal), 2) AS c_acctbal FROM c FULL JOIN b USING (c_custkey)",
+    "idle_customers": "SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')",
     "active_nations": "SELECT * FROM nation WHERE EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey)",
     "fiscal_sums": "WITH o AS (SELECT CAST(o_orderdate AS DATE) AS day, o_totalprice FROM orders), q AS (SELECT last_day(CAST(day + to_months(CAST((3 + (1 - month(day)) % 3) % 3 AS INTEGER)) AS DATE)) AS quarter_end, o_totalprice FROM o) SELECT 'FY' || CAST(year(quarter_end) + CASE WHEN month(quarter_end) > 1 THEN 1 ELSE 0 END AS VARCHAR) || 'Q' || CAST(CASE month(quarter_end) WHEN 4 THEN 1 WHEN 7 THEN 2 WHEN 10 THEN 3 ELSE 4 END AS VARCHAR) AS fiscal_quarter, quarter_end, count(*) AS n_orders, round(sum(o_totalprice), 2) AS revenue FROM q GROUP BY quarter_end",
     "weekly_complete": "WITH e AS (SELECT o_orderpriority AS symbol, CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1, 2) SELECT symbol, CAST(day - CAST(dayofweek(day) AS INTEGER) AS DATE) AS week, CAST(sum(n) AS BIGINT) AS n_orders FROM e GROUP BY 1, 2 HAVING count(*) = 7",
     "holdings_rollup": "WITH l AS (SELECT l_suppkey AS filing, l_orderkey * 10 + l_linenumber AS line_no, p_brand AS issuer, substr(replace(p_brand, '#', '0') || 'XX0', 1, 6) AS cusip6, CAST(round(l_extendedprice) AS BIGINT) AS value, CAST(l_quantity AS BIGINT) AS shares, l_returnflag = 'R' AS opt FROM lineitem JOIN part ON l_partkey = p_partkey), u AS (SELECT filing, CASE WHEN quantile_cont(value / shares, 0.5) FILTER (WHERE NOT opt AND shares > 0) < 5 THEN 1000 ELSE 1 END AS k FROM l GROUP BY 1), nm AS (SELECT filing, cusip6, issuer FROM (SELECT filing, cusip6, issuer, row_number() OVER (PARTITION BY filing, cusip6 ORDER BY count(*) DESC, min(line_no)) AS n FROM l GROUP BY 1, 2, 3) WHERE n = 1), g AS (SELECT filing, cusip6, CAST(sum(value * k) AS BIGINT) AS value_usd, CAST(coalesce(sum(shares) FILTER (WHERE NOT opt), 0) AS BIGINT) AS shares, CASE WHEN bool_or(opt) THEN 'Put' ELSE '' END AS derivative FROM l JOIN u USING (filing) GROUP BY 1, 2) SELECT filing, cusip6, issuer, value_usd, shares, derivative, round(100.0 * value_usd / sum(value_usd) OVER (PARTITION BY filing), 4) AS pct FROM g JOIN nm USING (filing, cusip6)",
-    "position_changes": "WITH a AS (SELECT l_suppkey, l_partkey, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS before FROM lineitem WHERE year(l_shipdate) = 1995 GROUP BY 1, 2), z AS (SELECT l_suppkey, l_partkey, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS after FROM lineitem WHERE year(l_shipdate) = 1996 GROUP BY 1, 2) SELECT l_suppkey, l_partkey, before, after, CASE WHEN before IS NULL THEN 'new' WHEN after IS NULL THEN 'exit' WHEN after > before THEN 'add' WHEN after < before THEN 'trim' ELSE 'hold' END AS change FROM a FULL JOIN z USING (l_suppkey, l_partkey)",
+    "position_changes": "WITH a AS (SELECT l_suppkey, l_partkey, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS before FROM lineitem WHERE year(l_shipdate) <= 1996 GROUP BY 1, 2), z AS (SELECT l_suppkey, l_partkey, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS after FROM lineitem WHERE year(l_shipdate) > 1996 GROUP BY 1, 2) SELECT l_suppkey, l_partkey, before, after, CASE WHEN before IS NULL THEN 'new' WHEN after IS NULL THEN 'exit' WHEN after > before THEN 'add' WHEN after < before THEN 'trim' ELSE 'hold' END AS change FROM a FULL JOIN z USING (l_suppkey, l_partkey)",
     "statement_ratios": "WITH g AS (SELECT l_suppkey AS supplier, sum(l_extendedprice) AS rev, sum(l_extendedprice * l_discount) AS ni, sum(l_extendedprice * l_tax) AS cogs, sum(l_quantity) AS sh FROM lineitem GROUP BY 1), f AS (SELECT g.*, abs(s_acctbal) * 1000 AS eq, rev * 2 AS ta FROM g JOIN supplier ON s_suppkey = supplier) SELECT supplier, round(ni / eq, 4) AS roe, round(ni / ta, 4) AS roa, round((rev - cogs) / rev, 4) AS gross_margin, round(ni / rev, 4) AS net_margin, round(rev / ta, 4) AS asset_turnover, round(ni / sh, 4) AS eps, round(30 / (ni / sh), 4) AS pe, round(30 / (eq / sh), 4) AS pb, round(30 * sh / rev, 4) AS ps, CAST(0 AS DOUBLE) AS current_ratio FROM f",
     "revenue_bridge": "WITH i AS (SELECT DISTINCT inc_id, coalesce(revenue, 0) AS r, coalesce(costOfRevenue, 0) AS c, coalesce(operatingExpenses, 0) AS e, coalesce(incomeBeforeTax, netIncome + coalesce(incomeTaxExpense, 0)) AS p, netIncome AS n FROM aapl_income_quarter) SELECT inc_id, step_no, step, CAST(amount AS BIGINT) AS amount FROM (SELECT inc_id, unnest([1, 2, 3, 4, 5, 6, 7, 8]) AS step_no, unnest(['revenue', 'cost of revenue', 'gross profit', 'operating expenses', 'operating income', 'other', 'income tax', 'net income']) AS step, unnest([r, -c, r - c, -e, r - c - e, p - (r - c - e), n - p, n]) AS amount FROM i)",
     "earnings_surprise": "SELECT DISTINCT earn_id, round((epsActual - epsEstimated) / nullif(abs(epsEstimated), 0) * 100, 4) AS eps_surprise, round((revenueActual - revenueEstimated) / CAST(nullif(abs(revenueEstimated), 0) AS DOUBLE) * 100, 4) AS revenue_surprise FROM aapl_earnings WHERE epsActual IS NOT NULL",
@@ -379,4 +395,12 @@ SQL = {
     "bm25_top": _BM + " SELECT query_id, doc_id, score, CAST(rank_no AS INTEGER) AS rank_no FROM rk",
     "fused": _BM + " SELECT doc_id, round(sum(1.0 / (60 + rank_no)), 6) AS rrf, round(max(score), 4) AS best_score, CAST(count(DISTINCT query_id) AS INTEGER) AS n_queries FROM rk GROUP BY 1",
     "chunk_offsets": "WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0), c AS (SELECT doc_id, text, n, unnest(range(0, n, 520)) AS s FROM d) SELECT doc_id, CAST(s // 520 AS INTEGER) AS chunk_no, CAST(s AS INTEGER) AS start, CAST(least(s + 600, n) AS INTEGER) AS \"end\" FROM c WHERE (s = 0 OR s - 520 + 600 < n) AND NOT regexp_full_match(text[s + 1 : least(s + 600, n)], '\\s*')",
+    "calendar_changes": _CALENDAR,
+    "interest_quarters": _INTEREST + ", m AS (SELECT q, interest, last_day(CAST(day + to_months(CAST((3 + (1 - month(day)) % 3) % 3 AS INTEGER)) AS DATE)) AS e FROM i) SELECT q, 'FY' || CAST(year(e) + CASE WHEN month(e) > 1 THEN 1 ELSE 0 END AS VARCHAR) || 'Q' || CAST(CASE month(e) WHEN 4 THEN 1 WHEN 7 THEN 2 WHEN 10 THEN 3 ELSE 4 END AS VARCHAR) AS fiscal_quarter, CAST(coalesce(sum(interest), 0) AS BIGINT) AS interest, count(*) AS n_confirmed FROM m GROUP BY q, e",
+    "interest_gaps": _INTEREST + ", g AS (SELECT q, date_diff('day', lag(day) OVER (PARTITION BY q ORDER BY day), day) * 86400 AS g FROM i), m AS (SELECT q, min(g) AS gap_seconds FROM g WHERE g > 0 GROUP BY 1) SELECT q, gap_seconds, CASE WHEN gap_seconds < 72000 THEN 'hourly' WHEN gap_seconds < 432000 THEN 'daily' WHEN gap_seconds < 1728000 THEN 'weekly' ELSE 'monthly' END AS granularity FROM m",
+    "health": _RATIOS + ", l AS (SELECT supplier, CASE WHEN gross_margin >= 0.97 THEN 4 WHEN gross_margin >= 0.96 THEN 3 WHEN gross_margin >= 0.95 THEN 2 ELSE 1 END + CASE WHEN net_margin >= 0.055 THEN 4 WHEN net_margin >= 0.05 THEN 3 WHEN net_margin >= 0.045 THEN 2 ELSE 1 END + CASE WHEN roa >= 0.026 THEN 4 WHEN roa >= 0.025 THEN 3 WHEN roa >= 0.024 THEN 2 ELSE 1 END + CASE WHEN pe <= 400 THEN 4 WHEN pe <= 450 THEN 3 WHEN pe <= 500 THEN 2 ELSE 1 END AS s FROM r) SELECT supplier, round(s / 4, 4) AS score, CASE WHEN s >= 14 THEN 'excellent' WHEN s >= 10 THEN 'good' WHEN s >= 6 THEN 'fair' ELSE 'poor' END AS band FROM l",
+    "segment_matrix": "WITH g AS (SELECT DISTINCT seg_id, symbol, fiscalYear AS year, data FROM aapl_segmentation), k AS (SELECT symbol, year, CASE WHEN json_valid(data) AND json_type(data) = 'OBJECT' THEN data END AS data FROM g), f AS (SELECT symbol, year, data, unnest(json_keys(data)) AS segment FROM k WHERE data IS NOT NULL), "
+    "v AS (SELECT symbol, year, segment, map_extract_value(from_json(data, '\"MAP(VARCHAR, JSON)\"'), segment) AS j FROM f), a AS (SELECT symbol, year, segment, coalesce(try_cast(replace(regexp_replace(CASE json_type(j) WHEN 'OBJECT' THEN coalesce(j->>'$.amount', j->>'$.value') WHEN 'VARCHAR' THEN j->>'$' ELSE CAST(j AS VARCHAR) END, '\\s', '', 'g'), ',', '') AS DECIMAL(30, 6)), 0) AS amount FROM v), "
+    "y AS (SELECT symbol, year FROM (SELECT DISTINCT symbol, year FROM k WHERE data IS NOT NULL AND year IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY year DESC) <= 3), s AS (SELECT symbol, year, segment, sum(amount) AS amount FROM a JOIN y USING (symbol, year) GROUP BY 1, 2, 3), l AS (SELECT symbol, segment FROM s GROUP BY 1, 2 HAVING sum(abs(amount)) > 0) SELECT symbol, year, segment, CAST(coalesce(amount, 0) AS DOUBLE) AS amount FROM l JOIN y USING (symbol) LEFT JOIN s USING (symbol, year, segment)",
+    "found_snippets": _BM + f", fu AS (SELECT doc_id, sum(1.0 / (60 + rank_no)) AS rrf FROM rk GROUP BY 1 ORDER BY rrf DESC, doc_id LIMIT 10), ts AS (SELECT list(DISTINCT term) AS ts FROM q), p AS (SELECT doc_id, rrf, text, list_min(list_filter(list_transform(ts, lambda t: instr(lower(text), t)), lambda i: i > 0)) AS pos FROM fu JOIN documents USING (doc_id), ts) SELECT doc_id, round(rrf, 6) AS rrf, trim(regexp_replace(substr(text, greatest(coalesce(pos, 1) - 80, 1), 240), '\\s+', ' ', 'g')) AS snippet FROM p",
 }

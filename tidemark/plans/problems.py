@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.norm import calendar_day, quarter_of, symbol_key
 from tidemark.operators import drift, nested, timestamps, units, validity
-from tidemark.session import cut
+from tidemark.session import cut, own_dir
 from tidemark.sources.tables import once, table
 
 #: Slashed dates are month first in these tables, so the day-first reading takes no part in the mixture.
@@ -127,6 +129,25 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("r.k").alias("parent_key"), F.col("r.q").alias("q"), branch.alias("branch"), F.get("ordinals", F.lit(0)).alias("outer_no"), F.coalesce(F.get("ordinals", F.lit(1)), F.lit(0)).alias("inner_no")).distinct()
 
 
+def p3_written(spark: SparkSession, folder: str) -> DataFrame:
+    """The flat tables written by tag and read back, each with its own schema: rows, and those whose parent is there."""
+    df, key = _responses(spark, folder)
+    at = f"{own_dir(spark)}/{uuid.uuid4().hex}"
+    nested.write_tables(df, at, key=key, root=RESPONSE)
+    flats = {f.tag: nested.read_table(spark, at, f) for f in nested.flat_tables(df.schema, RESPONSE)}
+    out = None
+    for tag, rows in flats.items():
+        above = tag.rsplit("/", 1)[0]
+        d = rows.select(F.lit(tag).alias("tag"), "parent_pk")
+        if above in flats:
+            d = d.join(flats[above].select(F.col("pk").alias("parent_pk"), F.lit(1).alias("there")), "parent_pk", "left")
+        else:
+            d = d.withColumn("there", F.lit(None).cast("int"))
+        d = d.groupBy("tag").agg(F.count("*").alias("n_rows"), F.count("there").alias("n_linked"))
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
 def p3_tables(spark: SparkSession, folder: str) -> DataFrame:
     """Rows and distinct parents of each flat table, copies of a response counted once."""
     df, key = _responses(spark, folder)
@@ -166,8 +187,23 @@ def p4_table(spark: SparkSession, folder: str) -> DataFrame:
     return long.select("symbol", "file_name", F.col("fiscalYear").alias("fiscal_year"), F.col("canonical").alias("segment"), drift.amount_text(F.col("value")).alias("amount"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_units": p2_units, "p3_found": p3_found, "p3_tables": p3_tables, "p4_found": p4_found, "p4_table": p4_table, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found}
-
+QUERIES = {"p2_found": p2_found, "p2_units": p2_units, "p3_found": p3_found, "p3_tables": p3_tables, "p3_written": p3_written, "p4_found": p4_found, "p4_table": p4_table, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found}
+
+_FLAT = """
+WITH r AS (SELECT DISTINCT coalesce(CASE WHEN trim(raw_response.search_metadata.id) <> '' THEN raw_response.search_metadata.id END, CAST(env_id AS VARCHAR)) AS k,
+       raw_response.interest_over_time.timeline_data AS tl, raw_response.related_queries.top AS tp, raw_response.related_queries.rising AS rs FROM vsco_3m_daily),
+t1 AS (SELECT k, tl, unnest(generate_series(1, len(tl))) AS i FROM r WHERE len(tl) > 0),
+t2 AS (SELECT DISTINCT k, i FROM t1 WHERE tl[i] IS NOT NULL),
+t3 AS (SELECT k, i, tl[i].values AS vs, unnest(generate_series(1, len(tl[i].values))) AS j FROM t1 WHERE len(tl[i].values) > 0),
+t4 AS (SELECT DISTINCT k, i, j FROM t3 WHERE vs[j] IS NOT NULL),
+a AS (SELECT k, tp, unnest(generate_series(1, len(tp))) AS i FROM r WHERE len(tp) > 0), a2 AS (SELECT DISTINCT k, i FROM a WHERE tp[i] IS NOT NULL),
+b AS (SELECT k, rs, unnest(generate_series(1, len(rs))) AS i FROM r WHERE len(rs) > 0), b2 AS (SELECT DISTINCT k, i FROM b WHERE rs[i] IS NOT NULL),
+n AS (SELECT 'response' AS tag, count(DISTINCT k) AS n_rows, 0 AS n_parents FROM r
+UNION ALL SELECT 'response/raw_response.interest_over_time.timeline_data', count(*), count(DISTINCT k) FROM t2
+UNION ALL SELECT 'response/raw_response.interest_over_time.timeline_data/values', count(*), count(DISTINCT (k, i)) FROM t4
+UNION ALL SELECT 'response/raw_response.related_queries.top', count(*), count(DISTINCT k) FROM a2
+UNION ALL SELECT 'response/raw_response.related_queries.rising', count(*), count(DISTINCT k) FROM b2)
+"""
 SQL = {
     "p3_found": """
 WITH r AS (SELECT DISTINCT coalesce(CASE WHEN trim(raw_response.search_metadata.id) <> '' THEN raw_response.search_metadata.id END, CAST(env_id AS VARCHAR)) AS parent_key,
@@ -182,4 +218,6 @@ SELECT parent_key, q, 'timeline' AS branch, CAST(i - 1 AS INTEGER) AS outer_no,
 UNION ALL SELECT parent_key, q, 'top', CAST(i - 1 AS INTEGER), 0 FROM p1 WHERE tp[i] IS NOT NULL
 UNION ALL SELECT parent_key, q, 'rising', CAST(i - 1 AS INTEGER), 0 FROM p2 WHERE rs[i] IS NOT NULL)
 """,
+    "p3_tables": _FLAT + "SELECT tag, n_rows, CAST(n_parents AS BIGINT) AS n_parents FROM n WHERE n_rows > 0",
+    "p3_written": _FLAT + "SELECT tag, n_rows, CASE WHEN tag = 'response' THEN 0 ELSE n_rows END AS n_linked FROM n WHERE n_rows > 0",
 }
