@@ -122,6 +122,17 @@ def test_pieces(limit, overlap):
         check_pieces(odd[i], all_ids[i], cuts, limit, overlap)
 
 
+def test_word_boundaries_by_pattern():
+    """The places found by arrays are those that a pattern finds."""
+    import regex
+
+    for text in [t for t in ODD if t and len(t) < 10_000] + ["a\u3000b\u200bc\u2028d\x1ce", "x", " ", "é \ud800 y"]:
+        n = len(text) + 1
+        rank = splitting.boundary_ranks(text, np.arange(n), np.ones(n, bool))
+        want = {m.start() for m in regex.finditer(r"(?<=\S)(?=\s)|(?<=\s)(?=\S)", text)}
+        assert want <= set(np.flatnonzero(rank > 0).tolist()) and set(np.flatnonzero(rank == splitting.WORD).tolist()) <= want
+
+
 def test_cuts_are_the_greedy_walk():
     """Doubling reaches what a loop from the start reaches; cuts fall on sentences where there are any."""
     text = "One sentence of some words here. " * 200

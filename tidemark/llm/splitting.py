@@ -20,7 +20,8 @@ from tidemark.llm.tokens import BYTE_RANKS, char_offsets, encode, small_batches
 #: Ranks of boundaries, the places where the next piece would begin: paragraphs, sentences and lines, words.
 PARAGRAPH, SENTENCE, WORD = 3, 2, 1
 _PLACES = [(PARAGRAPH, regex.compile(r"(?:\r\n|\r|\n)[^\S\r\n]*(?:\r\n|\r|\n)\s*+")), (SENTENCE, regex.compile(r"(?:[.!?…]+[\"'»”’)\]]*+(?=\s)|[。！？]+[」』”]*+|\r\n|\r|\n)"))]
-_WORD = regex.compile(r"(?<=\S)(?=\s)|(?<=\s)(?=\S)")
+#: Whether each of the first characters of Unicode is white space; there's none behind them.
+_BLANK = np.array([bool(regex.match(r"\s", chr(c))) for c in range(0x3001)] + [False])
 
 
 def boundary_ranks(text: str, starts: np.ndarray, clean: np.ndarray) -> np.ndarray:
@@ -30,7 +31,9 @@ def boundary_ranks(text: str, starts: np.ndarray, clean: np.ndarray) -> np.ndarr
     count. White space between two sentences may go with either; a boundary is taken on each side of it.
     """
     rank = np.zeros(len(text) + 1, dtype=np.int8)
-    rank[[m.start() for m in _WORD.finditer(text)]] = WORD
+    blank = _BLANK[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), len(_BLANK) - 1)]
+    # A word begins or ends where white space meets another character.
+    rank[1:-1][blank[1:] != blank[:-1]] = WORD
     for value, pattern in reversed(_PLACES):
         for m in pattern.finditer(text):
             rank[m.end()] = max(rank[m.end()], value)
