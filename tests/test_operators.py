@@ -71,7 +71,7 @@ def test_clean_bars(spark):
 def test_series_nulls(spark):
     d = spark.createDataFrame([("A", i, v) for i, v in enumerate([None, 0.0, 10.0, None, 20.0])], "symbol string, day int, v double")
     w = series.ordered()
-    t = d.select("day", series.rebase(F.col("v"), w).alias("r"), series.lagged_growth(F.col("v"), w).alias("g"), series.fill(F.col("v"), w).alias("f"), series.fill(F.col("v"), w, False).alias("b"), series.trailing_sum(F.col("v"), w, 2).alias("s"))
+    t = d.select("day", series.rebase(F.col("v"), w).alias("r"), series.lagged_growth(F.col("v"), w).alias("g"), series.fill(F.col("v"), ["symbol"], ["day"]).alias("f"), series.fill(F.col("v"), ["symbol"], ["day"], False).alias("b"), series.trailing_sum(F.col("v"), w, 2).alias("s"))
     assert rows(t, "day") == [(0, None, None, None, 0.0, None), (1, 0.0, None, 0.0, 0.0, None), (2, 100.0, None, 10.0, 10.0, 10.0), (3, None, None, 10.0, 20.0, None), (4, 200.0, None, 20.0, 20.0, None)]
     assert [r.day for r in series.trim_leading(d, ["v"], w).orderBy("day").collect()] == [1, 2, 3, 4]
 
@@ -128,6 +128,11 @@ def test_merges(spark):
     assert rows(once.select("day", "v"), "day") == [("2024-01-01", 1), ("2024-01-02", 5), ("2024-01-03", 6)]
     assert rows(upsert.sync(once, src, ["s", "day"], "day"), "day") == rows(once, "day")
     assert upsert.sync(p.limit(0), src, ["s", "day"], "day").count() == 3
+    # An entity that lags loses none of the days since its own last one; a new entity comes whole.
+    lag = spark.createDataFrame([("k", "2024-01-09", 1), ("slow", "2024-01-01", 1)], p.schema)
+    more = spark.createDataFrame([("slow", "2024-01-01", 2), ("slow", "2024-01-02", 3), ("k", "2024-01-08", 9), ("new", "2023-01-01", 4)], p.schema)
+    assert sorted(rows(upsert.sync(lag, more, ["s", "day"], "day"))) == [("k", "2024-01-09", 1), ("new", "2023-01-01", 4), ("slow", "2024-01-01", 2), ("slow", "2024-01-02", 3)]
+    assert sorted(rows(upsert.sync(lag, more, ["s", "day"], "day", entity=[]).where("s = 'slow'"))) == [("slow", "2024-01-01", 1)]
     assert rows(upsert.metadata(src, "day", ["s"])) == [("k", 3, "2024-01-01", "2024-01-03")]
 
 

@@ -68,9 +68,56 @@ def load(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame
         return r.format(suffix).load(path)
     if suffix == "txt":
         return spark.read.text(path)
+    if suffix == "xml":
+        raise ValueError("XML needs a row tag: use holdings_xml or spark.read.format('xml')")
+    if suffix in ("xlsx", "xls"):
+        return _sheet(spark, path)
     raise ValueError(f"no reader for .{suffix}")
 
 
+def _sheet(spark: SparkSession, path: str) -> DataFrame:
+    """The first sheet of a workbook, whose rows a workbook's own limit bounds; needs a library that reads workbooks."""
+    import pandas as pd
+
+    try:
+        return spark.createDataFrame(pd.read_excel(path))
+    except ImportError as e:
+        raise ValueError(f"no reader for {path}: workbooks need openpyxl") from e
+
+
+def entities(spark: SparkSession, path: str) -> DataFrame:
+    """(ticker): those with a document among the files, sorted; the names come from the files' paths."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path).select("path")
+    return files.select(F.upper(F.regexp_extract("path", r"([^/]+)\.json$", 1)).alias("ticker")).distinct().orderBy("ticker")
+
+
+def dated_changes(spark: SparkSession, path: str, day: str, schema: str) -> DataFrame:
+    """The change log of a day (path/day.json), without rows if nothing was written on it."""
+    at = f"{path}/{day}.json"
+    if not _exists(spark, at):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(at, multiLine=True)
+
+
+def arrow_files(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    """Rows of Arrow files (stream or file form), one task a file; the paths must be readable on every executor."""
+    import pyarrow as pa
+
+    def read(batches):
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                with pa.memory_map(path) as f:
+                    try:
+                        t = pa.ipc.open_file(f).read_all()
+                    except pa.ArrowInvalid:
+                        f.seek(0)
+                        t = pa.ipc.open_stream(f).read_all()
+                yield from t.to_batches()
+
+    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)), "path")
+    return files.mapInArrow(read, schema)
+
+
 def event_documents(spark: SparkSession, path: str) -> DataFrame:
     """Events of JSON documents {ticker, events: [...]}, one row each; documents without events give none."""
     docs = spark.read.schema(f"ticker string, events array<struct<{', '.join(f'{x.split()[0]}:string' for x in EVENT.split(', '))}>>").json(path, multiLine=True)
