@@ -92,3 +92,9 @@ def levels(t: DataFrame, risk_pct: float = 1.0, capital: float | None = None) ->
     shares = F.floor(F.lit(capital * risk_pct / 100) / F.nullif(F.col("distance"), F.lit(0.0))) if capital else F.lit(None).cast("bigint")
     trail = F.when(F.col("supertrend_dir") == s, F.col("supertrend"))
     return d.select("symbol", F.col("x.side").alias("side"), c.alias("entry"), "stop", "distance", (c + s * 2 * F.col("distance")).alias("target2"), (c + s * 3 * F.col("distance")).alias("target3"), trail.alias("trail"), shares.alias("shares"))
+
+
+def snapshot(t: DataFrame, columns: list[str], n: int = 10) -> DataFrame:
+    """The last n bars of each symbol with these columns and bars_ago."""
+    back = Window.partitionBy("symbol").orderBy(F.col("day").desc())
+    return t.withColumn("bars_ago", F.row_number().over(back) - 1).where(F.col("bars_ago") < n).select("symbol", "day", "bars_ago", *columns)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut
+
 
 def asof_backward(left: DataFrame, right: DataFrame, *, by: Sequence[str], time: str, values: Sequence[str], strict: bool = False) -> DataFrame:
     """left with values of the last right row of the same key at or before its time (before it, if strict).
@@ -92,24 +94,24 @@ def with_fallback(df: DataFrame, dimension: DataFrame, *, key: str, values: Sequ
     return joined.withColumn("__v", F.coalesce("__v", "__d")).select(*df.columns, *[F.col(f"__v.{v}").alias(v) for v in values])
 
 
-def closure(edges: DataFrame, roots: DataFrame, *, parent: str, child: str, root: str, most: int = 50) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame, *, parent: str, child: str, root: str, most: int = 50, acyclic: bool = False) -> DataFrame:
     """(root, node, depth): every node reached from each root, at its least depth.
 
-    Breadth-first, one join a level; a node already reached isn't followed again, so cycles end. The frontier is cut
-    from its lineage at every level. More than most levels raise an error.
+    Breadth-first, one join a level; a node already reached isn't followed again, so cycles end. With acyclic nodes are
+    followed as often as they're reached and depth is the greatest one, so that ordering by it, deepest first, puts
+    whatever a node depends on before it; a cycle then never ends and is an error. More than most levels raise an error.
+    Each level's frontier is written once; what was reached before is the union of the frontiers.
     """
-    from tidemark.session import cut
-
     e = edges.select(F.col(parent).alias("p"), F.col(child).alias("c")).where("p is not null and c is not null").distinct()
-    seen = cut(roots.select(F.col(root).alias("root"), F.col(root).alias("node"), F.lit(0).alias("depth")).where("root is not null").distinct())
-    front = seen
+    front = cut(roots.select(F.col(root).alias("root"), F.col(root).alias("node"), F.lit(0).alias("depth")).where("root is not null").distinct())
+    seen = front
     for depth in range(1, most + 1):
         step = front.join(e, front["node"] == e["p"]).select("root", F.col("c").alias("node"), F.lit(depth).alias("depth")).distinct()
-        front = cut(step.join(seen.select("root", "node"), ["root", "node"], "left_anti"))
+        front = cut(step if acyclic else step.join(seen.select("root", "node"), ["root", "node"], "left_anti"))
         if front.isEmpty():
-            return seen
-        seen = cut(seen.unionByName(front))
-    raise ValueError(f"deeper than {most} levels")
+            return seen.groupBy("root", "node").agg(F.max("depth").alias("depth")) if acyclic else seen
+        seen = seen.unionByName(front)
+    raise ValueError(f"a cycle, or deeper than {most} levels" if acyclic else f"deeper than {most} levels")
 
 
 def nearest_bucket(c: Column, unit_months: int = 3) -> Column:

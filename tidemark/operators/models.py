@@ -202,3 +202,16 @@ def merger(deals: DataFrame) -> DataFrame:
     d = d.withColumn("__drag", drag).withColumns({"proforma_eps": F.try_divide(income, F.nullif("proforma_shares", F.lit(0.0))), "__eps": eps})
     need = (c("__eps") * c("proforma_shares") - c("a_income") - c("t_income") + c("__drag")) / F.nullif(1 - c("tax"), F.lit(0.0))
     return d.withColumns({"accretion": F.try_divide(c("proforma_eps") - c("__eps"), F.nullif("__eps", F.lit(0.0))), "breakeven_synergies": need}).drop("__drag", "__eps")
+
+
+def value_text(name: Column) -> Column:
+    """A sentence on a valued case, for its columns ev, equity, per_share and terminal_pct; undefined cases say so."""
+    text = F.format_string("%s: enterprise value %.1f, equity %.1f, %.2f a share; %.1f%% of it lies behind the last year.", name.cast("string"), F.col("ev"), F.col("equity"), F.col("per_share"), F.col("terminal_pct"))
+    return F.when(F.col("ev").isNotNull() & F.col("per_share").isNotNull(), text).otherwise(F.concat(name.cast("string"), F.lit(": no value under these assumptions.")))
+
+
+def deal_text(name: Column) -> Column:
+    """A sentence on a merger, for its columns accretion and breakeven_synergies."""
+    word = F.when(F.col("accretion") > 0, "accretive").when(F.col("accretion") < 0, "dilutive").otherwise("neutral")
+    text = F.format_string("%s: %.1f%% %s; breaks even at synergies of %.1f.", name.cast("string"), F.abs(F.col("accretion")) * 100, word, F.col("breakeven_synergies"))
+    return F.when(F.col("accretion").isNotNull() & F.col("breakeven_synergies").isNotNull(), text).otherwise(F.concat(name.cast("string"), F.lit(": not defined.")))

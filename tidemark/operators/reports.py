@@ -149,3 +149,30 @@ def with_enough_bars(bars: DataFrame, *, symbol: str = "symbol", least: int = 60
     n = bars.groupBy(symbol).agg(F.count("*").alias("n_bars"))
     notes = n.where(F.col("n_bars") < wanted).withColumn("note", F.when(F.col("n_bars") < least, "too few").otherwise("short history"))
     return bars.join(n.where(F.col("n_bars") >= least).select(symbol), symbol, "left_semi"), notes
+
+
+def margins(df: DataFrame, *, entity: str, period: str, revenue: str, parts: Mapping[str, str], last: int = 8) -> DataFrame:
+    """(entity, period, revenue, parts, <part>_margin, divisor): the last periods of each entity, amounts by one divisor an
+    entity, margins in percent of revenue (null where that is zero)."""
+    d = tail(df, last, by=entity, order=period)
+    d = d.withColumn("divisor", scale_of(F.max(F.abs(F.col(revenue))).over(Window.partitionBy(entity))))
+    shares = [(F.try_divide(F.col(c), F.nullif(F.col(revenue), F.lit(0.0))) * 100).alias(f"{n}_margin") for n, c in parts.items()]
+    return d.select(entity, period, (F.col(revenue) / F.col("divisor")).alias("revenue"), *[(F.col(c) / F.col("divisor")).alias(n) for n, c in parts.items()], *shares, "divisor")
+
+
+def flagged_prices(prices: DataFrame, flags: DataFrame, *, entity: str, day: str, title: str) -> DataFrame:
+    """prices with at (milliseconds since 1970) and flags, the titles of the day's flags in order, '' where there are none.
+    Flags on days without a price are left out."""
+    f = flags.groupBy(entity, day).agg(F.array_join(F.array_sort(F.collect_set(title)), "; ").alias("flags"))
+    d = prices.join(f, [entity, day], "left")
+    return d.withColumns({"at": F.unix_date(F.col(day)).cast("bigint") * 86_400_000, "flags": F.coalesce("flags", F.lit(""))})
+
+
+def report_document(title: str, parts: Mapping[str, DataFrame], most: int = 25) -> str:
+    """A report as JSON: each part with its columns, its first rows (by the part's own order) and how many it has in all."""
+    import json
+
+    out = {}
+    for name, d in parts.items():
+        out[name] = {"columns": d.columns, "rows": [json.loads(r) for r in d.limit(most).toJSON().collect()], "total": d.count()}
+    return json.dumps({"title": title, "parts": out}, ensure_ascii=False)

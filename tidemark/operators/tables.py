@@ -136,3 +136,21 @@ def credited(claims: DataFrame, used: DataFrame, rules: DataFrame, *, task: str,
     named = claims.select(task, source).distinct().join(F.broadcast(rules.select("pattern", F.col("tool").alias("__tool"))), F.expr(f"`{source}` rlike concat('(?i)', pattern)"), "left")
     hits = named.join(used.select(task, F.col(tool).alias("__tool")).distinct().withColumn("__hit", F.lit(True)), [task, "__tool"], "left")
     return hits.groupBy(task, source).agg(F.coalesce(F.bool_or("__hit"), F.lit(False)).alias("credited"))
+
+
+def shaped(df: DataFrame, columns: Sequence[str], defaults: Mapping[str, object] = {}) -> DataFrame:
+    """df with exactly these columns: missing ones are null, blank and null cells of a column with a default take it."""
+    def cell(c: str) -> Column:
+        v = F.col(c) if c in df.columns else F.lit(None).cast("string")
+        return F.coalesce(F.when(F.trim(v.cast("string")) != "", v), F.lit(defaults[c])) if c in defaults else v
+
+    return df.select(*[cell(c).alias(c) for c in columns])
+
+
+def settled(stored: DataFrame, defaults: Mapping[str, str], allowed: Mapping[str, Sequence[str]] = {}) -> DataFrame:
+    """(key, value): settings as stored over the defaults; a value that isn't allowed for its key gives way to the default."""
+    d = stored.sparkSession.createDataFrame(list(defaults.items()), "key string, __default string")
+    ok = F.lit(True)
+    for k, values in allowed.items():
+        ok = ok & ((F.col("key") != k) | F.col("value").isin(*values))
+    return d.join(stored.select("key", "value"), "key", "full").select("key", F.coalesce(F.when(F.coalesce(ok, F.lit(False)), F.col("value")), F.col("__default")).alias("value"))

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut
+
 # Elements whose content is not shown, that begin a new line, and that have no content.
 HIDDEN = ["head", "ix:header", "ix:hidden", "ix:references", "ix:resources", "script", "style", "title"]
 LINE = ["article", "blockquote", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ol", "p", "section", "table", "td", "th", "tr", "ul"]
@@ -130,17 +132,28 @@ def term_counts(docs: DataFrame, *, id: str, text: str) -> DataFrame:
     return d.select(id, "length", F.explode("__w").alias("term")).groupBy(id, "term", "length").agg(F.count("*").alias("tf"))
 
 
+#: Queries may use so many different words for their list to travel with the documents; more are joined.
+MOST_TERMS = 10_000
+
+
 def bm25(docs: DataFrame, queries: DataFrame, *, id: str, text: str, query_id: str, query: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, id, score) of every document that shares a word with a query; a query's repeated words count each time.
 
-    Only terms of some query are kept before counts are joined, so the shuffle carries those alone; statistics are of
-    all documents.
+    The corpus is read once: of each document the length and those words that some query uses are written, and both
+    the statistics (of all documents) and the postings come from that narrow table. The words of the queries travel
+    as one row while they are few; beyond MOST_TERMS all words of the documents are joined with them instead.
     """
-    counted = docs.select(F.col(id), words(F.col(text)).alias("__w")).withColumn("length", F.size("__w"))
-    stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"))
     q = queries.select(F.col(query_id), F.explode(words(F.col(query))).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("qf"))
     wanted = q.select("term").distinct()
-    tf = counted.select(id, "length", F.explode("__w").alias("term")).join(wanted, "term", "left_semi").groupBy("term", id, "length").agg(F.count("*").alias("tf"))
+    few = wanted.limit(MOST_TERMS + 1).count() <= MOST_TERMS
+    counted = docs.select(F.col(id), words(F.col(text)).alias("__w")).withColumn("length", F.size("__w"))
+    if few:
+        one = wanted.agg(F.collect_set("term").alias("__q"))
+        counted = counted.join(F.broadcast(one)).select(id, "length", F.filter("__w", lambda w: F.array_contains("__q", w)).alias("__w"))
+    narrow = cut(counted)
+    stats = narrow.agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"))
+    postings = narrow.select(id, "length", F.explode("__w").alias("term"))
+    tf = (postings if few else postings.join(wanted, "term", "left_semi")).groupBy("term", id, "length").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     n, avgdl = F.col("n"), F.col("avgdl")
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))

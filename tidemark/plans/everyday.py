@@ -280,10 +280,28 @@ def kendall(s: Session, d: str) -> DataFrame:
     return inference.kendall(p, "p_size", "band", ["p_brand"]).select("p_brand", *_r("tau"))
 
 
+def shaped_entries(s: Session, d: str) -> DataFrame:
+    """Calendar entries with the columns of the store and a default status."""
+    e = once(table(s, d, "universe_events", "event_id", "type", "status"), "event_id")
+    return tables.shaped(e, ["event_id", "type", "status", "extra"], {"status": "estimated"})
+
+
+def settled_values(s: Session, d: str) -> DataFrame:
+    n = table(s, d, "nation", F.concat(F.lit("k"), F.col("n_nationkey") % 30).alias("key"), F.concat(F.lit("v"), F.col("n_regionkey")).alias("value"))
+    return tables.settled(n, {"k3": "v0", "k4": "v9", "k99": "local"}, {"k3": ["v0", "v3"], "k4": ["v0"]})
+
+
+def dependency_order(s: Session, d: str) -> DataFrame:
+    """A tree of numbers, each depending on its half and its third: depth is the longest way."""
+    p = table(s, d, "supplier", F.col("s_suppkey").alias("c")).where("c > 0")
+    e = p.select(F.floor(F.col("c") / 2).alias("p"), "c").unionByName(p.select(F.floor(F.col("c") / 3).alias("p"), "c")).where("p <> c")
+    return joins.closure(e, s.createDataFrame([(0,)], "r bigint"), parent="p", child="c", root="r", acyclic=True)
+
+
 QUERIES = {f.__name__: f for f in (
     filled_means, selected_columns, newest_rows, stacked, paired_rows, quarantined, checked_rows, number_cells, flags, table_sets, grouping_levels, rolled_up, near_distinct, positions, spikes, active_rows, settings, page_tree, layer_scores,
     source_credit, tool_counts, consensus, estimate_bars, revenue_on_prices, revenue_reactions, chart_axes, coming_up, looked_back, report_changes, kept_on_failure, keyword_fit, peers, company_ratio, monthly_quarters, apportioned, short_histories,
-    stored_datasets, statement_calendar, welch_test, anova, chi_square, flag_correlation, kendall,
+    stored_datasets, statement_calendar, welch_test, anova, chi_square, flag_correlation, kendall, shaped_entries, settled_values, dependency_order,
 )}
 
 _O = "o AS (SELECT *, CAST(o_orderdate AS DATE) AS day FROM orders)"
@@ -338,4 +356,7 @@ SQL = {
     "chi_square": "WITH c AS (SELECT o_orderpriority AS a, o_orderstatus AS b, count(*) AS n FROM orders GROUP BY 1, 2), ra AS (SELECT a, sum(n) AS x FROM c GROUP BY 1), rb AS (SELECT b, sum(n) AS y FROM c GROUP BY 1), t AS (SELECT sum(n) AS t FROM c), f AS (SELECT coalesce(n, 0) AS n, x * y / t AS e, t FROM ra CROSS JOIN rb CROSS JOIN t LEFT JOIN c USING (a, b)) SELECT CAST(any_value(t) AS BIGINT) AS n_rows, (SELECT (count(*) - 1) FROM ra) * (SELECT count(*) - 1 FROM rb) AS freedom, round(sum((n - e) * (n - e) / e), 4) AS chi2 FROM f",
     "flag_correlation": "SELECT l_suppkey, round(corr(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END, l_quantity), 4) AS r FROM lineitem GROUP BY 1",
     "kendall": "WITH p AS (SELECT p_partkey AS k, p_brand, p_size AS x, CAST(floor(p_retailprice % 10) AS INTEGER) AS y FROM part), c AS (SELECT a.p_brand, sum(sign(a.x - b.x) * sign(a.y - b.y)) AS s, sum(CASE WHEN a.x <> b.x THEN 1 ELSE 0 END) AS nx, sum(CASE WHEN a.y <> b.y THEN 1 ELSE 0 END) AS ny FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.k < b.k GROUP BY 1) SELECT p_brand, round(s / nullif(sqrt(CAST(nx AS DOUBLE) * ny), 0), 4) AS tau FROM c",
+    "shaped_entries": "SELECT DISTINCT event_id, type, CASE WHEN trim(status) <> '' THEN status ELSE 'estimated' END AS status, NULL::VARCHAR AS extra FROM universe_events",
+    "settled_values": "WITH n AS (SELECT 'k' || n_nationkey % 30 AS key, 'v' || n_regionkey AS value FROM nation), d(key, dv) AS (VALUES ('k3', 'v0'), ('k4', 'v9'), ('k99', 'local')) SELECT key, CASE WHEN value IS NULL OR key = 'k3' AND value NOT IN ('v0', 'v3') OR key = 'k4' AND value <> 'v0' THEN dv ELSE value END AS value FROM n FULL JOIN d USING (key)",
+    "dependency_order": "WITH RECURSIVE e AS (SELECT DISTINCT * FROM (SELECT s_suppkey // 2 AS p, s_suppkey AS c FROM supplier WHERE s_suppkey > 0 UNION ALL SELECT s_suppkey // 3, s_suppkey FROM supplier WHERE s_suppkey > 0)), x AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS depth UNION SELECT c, depth + 1 FROM x JOIN e ON p = node) SELECT CAST(0 AS BIGINT) AS root, node, CAST(max(depth) AS INTEGER) AS depth FROM x GROUP BY node",
 }

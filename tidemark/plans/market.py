@@ -85,9 +85,13 @@ def levels(spark: SparkSession, folder: str) -> DataFrame:
     return t.select("symbol", "side", *[F.round(c, 2).alias(c) for c in ("entry", "stop", "distance", "target2", "target3", "trail")], "shares")
 
 
+def snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    return decisions.snapshot(full_table(spark, folder).select("symbol", "day", *[F.round(c, 2).alias(c) for c in ("close", "atr14", "rsi14", "supertrend")]), ["close", "atr14", "rsi14", "supertrend"])
+
+
 QUERIES = {
     "bars_daily": daily, "bars_weekly": lambda s, d: daily(s, d, "week"), "bars_monthly": lambda s, d: series.resample(daily(s, d), "month"), "sma_bollinger": sma_bollinger, "donchian": donchian, "range_volume": range_volume,
-    "fractal_pivots": pivots, "year_range": year_range, "ema_atr_rsi": averages, "indicator_table": indicator_table, "regime": regime, "votes": votes, "signals": signals, "levels": levels,
+    "fractal_pivots": pivots, "year_range": year_range, "ema_atr_rsi": averages, "indicator_table": indicator_table, "regime": regime, "votes": votes, "signals": signals, "levels": levels, "snapshots": snapshots,
 }
 
 BARS = "SELECT o_orderpriority AS symbol, CAST(date_trunc('{unit}', o_orderdate) AS DATE) AS day, arg_min(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high, min(o_totalprice) AS low, arg_max(o_totalprice, o_orderkey) AS close, CAST(count(*) AS DOUBLE) AS volume FROM orders GROUP BY 1, 2"
@@ -148,4 +152,5 @@ SQL = {
     "votes": FULL + ", v AS (SELECT *, lag(macd_hist) OVER w AS h1, lag(macd_hist, 2) OVER w AS h2, avg(volume) FILTER (WHERE close - pc >= 0) OVER w20 AS mu, avg(volume) FILTER (WHERE close - pc < 0) OVER w20 AS md FROM t WINDOW w AS (PARTITION BY symbol ORDER BY day), w20 AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)), s AS (SELECT symbol, day, CASE WHEN close > sma_long THEN 1 WHEN close < sma_long THEN -1 ELSE 0 END AS v_ma, CASE WHEN macd_hist > h1 AND h1 > h2 THEN 1 WHEN macd_hist < h1 AND h1 < h2 THEN -1 ELSE 0 END AS v_macd, CASE WHEN rsi14 > 50 THEN 1 WHEN rsi14 < 50 THEN -1 ELSE 0 END AS v_rsi, CASE WHEN mu > md * 1.1 THEN 1 WHEN md > mu * 1.1 THEN -1 ELSE 0 END AS v_volume FROM v WHERE ago = 0) SELECT *, v_ma + v_macd + v_rsi + v_volume AS score FROM s",
     "signals": FULL + ", f AS (" + " UNION ALL ".join(f"SELECT symbol, ago, '{n}' AS signal, coalesce({r}, false) AS hit, {d} AS direction FROM t WINDOW w AS (PARTITION BY symbol ORDER BY day)" for n, r, d in _RULES) + ") SELECT symbol, signal, arg_min(direction, ago) AS direction, CAST(min(ago) FILTER (WHERE hit) AS INTEGER) AS bars_ago FROM f WHERE ago < 10 GROUP BY 1, 2 HAVING bool_or(hit) UNION ALL SELECT symbol, CASE WHEN rsi14 >= 70 THEN 'overbought' ELSE 'oversold' END, 'context', 0 FROM t WHERE ago = 0 AND (rsi14 >= 70 OR rsi14 <= 30)",
     "levels": FULL + ", p AS (SELECT *, coalesce(low <= lag(low) OVER w AND low <= lag(low, 2) OVER w AND low <= lead(low) OVER w AND low <= lead(low, 2) OVER w, false) AS pl, coalesce(high >= lag(high) OVER w AND high >= lag(high, 2) OVER w AND high >= lead(high) OVER w AND high >= lead(high, 2) OVER w, false) AS ph FROM t WINDOW w AS (PARTITION BY symbol ORDER BY day)), s AS (SELECT symbol, arg_max(low, day) FILTER (WHERE pl) AS sl, arg_max(high, day) FILTER (WHERE ph) AS sh FROM p GROUP BY 1), d AS (SELECT t.*, side, k, CASE WHEN k = 1 THEN sl ELSE sh END AS sw FROM t JOIN s USING (symbol), (VALUES ('long', 1), ('short', -1)) AS z(side, k) WHERE ago = 0 AND atr14 IS NOT NULL), e AS (SELECT *, CASE WHEN abs(close - sw) <= 3.5 * atr14 THEN sw ELSE close - k * 2.5 * atr14 END AS stop FROM d) SELECT symbol, side, round(close, 2) AS entry, round(stop, 2) AS stop, round(abs(close - stop), 2) AS distance, round(close + k * 2 * abs(close - stop), 2) AS target2, round(close + k * 3 * abs(close - stop), 2) AS target3, round(CASE WHEN supertrend_dir = k THEN supertrend END, 2) AS trail, CAST(floor(1000.0 / nullif(abs(close - stop), 0)) AS BIGINT) AS shares FROM e",
+    "snapshots": FULL + " SELECT symbol, day, CAST(ago AS INTEGER) AS bars_ago, round(close, 2) AS close, round(atr14, 2) AS atr14, round(rsi14, 2) AS rsi14, round(supertrend, 2) AS supertrend FROM t WHERE ago < 10",
 }

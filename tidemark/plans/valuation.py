@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import numeric, strings
-from tidemark.operators import fundamentals, models
+from tidemark.operators import fundamentals, models, reports
 from tidemark.sources.tables import table
 
 
@@ -166,7 +166,47 @@ def texts(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+def value_texts(s: SparkSession, d: str) -> DataFrame:
+    """The sentence of every supplier's value; those with an even number have no value."""
+    cases = models.with_defaults(_suppliers(s, d)).withColumn("wacc", F.when(F.col("supplier") % 2 == 0, 0.02).otherwise(0.08))
+    v = models.enterprise_value(cases, ["supplier"])
+    return v.select("supplier", models.value_text(F.col("supplier")).alias("text"))
+
+
+def deal_texts(s: SparkSession, d: str) -> DataFrame:
+    return merger_table(s, d).select("supplier", models.deal_text(F.col("supplier")).alias("text"))
+
+
+_KINDS = {"net_margin": "percentage", "current_ratio": "times", "days_sales_outstanding": "days", "book_value_per_share": "currency"}
+
+
+def ratio_report(s: SparkSession, d: str) -> DataFrame:
+    """Ratios in long form with their text and words."""
+    long = fundamentals.interpreted(fundamentals.long_ratios(_statements(s, d), ["supplier"], list(_KINDS)))
+    text = F.lit(None).cast("string")
+    for name, kind in _KINDS.items():
+        text = F.when(F.col("ratio") == name, strings.ratio_text(F.col("value"), kind)).otherwise(text)
+    return long.select("supplier", "ratio", text.alias("text"), "interpretation")
+
+
+def outlook_table(s: SparkSession, d: str) -> DataFrame:
+    """The scenarios side by side."""
+    return outlook(s, d).groupBy("supplier").pivot("scenario", ["bear", "base", "bull"]).agg(F.first("revenue2")).select("supplier", "bear", "base", "bull")
+
+
+def margin_series(s: SparkSession, d: str) -> DataFrame:
+    li = table(s, d, "lineitem", "l_suppkey", "l_extendedprice", "l_discount", "l_shipdate").groupBy("l_suppkey", F.year("l_shipdate").alias("y")).agg(F.sum("l_extendedprice").alias("r"), F.sum(F.col("l_extendedprice") * F.col("l_discount")).alias("i"))
+    return reports.margins(li, entity="l_suppkey", period="y", revenue="r", parts={"income": "i"}, last=3).select("l_suppkey", "y", *_r("revenue", "income", "income_margin"), "divisor")
+
+
+def flagged_days(s: SparkSession, d: str) -> DataFrame:
+    o = table(s, d, "orders", "o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("date").alias("day"))
+    prices = o.groupBy("o_orderpriority", "day").agg(F.max("o_totalprice").alias("price"))
+    return reports.flagged_prices(prices, o.where("o_totalprice > 480000").withColumn("title", F.concat(F.lit("big "), "o_orderstatus")), entity="o_orderpriority", day="day", title="title")
+
+
 QUERIES = {f.__name__: f for f in (dcf_grid, dcf_multiple, past_margins, default_cases, outlook, price_table, scenarios, scenario_value, tornado, margin_sweep, merger_table, flow_growth, capital_cost, all_ratios, ratio_words, ratio_summary, recommendations, revenue_trend)}
+QUERIES |= {f.__name__: f for f in (value_texts, deal_texts, ratio_report, outlook_table, margin_series, flagged_days)}
 QUERIES["number_texts"] = texts
 
 _S = "WITH s AS (SELECT l_suppkey AS supplier, round(sum(l_extendedprice)) / 1000 AS base, sum(l_quantity) AS sh FROM lineitem GROUP BY 1)"
@@ -192,4 +232,11 @@ SQL = {
     "recommendations": "WITH x AS (SELECT s_suppkey, 1 AS kind, 'cash_ratio' AS ratio, 'Priority: Address cash ratio - hold more cash' AS recommendation FROM supplier WHERE s_acctbal < 3000 UNION ALL SELECT s_suppkey, 1, 'net_margin', 'Priority: Address net margin - ' FROM supplier WHERE s_suppkey % 4 = 0 UNION ALL SELECT s_suppkey, 2, 'debt_to_equity', 'Monitor: debt to equity showing negative trend' FROM supplier WHERE s_nationkey % 3 = 0), y AS (SELECT * FROM x UNION ALL SELECT s_suppkey, 3, n, t FROM supplier, (VALUES ('0', 'Continue current financial management practices'), ('1', 'Consider strategic growth opportunities')) AS g(n, t) WHERE s_suppkey NOT IN (SELECT s_suppkey FROM x)) SELECT s_suppkey, CAST(row_number() OVER (PARTITION BY s_suppkey ORDER BY kind, ratio) AS INTEGER) AS place, recommendation FROM y QUALIFY place <= 2",
     "revenue_trend": "WITH y AS (SELECT l_suppkey, year(l_shipdate) AS y, sum(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2), g AS (SELECT l_suppkey, arg_min(v, y) AS a, arg_max(v, y) AS z FROM y GROUP BY 1), c AS (SELECT l_suppkey, (z - a) / abs(a) * 100 AS c FROM g) SELECT l_suppkey, round(c, 4) AS change_pct, CASE WHEN abs(c) <= 5 THEN 'stable' WHEN (CASE WHEN l_suppkey % 2 = 0 THEN -c ELSE c END) > 0 THEN 'improving' ELSE 'deteriorating' END AS trend FROM c",
     "number_texts": "WITH p AS (SELECT *, CASE WHEN p_size > 5 THEN (p_size - 20) / 7 END AS y FROM part) SELECT p_partkey, printf('%.2f', p_retailprice / 10) || '%' AS a, '$' || printf('%.2f', p_retailprice) AS b, printf('%.2f', y) || 'x' AS c, printf('%.1f', p_retailprice / 3) || ' days' AS e, coalesce(printf('%.1f', y) || '%', '—') AS f, CASE WHEN p_size = 20 THEN '$0' WHEN p_size < 20 THEN '($' || printf('%.1f', 20.0 - p_size) || 'M)' ELSE '$' || printf('%.1f', p_size - 20.0) || 'M' END AS g, CASE WHEN p_size > 5 THEN '$' || format('{:,.2f}', p_retailprice) ELSE '-' END AS h FROM p",
+    "ratio_report": _G + ", l AS (SELECT supplier, 'net_margin' AS ratio, printf('%.2f', ni / rev * 100) || '%' AS text, NULL AS v FROM r UNION ALL SELECT supplier, 'current_ratio', printf('%.2f', cr) || 'x', cr FROM r UNION ALL SELECT supplier, 'days_sales_outstanding', '109.5 days', NULL FROM r UNION ALL SELECT supplier, 'book_value_per_share', '$' || printf('%.2f', rev * ((i % 9 + 1) / 30) / sh), NULL FROM r) SELECT supplier, ratio, text, CASE WHEN ratio <> 'current_ratio' THEN 'No interpretation available' WHEN v > 2 THEN 'Strong liquidity' WHEN v > 1.5 THEN 'Adequate liquidity' WHEN v > 1 THEN 'Potential liquidity concerns' ELSE 'Liquidity issues' END AS interpretation FROM l",
+    "margin_series": "WITH y AS (SELECT l_suppkey, year(l_shipdate) AS y, sum(l_extendedprice) AS r, sum(l_extendedprice * l_discount) AS i FROM lineitem GROUP BY 1, 2), t AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY y DESC) <= 3), d AS (SELECT *, max(abs(r)) OVER (PARTITION BY l_suppkey) AS x FROM t), v AS (SELECT *, CAST(CASE WHEN x >= 1e12 THEN 1e12 WHEN x >= 1e9 THEN 1e9 WHEN x >= 1e6 THEN 1e6 WHEN x >= 1e3 THEN 1e3 ELSE 1 END AS DOUBLE) AS divisor FROM d) SELECT l_suppkey, CAST(y AS INTEGER) AS y, round(r / divisor, 4) AS revenue, round(i / divisor, 4) AS income, round(i / r * 100, 4) AS income_margin, divisor FROM v",
+    "flagged_days": "WITH o AS (SELECT *, CAST(o_orderdate AS DATE) AS day FROM orders) SELECT o_orderpriority, day, max(o_totalprice) AS price, coalesce(string_agg(DISTINCT CASE WHEN o_totalprice > 480000 THEN 'big ' || o_orderstatus END, '; ' ORDER BY CASE WHEN o_totalprice > 480000 THEN 'big ' || o_orderstatus END), '') AS flags, CAST(date_diff('day', DATE '1970-01-01', day) AS BIGINT) * 86400000 AS at FROM o GROUP BY 1, 2",
 }
+SQL["outlook_table"] = SQL["outlook"].replace(" SELECT supplier, scenario,", ", z AS (SELECT supplier, scenario,", 1) + ") SELECT supplier, max(revenue2) FILTER (WHERE scenario = 'bear') AS bear, max(revenue2) FILTER (WHERE scenario = 'base') AS base, max(revenue2) FILTER (WHERE scenario = 'bull') AS bull FROM z GROUP BY 1"
+_V = SQL["dcf_grid"].split(" SELECT supplier, wacc")[0].replace("(VALUES (0.07::DOUBLE), (0.08::DOUBLE), (0.025::DOUBLE))", "(VALUES (0.08::DOUBLE), (0.02::DOUBLE))").replace("(VALUES (0.02::DOUBLE), (0.03::DOUBLE))", "(VALUES (0.03::DOUBLE))").replace("(0.22 - 0.05)", "(0.20 - 0.05)")
+SQL["value_texts"] = _V + " SELECT supplier, CASE WHEN tv IS NULL THEN supplier || ': no value under these assumptions.' ELSE supplier || ': enterprise value ' || printf('%.1f', pv + tv) || ', equity ' || printf('%.1f', pv + tv - base * 0.2) || ', ' || printf('%.2f', (pv + tv - base * 0.2) / sh) || ' a share; ' || printf('%.1f', tv / (pv + tv) * 100) || '% of it lies behind the last year.' END AS text FROM e WHERE wacc = CASE WHEN supplier % 2 = 0 THEN 0.02::DOUBLE ELSE 0.08::DOUBLE END"
+SQL["deal_texts"] = SQL["merger_table"].replace(" SELECT supplier, round(ev, 4)", ", z AS (SELECT supplier, round(ev, 4)", 1) + ") SELECT supplier, supplier || ': ' || printf('%.1f', abs(accretion) * 100) || '% ' || CASE WHEN accretion > 0 THEN 'accretive' WHEN accretion < 0 THEN 'dilutive' ELSE 'neutral' END || '; breaks even at synergies of ' || printf('%.1f', breakeven_synergies) || '.' AS text FROM z"

@@ -13,11 +13,11 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.operators.upsert import keep_last
 
 
-def window_bars(stream: DataFrame, *, symbol: str, time: str, price: str, unit: str = "1 day", lateness: str = "2 days") -> DataFrame:
-    """Bars per symbol and tumbling window; a window comes out once the watermark has passed its end, so buckets in
+def window_bars(stream: DataFrame, *, symbol: str, time: str, price: str, unit: str = "1 day", lateness: str = "2 days", slide: str | None = None) -> DataFrame:
+    """Bars per symbol and tumbling window (or sliding, one every slide); a window comes out once the watermark has passed its end, so buckets in
     progress never show. Events later than lateness are dropped."""
     seq = F.struct(F.col(time), F.col(price))
-    return stream.withWatermark(time, lateness).groupBy(F.col(symbol).alias("symbol"), F.window(time, unit)).agg(F.min(seq)[price].alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max(seq)[price].alias("close"), F.count("*").alias("n_events")).select("symbol", F.col("window.start").alias("start"), "open", "high", "low", "close", "n_events")
+    return stream.withWatermark(time, lateness).groupBy(F.col(symbol).alias("symbol"), F.window(time, unit, slide)).agg(F.min(seq)[price].alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max(seq)[price].alias("close"), F.count("*").alias("n_events")).select("symbol", F.col("window.start").alias("start"), "open", "high", "low", "close", "n_events")
 
 
 def sessions(stream: DataFrame, *, key: str, time: str, gap: str = "30 minutes", lateness: str = "1 hour") -> DataFrame:
@@ -59,6 +59,62 @@ def running_ema(stream: DataFrame, *, key: str, time: str, value: str, n: int =
     return stream.select(key, time, value).where(F.col(value).isNotNull()).groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {time} {kinds[time]}, {value} {kinds[value]}, ema double", "last double", "append", "NoTimeout")
 
 
+def running_wilder(stream: DataFrame, *, key: str, time: str, value: str, n: int = 14) -> DataFrame:
+    """(key, time, value, average): Wilder's average carried in state: the mean of the first n values, then each value
+    moves it by 1/n; null before. Within a micro-batch a key's events are taken in order of time."""
+    kinds = dict(stream.dtypes)
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        seen, total, last = state.get if state.exists else (0, 0.0, 0.0)
+        rows = pd.concat(list(batches)).sort_values(time, ignore_index=True)
+        out = []
+        for v in rows[value].astype(float):
+            seen += 1
+            if seen <= n:
+                total += v
+                last = total / n
+            else:
+                last += (v - last) / n
+            out.append(last if seen >= n else None)
+        state.update((seen, total, last))
+        yield pd.DataFrame({key: [k[0]] * len(rows), time: rows[time], value: rows[value], "average": pd.Series(out, dtype="float64")})
+
+    return stream.select(key, time, value).where(F.col(value).isNotNull()).groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {time} {kinds[time]}, {value} {kinds[value]}, average double", "seen int, total double, last double", "append", "NoTimeout")
+
+
+def polled_changes(path: str, *, by: str, kind: str, ref: str, day: str, status: str, today: str) -> Callable[[DataFrame, int], None]:
+    """What to do with each poll of a calendar, for foreachBatch: the poll is compared with the stored snapshot, the
+    changes are added to path/changes (with the batch and the day), and the merged snapshot becomes the next one.
+
+    Snapshots are folders numbered by batch; a repeated batch compares with the same one as before and replaces its own
+    results, so nothing is reported twice.
+    """
+    from tidemark.operators.joins import snapshot_diff
+    from tidemark.operators.upsert import upsert
+
+    columns = [by, kind, ref, day, status]
+
+    def poll(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        new = batch.select(*columns)
+        try:
+            old = spark.read.schema(new.schema).parquet(f"{path}/snapshot/n={number - 1}") if number else new.limit(0)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            old = new.limit(0)
+        slot = F.coalesce(F.nullif(F.trim(F.col(ref)), F.lit("")), F.col(day).cast("string"))
+        diff = snapshot_diff(old, new, by=by, kind=kind, ref=ref, day=day, status=status, today=today)
+        told = diff.where("change not in ('kept', 'unchanged')").withColumn("day", F.lit(today))
+        told.write.mode("overwrite").parquet(f"{path}/changes/n={number}")
+        # Entries that dropped or moved away leave the snapshot; null fields of the poll keep what is stored.
+        gone = diff.where("change in ('dropped', 'moved')").select(by, kind, F.coalesce(F.nullif(F.trim(F.col(ref)), F.lit("")), F.col("old_day").cast("string")).alias("__slot")).distinct()
+        kept = old.withColumn("__slot", slot).join(gone, [by, kind, "__slot"], "left_anti")
+        upsert(kept, new.withColumn("__slot", slot), [by, kind, "__slot"]).select(*columns).write.mode("overwrite").parquet(f"{path}/snapshot/n={number}")
+
+    return poll
+
+
 LOG = "seq bigint, at string, query string, batch bigint"
 
 
