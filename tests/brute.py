@@ -84,18 +84,6 @@ def p5(inc, env):
     return out
 
 
-def p1(earn, inc):
-    by = defaultdict(list)
-    for r in inc:
-        if r["date"] is not None and quarter(r["period"]) and sym(r["symbol"]):
-            by[sym(r["symbol"])].append((day(r["date"]), r["inc_id"]))
-    out = set()
-    for r in earn:
-        if (d := day(r["date"])) and (near := [(abs((q - d).days), q, i) for q, i in by[sym(r["symbol"])] if abs((q - d).days) <= 45]):
-            out.add((r["earn_id"], min(near)[2]))
-    return out
-
-
 def p6(events, inc):
     by = defaultdict(list)
     for r in inc:
