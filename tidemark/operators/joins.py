@@ -10,19 +10,29 @@ from pyspark.sql import functions as F
 from tidemark.session import cut
 
 
-def asof_backward(left: DataFrame, right: DataFrame, *, by: Sequence[str], time: str, values: Sequence[str], strict: bool = False) -> DataFrame:
+def asof_backward(left: DataFrame, right: DataFrame, *, by: Sequence[str], time: str, values: Sequence[str], strict: bool = False, span: str = "month") -> DataFrame:
     """left with values of the last right row of the same key at or before its time (before it, if strict).
 
-    Both sides are united and sorted once per key; the last known right row is carried forward, so the work is one
-    shuffle and one sort whatever the ratio of the sides. Right rows of equal key and time must be unique, else the
-    greatest values count. Left rows without such a row keep nulls; null keys or times match nothing.
+    Both sides are united and sorted once per key and span of time, and the last known right row is carried forward;
+    what a span begins with comes from the last right rows of the spans before it, of which there is one each. So the
+    work is one shuffle and one sort whatever the ratio of the sides, and no task holds a key. Times that aren't dates
+    or timestamps form one span.
+
+    Right rows of equal key and time must be unique, else the greatest values count. Left rows without such a row keep
+    nulls; null keys or times match nothing.
     """
     right = right.groupBy(*by, time).agg(F.max(F.struct(*values)).alias("__v"))
     tag = 1 if strict else -1
+    part = F.date_trunc(span, F.col(time)).cast("string") if dict(left.dtypes)[time].startswith(("date", "timestamp")) else F.lit("")
     both = left.select(*[F.col(c) for c in by], F.col(time), F.struct(*[F.col(c) for c in left.columns]).alias("__l"), F.lit(None).cast(dict(right.dtypes)["__v"]).alias("__v"), F.lit(0).alias("__side"))
-    both = both.unionByName(right.select(*by, time, F.lit(None).cast(dict(both.dtypes)["__l"]).alias("__l"), "__v", F.lit(tag).alias("__side")))
-    w = Window.partitionBy(*by).orderBy(F.col(time).asc_nulls_first(), "__side").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.unionByName(right.select(*by, time, F.lit(None).cast(dict(both.dtypes)["__l"]).alias("__l"), "__v", F.lit(tag).alias("__side"))).withColumn("__b", part)
+    spans = both.groupBy(*by, "__b").agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.col(time))).alias("__last"))
+    before = F.last("__last", ignorenulls=True).over(Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], F.col("__b").alias("__kb"), before.alias("__in"))
+    w = Window.partitionBy(*by, "__b").orderBy(F.col(time).asc_nulls_first(), "__side").rowsBetween(Window.unboundedPreceding, 0)
     carried = both.withColumn("__v", F.last("__v", ignorenulls=True).over(w)).where("__l is not null")
+    # Null keys match nothing, so they needn't find their span.
+    carried = carried.join(spans, [*[F.col(c) == F.col(f"__k{i}") for i, c in enumerate(by)], F.col("__b") == F.col("__kb")], "left").withColumn("__v", F.coalesce("__v", "__in"))
     known = F.col(f"__l.{time}").isNotNull()
     for k in by:
         known = known & F.col(f"__l.{k}").isNotNull()

@@ -75,10 +75,25 @@ def correlations(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
 
 
 def rank_correlation(df: DataFrame, a: str, b: str, by: str) -> DataFrame:
-    """(by, r): Spearman correlation with average ranks for ties, per group; rows with a null in either don't count."""
-    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    mean_rank = lambda c: F.rank().over(Window.partitionBy(by).orderBy(c)) + (F.count("*").over(Window.partitionBy(by, c)) - 1) / 2
-    return rows.select(by, mean_rank(a).alias("ra"), mean_rank(b).alias("rb")).groupBy(by).agg(F.corr("ra", "rb").alias("r"))
+    """(by, r): Spearman correlation with average ranks for ties, per group; rows with a null in either don't count.
+
+    The pairs of values of a group are counted first, and its different values of each column, with their counts, are
+    put in order: what a window holds are the values, not the rows.
+    """
+    pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(by, F.col(a).alias("__a"), F.col(b).alias("__b")).agg(F.count("*").alias("__n"))
+
+    def ranks(c: str, name: str) -> DataFrame:
+        g = pairs.groupBy(F.col(by).alias(f"__k{name}"), F.col(c).alias(f"__v{name}")).agg(F.sum("__n").alias("n"))
+        w = Window.partitionBy(f"__k{name}").orderBy(f"__v{name}").rowsBetween(Window.unboundedPreceding, 0)
+        return g.select(f"__k{name}", f"__v{name}", (F.sum("n").over(w) - F.col("n") + (F.col("n") + 1) / 2).alias(name))
+
+    met = pairs
+    for c, name in (("__a", "ra"), ("__b", "rb")):
+        met = met.join(ranks(c, name), F.col(by).eqNullSafe(F.col(f"__k{name}")) & (F.col(c) == F.col(f"__v{name}")))
+    n, x, y = F.col("__n"), F.col("ra"), F.col("rb")
+    g = met.groupBy(by).agg(F.sum(n).alias("n"), F.sum(n * x).alias("x"), F.sum(n * y).alias("y"), F.sum(n * x * x).alias("xx"), F.sum(n * y * y).alias("yy"), F.sum(n * x * y).alias("xy"))
+    c = lambda p, q, r: F.col(p) - F.col(q) * F.col(r) / F.col("n")
+    return g.select(by, F.try_divide(c("xy", "x", "y"), F.nullif(F.sqrt(c("xx", "x", "x") * c("yy", "y", "y")), F.lit(0.0))).alias("r"))
 
 
 def missing(df: DataFrame) -> DataFrame:
@@ -164,6 +179,21 @@ def numbered(df: DataFrame, order: Sequence[str | Column], name: str, parts: int
     return ranged.join(F.broadcast(firsts), "__b").withColumn(name, at.cast("bigint")).drop("__b", "__first", *[f"__o{i}" for i in range(len(cols))])
 
 
+def placed(df: DataFrame, by: Sequence[str], order: Sequence[Column], parts: int | None = None) -> DataFrame:
+    """df with place, the number of each row (from 1) within its group in this order, and n, the rows of the group.
+
+    All rows are numbered in the order of group and order by numbered(), so a big group lies in several ranges and no
+    task sorts one; a group's first number is the count of the rows of the groups before it.
+    """
+    keyed = df.withColumns({f"__g{i}": F.col(c) for i, c in enumerate(by)})
+    keys = [f"__g{i}" for i in range(len(by))]
+    done = numbered(keyed, [*keys, *order], "__no", parts)
+    firsts = done.groupBy(*keys).agg(F.min("__no").alias("__f"), F.count("*").alias("n"))
+    firsts = firsts.select(*[F.col(k).alias(f"{k}r") for k in keys], "__f", "n")
+    met = done.join(firsts, [F.col(k).eqNullSafe(F.col(f"{k}r")) for k in keys])
+    return met.withColumn("place", (F.col("__no") - F.col("__f") + 1).cast("int")).select(*df.columns, "place", "n")
+
+
 def with_tiles(df: DataFrame, values: dict[str, Column], tie: Column, tiles: int, parts: int | None = None) -> DataFrame:
     """df with, for each name of values, the ntile (1 to tiles) of each row by the value, ties by tie, over the whole table.
 

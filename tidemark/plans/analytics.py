@@ -250,9 +250,14 @@ def beta(s: Session, d: str) -> DataFrame:
 
 
 def group_ranks(s: Session, d: str) -> DataFrame:
-    w = Window.partitionBy("p_brand")
-    o = w.orderBy(F.col("p_retailprice").desc(), "p_partkey")
-    return table(s, d, "part", "p_partkey", "p_brand", "p_retailprice").select("p_partkey", F.row_number().over(o).alias("place"), F.round(F.percent_rank().over(o), 4).alias("pct"), F.ntile(4).over(o).alias("quarter"), F.round(F.col("p_retailprice") / F.sum("p_retailprice").over(w) * 100, 4).alias("share"))
+    p = table(s, d, "part", "p_partkey", "p_brand", "p_retailprice")
+    r = profile.placed(p, ["p_brand"], [-F.col("p_retailprice"), F.col("p_partkey")])
+    sums = p.groupBy("p_brand").agg(F.sum("p_retailprice").alias("total"))
+    small, big = F.floor(F.col("n") / 4), F.col("n") % 4
+    k = F.col("place") - 1
+    quarter = F.when(k < big * (small + 1), F.floor(k / (small + 1))).otherwise(big + F.floor((k - big * (small + 1)) / F.greatest(small, F.lit(1)))) + 1
+    pct = F.coalesce(F.try_divide(k, F.nullif(F.col("n") - 1, F.lit(0))), F.lit(0.0))
+    return r.join(sums, "p_brand").select("p_partkey", "place", F.round(pct, 4).alias("pct"), quarter.cast("int").alias("quarter"), F.round(F.col("p_retailprice") / F.col("total") * 100, 4).alias("share"))
 
 
 def priority_stats(s: Session, d: str) -> DataFrame:
