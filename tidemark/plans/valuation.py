@@ -71,8 +71,8 @@ def scenarios(s: SparkSession, d: str) -> DataFrame:
 
 
 def scenario_value(s: SparkSession, d: str) -> DataFrame:
-    o = table(s, d, "orders", "o_custkey", "o_orderkey", "o_totalprice").withColumn("p", F.when(F.col("o_custkey") % 3 == 0, 0.1))
-    return models.expected(o, ["o_custkey"], "o_totalprice", "p").select("o_custkey", F.round("expected", 4).alias("expected"))
+    o = table(s, d, "orders", "o_custkey", "o_orderkey", F.sqrt("o_totalprice").alias("v")).withColumn("p", F.when(F.col("o_custkey") % 3 == 0, 0.1))
+    return models.expected(o, ["o_custkey"], "v", "p").select("o_custkey", F.round("expected", 4).alias("expected"))
 
 
 _CASE = lambda: F.col("revenue") * F.col("margin") * F.col("multiple")
@@ -92,13 +92,17 @@ def margin_sweep(s: SparkSession, d: str) -> DataFrame:
     return models.sweep(_part_cases(s, d), "margin", 0.1, 0.3, 5, _CASE).select("p_partkey", *_r("margin", "output", "output_change"))
 
 
-def merger_table(s: SparkSession, d: str) -> DataFrame:
+def _deals(s: SparkSession, d: str) -> DataFrame:
     """Each supplier buys the one with the next number."""
     b = _suppliers(s, d).select("supplier", "shares", (F.col("base_revenue") * 0.1).alias("income"))
     t = b.select((F.col("supplier") - 1).alias("supplier"), F.col("shares").alias("t_shares"), F.col("income").alias("t_income"))
     fixed = {"a_price": 50.0, "t_price": 25.0, "offer": 30.0, "cash_pct": 0.6, "stock_pct": 0.4, "debt_part": 0.5, "debt_rate": 0.06, "cash_yield": 0.03, "fee": 2.0, "tax": 0.25, "synergies": 50.0, "intangibles": 300.0}
     deals = b.join(t, "supplier").withColumnsRenamed({"shares": "a_shares", "income": "a_income"}).withColumns({k: F.lit(v) for k, v in fixed.items()}).withColumns({"years": F.lit(10), "deductible": F.col("supplier") % 2 == 0})
-    return models.merger(deals).select("supplier", *_r("equity_value", "new_shares", "proforma_eps", "accretion", "breakeven_synergies"))
+    return models.merger(deals)
+
+
+def merger_table(s: SparkSession, d: str) -> DataFrame:
+    return _deals(s, d).select("supplier", *_r("equity_value", "new_shares", "proforma_eps", "accretion", "breakeven_synergies"))
 
 
 def flow_growth(s: SparkSession, d: str) -> DataFrame:
@@ -174,7 +178,7 @@ def value_texts(s: SparkSession, d: str) -> DataFrame:
 
 
 def deal_texts(s: SparkSession, d: str) -> DataFrame:
-    return merger_table(s, d).select("supplier", models.deal_text(F.col("supplier")).alias("text"))
+    return _deals(s, d).select("supplier", models.deal_text(F.col("supplier")).alias("text"))
 
 
 _KINDS = {"net_margin": "percentage", "current_ratio": "times", "days_sales_outstanding": "days", "book_value_per_share": "currency"}
@@ -220,7 +224,7 @@ SQL = {
     "outlook": _S + ", c(scenario, a, b) AS (VALUES ('bear', 0.5::DOUBLE, 0.4::DOUBLE), ('base', 1.0, 0.9), ('bull', 1.3, 1.2)), g AS (SELECT *, (supplier % 7 - 2) / 20 * a AS g1, (supplier % 7 - 2) / 20 * b AS g2, (supplier % 5 - 1) * 4.0::DOUBLE AS nm FROM s, c), r AS (SELECT *, base * (1 + g1) AS r1, base * (1 + g1) * (1 + g2) AS r2 FROM g), e AS (SELECT *, r1 * nm / 100 / sh AS e1, r2 * nm / 100 / sh AS e2 FROM r) SELECT supplier, scenario, round(g1, 3) AS growth1, round(r1, 3) AS revenue1, round(r2, 3) AS revenue2, round(r1 * 0.45, 3) AS gross1, round(r2 * nm / 100, 3) AS income2, round(e1, 3) AS eps1, round(e2, 3) AS eps2, round(CASE WHEN e1 > 0 THEN 30 / e1 END, 3) AS pe1, round(CASE WHEN e2 > 0 THEN 30 / e2 END, 3) AS pe2, round(sh * 30 / r1, 3) AS ps1, round(sh * 30 / r2, 3) AS ps2 FROM e",
     "price_table": "SELECT p_partkey, volume, round(p_retailprice * volume, 4) AS \"v_0_0\", round(p_retailprice * volume * (1 - 0.05::DOUBLE), 4) AS \"v_0_05\", round(p_retailprice * volume * (1 - 0.25::DOUBLE), 4) AS \"v_0_25\" FROM part, (VALUES (10.0::DOUBLE), (20.5::DOUBLE)) AS v(volume)",
     "scenarios": "WITH n AS (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders), x AS (SELECT o_custkey, CAST(o_orderkey AS VARCHAR) AS scenario, o_totalprice AS value, CASE WHEN o_custkey % 2 = 0 THEN 1 / (n + 0.37::DOUBLE) ELSE 1 / n END AS p FROM n), y AS (SELECT *, value * p AS weighted FROM x), t AS (SELECT o_custkey, sum(weighted) AS w, sum(p) AS p FROM y GROUP BY 1) SELECT o_custkey, scenario, round(value, 3) AS value, round(p, 4) AS p, round(weighted, 3) AS weighted FROM y WHERE o_custkey % 2 = 0 UNION ALL SELECT o_custkey, 'expected value', round(w, 3), round(p, 4), round(w, 3) FROM t WHERE o_custkey % 2 = 0",
-    "scenario_value": "SELECT o_custkey, round(CASE WHEN o_custkey % 3 = 0 THEN sum(o_totalprice * 0.1::DOUBLE) ELSE avg(o_totalprice) END, 4) AS expected FROM orders GROUP BY 1",
+    "scenario_value": "SELECT o_custkey, round(CASE WHEN o_custkey % 3 = 0 THEN sum(sqrt(o_totalprice) * 0.1::DOUBLE) ELSE avg(sqrt(o_totalprice)) END, 4) AS expected FROM orders GROUP BY 1",
     "tornado": "WITH c AS (SELECT p_partkey, p_retailprice AS r, 0.2::DOUBLE AS m, (p_size + 1)::DOUBLE AS k FROM part), t AS (SELECT p_partkey, 'revenue' AS variable, 800 * m * k AS lo, 1200 * m * k AS hi FROM c UNION ALL SELECT p_partkey, 'margin', r * 0.15::DOUBLE * k, r * 0.22::DOUBLE * k FROM c UNION ALL SELECT p_partkey, 'multiple', r * m * 8, r * m * 13 FROM c) SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY round(abs(hi - lo), 9) DESC, variable) AS INTEGER) AS place, variable, round(lo, 4) AS at_low, round(hi, 4) AS at_high, round(abs(hi - lo), 4) AS impact FROM t",
     "margin_sweep": "SELECT p_partkey, round(0.1 + i * 0.05, 4)::DOUBLE AS margin, round(p_retailprice * (0.1::DOUBLE + i * 0.05::DOUBLE) * (p_size + 1), 4) AS output, round(p_retailprice * (0.1::DOUBLE + i * 0.05::DOUBLE) * (p_size + 1) - p_retailprice * 0.2::DOUBLE * (p_size + 1), 4) AS output_change FROM part, range(5) AS t(i)",
     "merger_table": _S + ", d AS (SELECT a.supplier, a.sh AS ash, a.base * 0.1 AS ai, t.sh AS tsh, t.base * 0.1 AS ti FROM s a JOIN s t ON t.supplier = a.supplier + 1), e AS (SELECT *, 30 * tsh AS ev, 0.4 * 30 * tsh / 50 AS ns, ((0.6 * 30 * tsh) * 0.5 * 0.06 + (0.6 * 30 * tsh) * 0.5 * 0.03 + 2) * 0.75 + CASE WHEN supplier % 2 = 0 THEN 30 * 0.75 ELSE 30 END AS drag FROM d), p AS (SELECT *, (ai + ti + 50 * 0.75 - drag) / (ash + ns) AS pe FROM e) SELECT supplier, round(ev, 4) AS equity_value, round(ns, 4) AS new_shares, round(pe, 4) AS proforma_eps, round((pe - ai / ash) / (ai / ash), 4) AS accretion, round((ai / ash * (ash + ns) - ai - ti + drag) / 0.75, 4) AS breakeven_synergies FROM p",
@@ -239,4 +243,4 @@ SQL = {
 SQL["outlook_table"] = SQL["outlook"].replace(" SELECT supplier, scenario,", ", z AS (SELECT supplier, scenario,", 1) + ") SELECT supplier, max(revenue2) FILTER (WHERE scenario = 'bear') AS bear, max(revenue2) FILTER (WHERE scenario = 'base') AS base, max(revenue2) FILTER (WHERE scenario = 'bull') AS bull FROM z GROUP BY 1"
 _V = SQL["dcf_grid"].split(" SELECT supplier, wacc")[0].replace("(VALUES (0.07::DOUBLE), (0.08::DOUBLE), (0.025::DOUBLE))", "(VALUES (0.08::DOUBLE), (0.02::DOUBLE))").replace("(VALUES (0.02::DOUBLE), (0.03::DOUBLE))", "(VALUES (0.03::DOUBLE))").replace("(0.22 - 0.05)", "(0.20 - 0.05)")
 SQL["value_texts"] = _V + " SELECT supplier, CASE WHEN tv IS NULL THEN supplier || ': no value under these assumptions.' ELSE supplier || ': enterprise value ' || printf('%.1f', pv + tv) || ', equity ' || printf('%.1f', pv + tv - base * 0.2) || ', ' || printf('%.2f', (pv + tv - base * 0.2) / sh) || ' a share; ' || printf('%.1f', tv / (pv + tv) * 100) || '% of it lies behind the last year.' END AS text FROM e WHERE wacc = CASE WHEN supplier % 2 = 0 THEN 0.02::DOUBLE ELSE 0.08::DOUBLE END"
-SQL["deal_texts"] = SQL["merger_table"].replace(" SELECT supplier, round(ev, 4)", ", z AS (SELECT supplier, round(ev, 4)", 1) + ") SELECT supplier, supplier || ': ' || printf('%.1f', abs(accretion) * 100) || '% ' || CASE WHEN accretion > 0 THEN 'accretive' WHEN accretion < 0 THEN 'dilutive' ELSE 'neutral' END || '; breaks even at synergies of ' || printf('%.1f', breakeven_synergies) || '.' AS text FROM z"
+SQL["deal_texts"] = SQL["merger_table"].split(" SELECT supplier, round(ev")[0] + ", z AS (SELECT supplier, (pe - ai / ash) / (ai / ash) AS a, (ai / ash * (ash + ns) - ai - ti + drag) / 0.75 AS b FROM p) SELECT supplier, supplier || ': ' || printf('%.1f', abs(a) * 100) || '% ' || CASE WHEN a > 0 THEN 'accretive' WHEN a < 0 THEN 'dilutive' ELSE 'neutral' END || '; breaks even at synergies of ' || printf('%.1f', b) || '.' AS text FROM z"
