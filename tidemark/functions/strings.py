@@ -125,3 +125,17 @@ def keyword_terms(c: Column) -> Column:
         return F.struct((acc["series"] + F.when(t == ",", 1).otherwise(0)).alias("series"), more.alias("terms"))
 
     return F.aggregate(tokens, start, step, lambda acc: acc["terms"])
+
+
+def html_escaped(c: Column) -> Column:
+    """Text that is safe inside HTML: & < > and both quotes are written as entities."""
+    out = c
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        out = F.replace(out, F.lit(sign), F.lit(name))
+    return out
+
+
+def light_markup(c: Column) -> Column:
+    """Escaped text in which **bold**, *italic* and `code` become tags."""
+    out = F.regexp_replace(html_escaped(c), r"\*\*([^*]+)\*\*", "<strong>$1</strong>")
+    return F.regexp_replace(F.regexp_replace(out, r"\*([^*]+)\*", "<em>$1</em>"), r"`([^`]+)`", "<code>$1</code>")

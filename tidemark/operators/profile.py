@@ -145,6 +145,31 @@ def quality(df: DataFrame, key: str, checks: dict[str, Column]) -> DataFrame:
     return row.select(*[c.alias(k) for k, c in parts.items()]).withColumn("score", (F.col("completeness") + F.col("uniqueness") + F.col("validity")) / 3)
 
 
+def quality_six(df: DataFrame, key: str, *, valid: dict[str, Column], consistent: dict[str, Column], accurate: dict[str, Column], updated: Column, as_of: str, fresh_days: int = 30, weights: dict[str, float] | None = None) -> DataFrame:
+    """(completeness, uniqueness, validity, consistency, accuracy, timeliness, score, grade): six shares and their weighted
+    mean (equal weights by default), in one aggregation by key and one over it.
+
+    Rows pass valid, consistent and accurate by all conditions of each (null counts as failed); a row is timely if its
+    date updated lies at most fresh_days before as_of. grade is good from 0.95, fair from 0.8, else poor. An empty table
+    has null shares.
+    """
+    def every(checks: dict[str, Column]) -> Column:
+        ok = F.lit(True)
+        for c in checks.values():
+            ok = ok & F.coalesce(c, F.lit(False))
+        return F.sum(ok.cast("long"))
+
+    filled = sum((F.col(f"`{c}`").isNotNull().cast("long") for c in df.columns), F.lit(0))
+    timely = F.coalesce(updated.between(F.date_sub(F.lit(as_of).cast("date"), fresh_days), F.lit(as_of).cast("date")), F.lit(False))
+    per = df.groupBy(key).agg(F.count("*").alias("n"), F.sum(filled).alias("f"), every(valid).alias("v"), every(consistent).alias("c"), every(accurate).alias("a"), F.sum(timely.cast("long")).alias("t"))
+    row = per.agg(F.sum("n").alias("n"), F.count("*").alias("d"), *[F.sum(x).alias(x) for x in "fvcat"])
+    parts = {"completeness": F.try_divide("f", F.col("n") * len(df.columns)), "uniqueness": F.try_divide("d", "n"), "validity": F.try_divide("v", "n"), "consistency": F.try_divide("c", "n"), "accuracy": F.try_divide("a", "n"), "timeliness": F.try_divide("t", "n")}
+    w = weights or dict.fromkeys(parts, 1.0)
+    score = sum((F.col(k) * w.get(k, 0.0) for k in parts), F.lit(0.0)) / sum(w.values())
+    out = row.select(*[c.alias(k) for k, c in parts.items()]).withColumn("score", score)
+    return out.withColumn("grade", F.when(F.col("score") >= 0.95, "good").when(F.col("score") >= 0.8, "fair").when(F.col("score").isNotNull(), "poor"))
+
+
 def rfm(customers: DataFrame, orders: DataFrame, *, customer: str, order: str, day: str, amount: str, as_of: str, tiles: int = 5) -> DataFrame:
     """(customer, recency, frequency, money, r, f, m): days since the last order, orders and spend by as_of, with tiles
     of 1 (worst) to tiles (best). Customers without an order keep a null recency and the lowest tile.

@@ -118,3 +118,37 @@ def rebinned(monthly: DataFrame, year_end_month: int, *, keys: list[str], month:
     end = F.last_day(F.add_months(F.trunc(month, "month"), ahead))
     g = monthly.groupBy(*keys, end.alias("quarter_end")).agg(F.sum(value).alias("value"), F.count("*").alias("n_months"))
     return g.withColumn("fiscal_quarter", fiscal_quarter(F.col("quarter_end"), year_end_month))
+
+
+def required_granularity(df: DataFrame, expected: str, *, keys: list[str], time: str) -> DataFrame:
+    """df, but a key whose buckets have another granularity than expected fails the query with its name; keys of a single
+    bucket pass."""
+    g = granularity(df, keys=keys, time=time)
+    told = F.concat(F.lit(f"expected {expected} buckets, found "), F.col("granularity"), F.lit(" for "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))
+    bad = g.where(F.col("granularity") != expected).select(*[F.col(k).alias(f"__{k}") for k in keys], told.alias("__told"))
+    d = df.join(bad, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left")
+    ok = F.when(F.col("__told").isNull(), True).otherwise(F.raise_error("__told").cast("boolean"))
+    return d.where(ok).select(*df.columns)
+
+
+def prior_quarter_end(c: Column, year_end_month: int) -> Column:
+    """The last day of the fiscal quarter before the one a date lies in."""
+    ahead = F.pmod(F.lit(year_end_month) - F.month(c), F.lit(3)).cast("int")
+    return F.last_day(F.add_months(F.trunc(c, "month"), ahead - 3))
+
+
+def decomposed(df: DataFrame, *, keys: list[str], order: str, value: str, period: int) -> DataFrame:
+    """df with trend (the mean of a whole period around the row, null at the ends), seasonal (the mean deviation of the
+    rows at the same place of the period, made to sum to zero) and rest. Rows of a key follow each other without gaps."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    half = period // 2
+    around = w.rowsBetween(-half, half)
+    # With an even period the two ends count half.
+    ends = (F.lag(value, half).over(w) + F.lead(value, half).over(w)) / 2
+    total = F.sum(value).over(around) if period % 2 else F.sum(value).over(w.rowsBetween(-half + 1, half - 1)) + ends
+    d = df.withColumn("__i", F.row_number().over(w)).withColumn("trend", F.when(F.count(value).over(around) == 2 * half + 1, total / period)).withColumn("__p", F.col("__i") % period)
+    s = d.where("trend is not null").groupBy(*keys, "__p").agg(F.avg(F.col(value) - F.col("trend")).alias("__s"))
+    m = s.groupBy(*keys).agg(F.avg("__s").alias("__m"))
+    s = s.join(m, keys).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__p").alias("__q"), (F.col("__s") - F.col("__m")).alias("seasonal"))
+    met = d.join(s, [*[F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)], F.col("__p") == F.col("__q")], "left")
+    return met.select(*df.columns, "trend", "seasonal", (F.col(value) - F.col("trend") - F.col("seasonal")).alias("rest"))

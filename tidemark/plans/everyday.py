@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import strings
 from tidemark.functions.norm import calendar_day, symbol_key
-from tidemark.operators import inference, joins, reports, series, tables, trends, upsert
+from tidemark.operators import inference, joins, profile, reports, series, tables, trends, upsert
 from tidemark.sources.tables import once, table
 
 Session = SparkSession
@@ -298,10 +298,39 @@ def dependency_order(s: Session, d: str) -> DataFrame:
     return joins.closure(e, s.createDataFrame([(0,)], "r bigint"), parent="p", child="c", root="r", acyclic=True)
 
 
+def quality_grades(s: Session, d: str) -> DataFrame:
+    o = _orders(s, d).withColumn("note", F.when(F.col("o_orderkey") % 9 > 0, F.col("o_orderstatus")))
+    q = profile.quality_six(o, "o_custkey", valid={"price": F.col("o_totalprice") > 50000}, consistent={"status": (F.col("o_orderstatus") != "P") | (F.col("o_totalprice") > 100000)}, accurate={"note": F.col("note").isNotNull()}, updated=F.col("day"), as_of="2001-08-01", fresh_days=1500)
+    return q.select(*_r("completeness", "uniqueness", "validity", "consistency", "accuracy", "timeliness", "score"), "grade")
+
+
+def yearly_payouts(s: Session, d: str) -> DataFrame:
+    """Sums by year, the last three years of each class."""
+    y = _orders(s, d).groupBy("o_orderpriority", F.year("day").alias("year")).agg(F.sum("o_totalprice").alias("paid"), F.count("*").alias("n"))
+    return series.tail(y, 3, by="o_orderpriority", order="year").select("o_orderpriority", "year", F.round("paid", 2).alias("paid"), "n")
+
+
+def checked_buckets(s: Session, d: str) -> DataFrame:
+    """Monthly sums, whose buckets must be monthly, with the quarter end before each."""
+    m = _orders(s, d).groupBy("o_orderpriority", F.trunc("day", "month").alias("month")).agg(F.count("*").alias("n"))
+    return trends.required_granularity(m, "monthly", keys=["o_orderpriority"], time="month").withColumn("before", trends.prior_quarter_end(F.col("month"), 1))
+
+
+def seasons(s: Session, d: str) -> DataFrame:
+    m = _orders(s, d).groupBy("o_orderpriority", F.trunc("day", "month").alias("month")).agg(F.count("*").cast("double").alias("n"))
+    return trends.decomposed(m, keys=["o_orderpriority"], order="month", value="n", period=12).select("o_orderpriority", "month", *_r("trend", "seasonal", "rest", to=6))
+
+
+def markup(s: Session, d: str) -> DataFrame:
+    p = table(s, d, "part", "p_partkey", "p_name", "p_brand")
+    t = F.concat(F.lit("**"), F.col("p_name"), F.lit("** <"), F.col("p_brand"), F.lit("> & *it's* `x`"))
+    return p.select("p_partkey", strings.light_markup(t).alias("html"))
+
+
 QUERIES = {f.__name__: f for f in (
     filled_means, selected_columns, newest_rows, stacked, paired_rows, quarantined, checked_rows, number_cells, flags, table_sets, grouping_levels, rolled_up, near_distinct, positions, spikes, active_rows, settings, page_tree, layer_scores,
     source_credit, tool_counts, consensus, estimate_bars, revenue_on_prices, revenue_reactions, chart_axes, coming_up, looked_back, report_changes, kept_on_failure, keyword_fit, peers, company_ratio, monthly_quarters, apportioned, short_histories,
-    stored_datasets, statement_calendar, welch_test, anova, chi_square, flag_correlation, kendall, shaped_entries, settled_values, dependency_order,
+    stored_datasets, statement_calendar, welch_test, anova, chi_square, flag_correlation, kendall, shaped_entries, settled_values, dependency_order, quality_grades, yearly_payouts, checked_buckets, seasons, markup,
 )}
 
 _O = "o AS (SELECT *, CAST(o_orderdate AS DATE) AS day FROM orders)"
@@ -359,4 +388,9 @@ SQL = {
     "shaped_entries": "SELECT DISTINCT event_id, type, CASE WHEN trim(status) <> '' THEN status ELSE 'estimated' END AS status, NULL::VARCHAR AS extra FROM universe_events",
     "settled_values": "WITH n AS (SELECT 'k' || n_nationkey % 30 AS key, 'v' || n_regionkey AS value FROM nation), d(key, dv) AS (VALUES ('k3', 'v0'), ('k4', 'v9'), ('k99', 'local')) SELECT key, CASE WHEN value IS NULL OR key = 'k3' AND value NOT IN ('v0', 'v3') OR key = 'k4' AND value <> 'v0' THEN dv ELSE value END AS value FROM n FULL JOIN d USING (key)",
     "dependency_order": "WITH RECURSIVE e AS (SELECT DISTINCT * FROM (SELECT s_suppkey // 2 AS p, s_suppkey AS c FROM supplier WHERE s_suppkey > 0 UNION ALL SELECT s_suppkey // 3, s_suppkey FROM supplier WHERE s_suppkey > 0)), x AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS depth UNION SELECT c, depth + 1 FROM x JOIN e ON p = node) SELECT CAST(0 AS BIGINT) AS root, node, CAST(max(depth) AS INTEGER) AS depth FROM x GROUP BY node",
+    "quality_grades": f"WITH {_O}, q AS (SELECT count(*) AS n, sum(CASE WHEN o_orderkey % 9 > 0 THEN 7 ELSE 6 END) / (count(*) * 7.0) AS f, count(DISTINCT o_custkey) / count(*) AS u, avg(CASE WHEN o_totalprice > 50000 THEN 1.0 ELSE 0 END) AS v, avg(CASE WHEN o_orderstatus <> 'P' OR o_totalprice > 100000 THEN 1.0 ELSE 0 END) AS c, avg(CASE WHEN o_orderkey % 9 > 0 THEN 1.0 ELSE 0 END) AS a, avg(CASE WHEN day BETWEEN DATE '2001-08-01' - 1500 AND DATE '2001-08-01' THEN 1.0 ELSE 0 END) AS t FROM o), s AS (SELECT *, (f + u + v + c + a + t) / 6 AS s FROM q) SELECT round(f::DOUBLE, 4) AS completeness, round(u, 4) AS uniqueness, round(v, 4) AS validity, round(c, 4) AS consistency, round(a, 4) AS accuracy, round(t, 4) AS timeliness, round(s, 4) AS score, CASE WHEN s >= 0.95 THEN 'good' WHEN s >= 0.8 THEN 'fair' ELSE 'poor' END AS grade FROM s",
+    "yearly_payouts": f"WITH {_O}, y AS (SELECT o_orderpriority, CAST(year(day) AS INTEGER) AS year, sum(o_totalprice) AS paid, count(*) AS n FROM o GROUP BY 1, 2) SELECT o_orderpriority, year, round(paid, 2) AS paid, n FROM y QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY year DESC) <= 3",
+    "checked_buckets": f"WITH {_O} SELECT o_orderpriority, CAST(date_trunc('month', day) AS DATE) AS month, count(*) AS n, last_day(CAST(any_value(date_trunc('month', day)) + to_months(CAST((3 + (1 - month(any_value(day))) % 3) % 3 - 3 AS INTEGER)) AS DATE)) AS before FROM o GROUP BY 1, 2",
+    "seasons": f"WITH {_O}, m AS (SELECT o_orderpriority AS k, CAST(date_trunc('month', day) AS DATE) AS month, CAST(count(*) AS DOUBLE) AS n FROM o GROUP BY 1, 2), t AS (SELECT *, row_number() OVER w % 12 AS p, CASE WHEN count(*) OVER (PARTITION BY k ORDER BY month ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) = 13 THEN (sum(n) OVER (PARTITION BY k ORDER BY month ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) + (lag(n, 6) OVER w + lead(n, 6) OVER w) / 2) / 12 END AS trend FROM m WINDOW w AS (PARTITION BY k ORDER BY month)), s AS (SELECT k, p, avg(n - trend) AS s FROM t WHERE trend IS NOT NULL GROUP BY 1, 2), z AS (SELECT k, p, s - avg(s) OVER (PARTITION BY k) AS seasonal FROM s) SELECT k AS o_orderpriority, month, round(trend, 6) AS trend, round(seasonal, 6) AS seasonal, round(n - trend - seasonal, 6) AS rest FROM t LEFT JOIN z USING (k, p)",
+    "markup": "SELECT p_partkey, '<strong>' || p_name || '</strong> &lt;' || p_brand || '&gt; &amp; <em>it&#39;s</em> <code>x</code>' AS html FROM part",
 }
