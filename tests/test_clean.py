@@ -221,7 +221,7 @@ def test_drift_edges(spark):
     desc = drift.descriptors(d, entity="s", file="f", order="d", year="y", data="j")
     got = {(r.file, r.change, r.path, r.old_path) for r in drift.file_changes(desc).where("depth = 1").collect()}
     assert got == {
-        ("f2", "renamed", "/A", "/a"), ("f2", "retyped", "/b", ""), ("f3", "renamed", "/AA", "/A"), ("f3", "added", "/a", ""), ("f3", "removed", "/n", ""), ("f3", "retyped", "/b", ""),
+        ("f2", "renamed", "/A", "/a"), ("f2", "retyped", "/b", ""), ("f3", "renamed", "/AA", "/A"), ("f3", "retyped", "/AA", "/A"), ("f3", "added", "/a", ""), ("f3", "removed", "/n", ""), ("f3", "retyped", "/b", ""),
         ("f4", "removed", "/AA", ""), ("f4", "removed", "/a", ""), ("f4", "removed", "/b", ""), ("g3", "added", "/x", ""),
     }
     p = {(r.file, r.field): r.canonical for r in drift.projections(desc, drift.file_changes(desc)).collect()}

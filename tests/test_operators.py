@@ -214,7 +214,7 @@ def test_visible_text():
 def test_text(spark):
     d = spark.createDataFrame([(1, "Item 1. Business\nWe sell iron. Iron!\nItem 1A. Risk factors\n" + "x" * 50), (2, None), (3, "")], "id int, t string")
     h = d.where("id = 1").select(text.headers(F.col("t")).alias("h")).first().h
-    assert [(x.position, x.label) for x in h] == [(0, "Item 1"), (37, "Item 1a")]
+    assert [(x.position, x.label) for x in h] == [(0, "Item 1"), (37, "Item 1A")]
     c = text.chunks(d, text="t", size=40, overlap=10).orderBy("chunk_no").collect()
     n = len(d.first().t)
     assert [(x.start, x.end) for x in c] == [(0, 40), (30, 70), (60, 100), (90, n)][: len(c)] and c[-1].end == n
@@ -249,3 +249,82 @@ def test_against_duckdb(spark, data, name):
     norm = lambda v: round(v, 3) if isinstance(v, float) else v
     want = sorted((tuple(norm(x[names.index(k)]) for k in cols) for x in r.fetchall()), key=repr)
     assert sorted((tuple(norm(x[k]) for k in cols) for x in df.collect()), key=repr) == want
+
+
+def test_closure_of_dependencies(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("x", "x"), (None, "q")], "p string, c string")
+    r = spark.createDataFrame([("a",), ("a",), (None,)], "r string")
+    assert rows(joins.closure(e, r, parent="p", child="c", root="r").select("node", "depth"), "node") == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]
+    assert rows(joins.closure(e, r, parent="p", child="c", root="r", acyclic=True).select("node", "depth"), "node") == [("a", 0), ("b", 1), ("c", 2), ("d", 3)]
+    x = spark.createDataFrame([("x",)], "r string")
+    assert joins.closure(e, x, parent="p", child="c", root="r").count() == 1
+    with pytest.raises(ValueError, match="cycle"):
+        joins.closure(e, x, parent="p", child="c", root="r", most=5, acyclic=True)
+
+
+def test_asof_over_spans(spark):
+    """What a month begins with comes from months before it, also over a gap; right rows of equal time, strict and not."""
+    import datetime as dt
+
+    D = dt.datetime  # noqa: N806
+    right = spark.createDataFrame([("k", D(2024, 1, 5), 1), ("k", D(2024, 1, 20), 2), ("k", D(2024, 4, 1), 3), ("z", D(2024, 1, 1), 9), (None, D(2024, 1, 1), 8)], "k string, t timestamp, v int")
+    left = spark.createDataFrame([(1, "k", D(2024, 1, 1)), (2, "k", D(2024, 1, 6)), (3, "k", D(2024, 3, 15)), (4, "k", D(2024, 4, 1)), (5, "k", None), (6, None, D(2025, 1, 1)), (7, "none", D(2025, 1, 1)), (8, "k", D(2030, 1, 1))], "id int, k string, t timestamp")
+    got = lambda strict: rows(joins.asof_backward(left, right, by=["k"], time="t", values=["v"], strict=strict).select("id", "v"), "id")
+    assert got(False) == [(1, None), (2, 1), (3, 2), (4, 3), (5, None), (6, None), (7, None), (8, 3)]
+    assert got(True)[3] == (4, 2) and joins.asof_backward(left.limit(0), right, by=["k"], time="t", values=["v"]).count() == 0
+    assert [v for _, v in rows(joins.asof_backward(left, right.limit(0), by=["k"], time="t", values=["v"]).select("id", "v"), "id")] == [None] * 8
+
+
+def test_places_in_groups(spark):
+    d = spark.createDataFrame([("a", 3), ("a", 1), ("a", 2), ("b", 9), (None, 4), (None, 5)], "g string, v int")
+    assert sorted(rows(profile.placed(d, ["g"], [-F.col("v")], 3)), key=str) == sorted([("a", 3, 1, 3), ("a", 2, 2, 3), ("a", 1, 3, 3), ("b", 9, 1, 1), (None, 5, 1, 2), (None, 4, 2, 2)], key=str)
+    assert profile.placed(d.limit(0), ["g"], [F.col("v")]).count() == 0
+
+
+def test_part_headings(spark):
+    t = "Part I\nItem 1. Business\n  item  1A: Risk\nitemize\nItem 7\nPART II - more\nno item 2.\n"
+    d = spark.createDataFrame([(t,), ("",), (None,)], "t string")
+    got = [r.h for r in d.select(text.headers(F.col("t")).alias("h")).collect()]
+    assert [(x.position, x.label) for x in got[0]] == [(0, "Part I"), (7, "Item 1"), (24, "Item 1A"), (49, "Item 7"), (56, "Part Ii")] and got[1] == [] and got[2] is None
+    assert all(t[x.position :].lstrip().lower().startswith(x.label.split()[0].lower()) for x in got[0])
+
+
+def test_search_with_many_words(spark, monkeypatch):
+    """Beyond the limit of words the documents' words are joined instead: the scores are the same."""
+    docs = spark.createDataFrame([(1, "net debt rose"), (2, "debt debt margin"), (3, None), (4, "")], "id int, t string")
+    q = spark.createDataFrame([("q1", "net debt debt"), ("q2", "margin"), ("q3", "")], "q string, w string")
+    run = lambda: sorted((r.q, r.id, round(r.score, 9)) for r in text.bm25(docs, q, id="id", text="t", query_id="q", query="w").collect())
+    few = run()
+    monkeypatch.setattr(text, "MOST_TERMS", 1)
+    assert few == run() and [x[:2] for x in few] == [("q1", 1), ("q1", 2), ("q2", 2)]
+
+
+def test_white_space_of_pages():
+    assert text.visible("<p>a\u00a0 \t b</p>\n\n\n<p> c </p><br><br><br>d") == "a b\nc\n\nd"
+    assert text.visible("") == "" and text.visible(None) is None
+
+
+def test_shared_folder(spark):
+    from tidemark import session
+
+    class Conf(dict):
+        def set(self, k, v):
+            self[k] = v
+
+    class Fake:
+        def __init__(self, **k):
+            self.conf = Conf(k)
+
+    with pytest.raises(ValueError, match="executors share"):
+        session.shared_dir(Fake(**{"spark.master": "spark://host:7077"}))
+    assert session.shared_dir(Fake(**{"spark.master": "yarn", "spark.checkpoint.dir": "hdfs://x"})) == "hdfs://x"
+    d = session.cut(spark.range(3))
+    assert d.count() == 3 and "/tidemark/" in session.own_dir(spark)
+
+
+def test_granularity_is_required(spark):
+    d = spark.createDataFrame([("a", "2024-01-01"), ("a", "2024-01-08"), ("b", "2024-01-01")], "k string, t string").withColumn("t", F.to_date("t"))
+    assert trends.required_granularity(d, "weekly", keys=["k"], time="t").count() == 3
+    with pytest.raises(Exception, match="expected daily buckets, found weekly for a"):
+        trends.required_granularity(d, "daily", keys=["k"], time="t").collect()
+    assert rows(d.select(trends.prior_quarter_end(F.col("t"), 1).cast("string").alias("x")).distinct()) == [("2023-10-31",)]

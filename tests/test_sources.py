@@ -241,3 +241,33 @@ def test_state_that_cannot_be_read(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(streams, "LOG", "no such type")
     with pytest.raises(Exception):
         streams.state(spark, str(tmp_path / "t"))
+
+
+def test_running_wilder(spark, tmp_path):
+    rows = [[("A", f"2024-01-0{d} 10:00:00", v)] for d, v in ((1, 1.0), (2, 3.0), (3, 8.0), (4, None), (5, 4.0))]
+    s = stream(spark, tmp_path, rows, "symbol string, ts string, v double").withColumn("ts", F.to_timestamp("ts"))
+    got = run(spark, streams.running_wilder(s, key="symbol", time="ts", value="v", n=2), "wilder").orderBy("ts").collect()
+    assert [r.average for r in got] == [None, 2.0, 5.0, 4.5]
+
+
+def test_sliding_bars(spark, tmp_path):
+    rows = [[("A", f"2024-01-0{d} 10:00:00", float(d))] for d in (1, 2, 9)]
+    s = stream(spark, tmp_path, rows, "symbol string, ts string, v double").withColumn("ts", F.to_timestamp("ts"))
+    bars = run(spark, streams.window_bars(s, symbol="symbol", time="ts", price="v", unit="2 days", slide="1 day", lateness="1 day"), "slide").collect()
+    assert sum(r.n_events for r in bars) == 4 and max(r.n_events for r in bars) == 2
+
+
+def test_polled_changes(spark, tmp_path):
+    schema = "k string, kind string, ref string, day date, status string"
+    poll = streams.polled_changes(str(tmp_path), by="k", kind="kind", ref="ref", day="day", status="status", today="2024-01-01")
+    day = lambda rows: spark.createDataFrame([(k, "e", r, d, s) for k, r, d, s in rows], "k string, kind string, ref string, day string, status string").withColumn("day", F.to_date("day"))
+    first = day([("a", "r1", "2024-02-01", "est"), ("a", "r2", "2024-03-01", "est")])
+    second = day([("a", "r1", "2024-02-05", "est"), ("a", "r2", "2024-03-01", "conf"), ("b", None, "2024-05-01", "est")])
+    poll(first, 0)
+    poll(second, 1)
+    told = lambda n: sorted((r.k, r.change) for r in spark.read.parquet(str(tmp_path / "changes" / f"n={n}")).collect())
+    assert told(0) == [("a", "new"), ("a", "new")] and told(1) == [("a", "moved"), ("a", "status_changed"), ("b", "new")]
+    poll(second, 1)
+    assert told(1) == [("a", "moved"), ("a", "status_changed"), ("b", "new")]
+    now = spark.read.schema(schema).parquet(str(tmp_path / "snapshot" / "n=1"))
+    assert sorted((r.k, r.ref or "", str(r.day), r.status) for r in now.collect()) == [("a", "r1", "2024-02-05", "est"), ("a", "r2", "2024-03-01", "conf"), ("b", "", "2024-05-01", "est")]

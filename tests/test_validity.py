@@ -30,3 +30,18 @@ def test_empty(spark):
     a = spark.createDataFrame([("A", 1, 5)], "k string, id long, f long")
     run = lambda x, y: as_known_at(x, y, entity="k", event_id="ev", event_time="ts", attribute_id="id", valid_from="f").count()
     assert run(e, a) == 0 and run(spark.createDataFrame([("A", 1, 9)], "k string, ev long, ts long"), a.limit(0)) == 0
+
+
+def test_precedence_of_dates_and_nulls(spark):
+    """Far sentinel dates, nulls (last) and several columns; packed and, where the ranges don't fit, as structs."""
+    import datetime as dt
+
+    at = [("A", 1, 0, dt.date(2024, 1, 1), 5), ("A", 2, 0, dt.date(9999, 12, 31), None), ("A", 3, 0, dt.date(9999, 12, 31), -7), ("A", 4, 0, None, 99), ("B", 5, 0, None, None), ("C", 7, 0, None, 1), ("C", 6, 0, None, 1)]
+    a = spark.createDataFrame(at, "k string, id long, f long, day date, p long")
+    e = spark.createDataFrame([(k, i, 100) for i, k in enumerate("ABC")], "k string, ev long, ts long")
+    run = lambda x: dict(map(tuple, as_known_at(e, x, entity="k", event_id="ev", event_time="ts", attribute_id="id", valid_from="f", precedence=["day", "p"]).collect()))
+    assert run(a) == {0: 3, 1: 5, 2: 7}
+    wide = a.withColumn("p", (F.col("p") * 10**15).cast("decimal(38,0)"))
+    assert run(wide) == {0: 3, 1: 5, 2: 7}
+    far = a.withColumn("p", F.when(F.col("p") == 99, F.lit(2**63 - 1)).when(F.col("p") == -7, F.lit(-(2**63))).otherwise(F.col("p"))).withColumn("id", F.when(F.col("id") == 7, 2**62).otherwise(F.col("id")))
+    assert run(far) == {0: 3, 1: 5, 2: 2**62}

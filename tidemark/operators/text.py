@@ -107,7 +107,8 @@ def headers(c: Column) -> Column:
     def line(acc: Column, x: Column) -> Column:
         # A heading that ends its line is followed by the line's end.
         ended = F.concat(x, F.lit("\n"))
-        label = F.initcap(F.regexp_replace(F.concat(F.regexp_extract(ended, _HEADING, 1), F.regexp_extract(ended, _HEADING, 2)), r"\s+", " "))
+        item, part = (F.regexp_replace(F.regexp_extract(ended, _HEADING, g), r"\s+", " ") for g in (1, 2))
+        label = F.concat(F.when(item != "", F.concat(F.lit("Item "), F.upper(F.substring_index(item, " ", -1)))).otherwise(""), F.initcap(part))
         found = F.when(label != "", F.concat(acc["found"], F.array(F.struct(acc["position"].alias("position"), label.alias("label"))))).otherwise(acc["found"])
         return F.struct((acc["position"] + F.length(x) + 1).alias("position"), found.alias("found"))
 

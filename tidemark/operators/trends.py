@@ -127,7 +127,7 @@ def required_granularity(df: DataFrame, expected: str, *, keys: list[str], time:
     told = F.concat(F.lit(f"expected {expected} buckets, found "), F.col("granularity"), F.lit(" for "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))
     bad = g.where(F.col("granularity") != expected).select(*[F.col(k).alias(f"__{k}") for k in keys], told.alias("__told"))
     d = df.join(bad, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left")
-    ok = F.when(F.col("__told").isNull(), True).otherwise(F.raise_error("__told").cast("boolean"))
+    ok = F.when(F.col("__told").isNull(), True).otherwise(F.raise_error(F.col("__told")).cast("boolean"))
     return d.where(ok).select(*df.columns)
 
 
