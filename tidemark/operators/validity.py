@@ -119,7 +119,7 @@ def as_known_at(events: DataFrame, attributes: DataFrame, *, entity: str, event_
 
     The first tree spans the days between the first and the last event; open intervals end with the tree, so that
     their covers are open on one side only. Of each tree only every stride-th level is used, by default the stride
-    that moves the fewest bytes for these inputs. Events in units in which no interval of their entity begins or ends
+    that moves the fewest bytes for these inputs in the first tree and two in the others. Events in units in which no interval of their entity begins or ends
     are settled there; only the others go on to finer units. Both inputs and what goes on are written once, as several
     passes read them. Events meet their unit's answer in a plain join, whose inputs come straight from a shuffle, so
     that adaptive execution splits the units of a hot entity.
@@ -143,7 +143,8 @@ def as_known_at(events: DataFrame, attributes: DataFrame, *, entity: str, event_
         last = i + 1 == len(UNITS)
         if i:
             bits = (UNITS[i - 1] // unit - 1).bit_length()
-        step = stride or best_stride(bits, pieces.count(), points.count(), sides if not i else 1)
+        # Behind the first tree about as many ends as events are left, for which two is best: nothing need be counted.
+        step = stride or (2 if i else best_stride(bits, pieces.count(), points.count(), sides))
         answers, ends = _resolve(points, pieces, unit, _levels(bits, step), last)
         met = points.withColumn("u", F.expr(f"t div {unit}")).join(answers, ["e", "u"], "left" if i else "inner")
         met = met.select("e", "id", "t", F.greatest("base", "best").alias("base"), F.coalesce("split", F.lit(False)).alias("split"))
