@@ -1,7 +1,7 @@
 """tidemark: a PySpark-native analytics library for financial time series and record clean-up.
 
-Every operator is a DataFrame-in, DataFrame-out function without an action inside, so that Catalyst sees one
-plan. Exceptions are named in the operators' docstrings.
+Every operator is a DataFrame-in, DataFrame-out function. Most only declare their plan; those that read a table several
+times or need counts first write tables or run jobs when they are called, as their docstrings say.
 """
 
 __version__ = "0.1.0"
